@@ -46,7 +46,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 bytes of a text column, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    return [x or b"" for x in column.cast(pa.binary()).to_numpy(zero_copy_only=False)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

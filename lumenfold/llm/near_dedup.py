@@ -169,8 +169,7 @@ def _unpack(packed: bytes) -> np.ndarray:
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep_rows, last, held = [], None, None
-        for one, other in zip(batch.column(2), batch.column(3), strict=True):
-            one, other = one.as_py(), other.as_py()
+        for one, other in zip(*(batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3)), strict=True):
             if one != last:
                 last, held = one, _unpack(one)
             theirs = _unpack(other)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenfold.llm import near_dedup
+from lumenfold.llm import line_dedup, near_dedup, token_files
 from lumenfold.llm.common import table
 
 
@@ -12,7 +14,20 @@ def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")
+    )
+
+
+def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op7_line_dedup": line_dedup_query,
     "op9_minhash_near_dedup": near_dedup_query,
+    "op10_token_files": token_files_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_line_dedup": line_dedup.ORACLE}
