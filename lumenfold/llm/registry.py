@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import line_dedup, near_dedup, token_files
+from lumenfold.llm import line_dedup, near_dedup, packing, token_files
 from lumenfold.llm.common import table
 
 
@@ -21,11 +21,16 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES = {
+    "op4_packing": packing_query,
     "op7_line_dedup": line_dedup_query,
     "op9_minhash_near_dedup": near_dedup_query,
     "op10_token_files": token_files_query,
