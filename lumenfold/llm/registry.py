@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import line_dedup, near_dedup, packing, token_files
+from lumenfold.llm import chat, language_id, line_dedup, mixing, near_dedup, packing, quality, token_files
 from lumenfold.llm.common import table
 
 
@@ -21,6 +21,27 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_id.identify(docs, language_id.train(docs), "doc_id")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trap = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], chat.TURNS)
+    return chat.format_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,8 +51,12 @@ def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cube_mixing": mixing_query,
+    "op2_language_id": language_id_query,
+    "op3_quality_rules": quality_query,
     "op4_packing": packing_query,
     "op7_line_dedup": line_dedup_query,
+    "op8_chat_format": chat_query,
     "op9_minhash_near_dedup": near_dedup_query,
     "op10_token_files": token_files_query,
 }
