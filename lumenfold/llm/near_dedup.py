@@ -12,12 +12,18 @@ Keys only propose candidates. A link exists where the exact shingle sets have
 100 * |A n B| >= 75 * |A u B|.
 
 * Equal sets are one class from the start: copies never meet as pairs.
-* Round 1 compares every member of a key's bucket with the bucket's least id.
-* Later rounds look only at buckets that still hold several components, and
-  compare their members with the next ``PIVOTS`` members of the bucket, across
-  components only, until every member has been a pivot. So each candidate pair
-  is either verified or already connected; none is capped away, and the rows
-  emitted per bucket and round stay linear in its size.
+* A document's shingles that no other candidate document has are counted. What
+  is left bounds its intersection with any other, so a pair that cannot reach
+  the threshold is dropped within the join that would form it. This is exact,
+  and it is what keeps large groups of loose copies from forming all pairs.
+* Round 1 compares every member of a key's bucket with the bucket's most shared
+  member, as a rule the text that the others were copied from.
+* Documents of buckets that still hold several components go on to an exact
+  prefix filter: two similar sets share a shingle among the rarest quarter of
+  each, and its places in both bound their intersection. Its buckets, one per
+  such shingle, are compared pivot by pivot across components, in doubling
+  rounds, until every member has been a pivot. So each candidate pair is either
+  ruled out, verified or already connected; none is capped away.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +44,7 @@ from lumenfold.session import discard, keep
 SHINGLE = 5
 PERCENT = 75
 LEFT, RIGHT = 12, 8
+#: Members that the first later round takes as pivots of a bucket; each next one takes twice as many.
 PIVOTS = 32
 #: Bytes kept of each shingle's hash in the sets that confirm links.
 SET_BYTES = 6
@@ -166,6 +173,52 @@ def _unpack(packed: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        reps = batch.column(0).to_numpy()
+        rows = [_unpack(x) for x in batch.column(1).to_numpy(zero_copy_only=False)]
+        for k in range(0, len(rows), 256):
+            part = rows[k : k + 256]
+            owner = np.repeat(reps[k : k + 256], [len(x) for x in part])
+            yield pa.record_batch([pa.array(np.concatenate(part).view(np.int64)), pa.array(owner)], names=["shingle", "rep"])
+
+
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """(rep, n, c): a set's size, and how many of its shingles some other set has too."""
+    alone = (
+        sets.mapInArrow(_spread, "shingle long, rep long").groupBy("shingle").agg(F.count("*").alias("df"), F.min("rep").alias("rep"))
+        .where("df = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    )
+    n = (F.length("shingles") / SET_BYTES).cast("long")
+    return sets.select("rep", n.alias("n")).join(alone, "rep", "left").select(
+        "rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c")
+    )
+
+
+def _prefixes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, rep, n, at): the rarest shingles of each wanted set that others share, and their places.
+
+    Shingles are ordered by frequency among the wanted sets; those of a single
+    set come first and only move the others' places. A set of n shingles that is
+    similar to another one shares one of its first n / 4 + 1 with it.
+    """
+    rows = keep(sets.join(wanted, "rep", "left_semi").select("rep", "shingles").mapInArrow(_spread, "shingle long, rep long"), "shingles")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    n = rows.groupBy("rep").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("rep").orderBy("df", "shingle")
+    mine = rows.join(shared, "shingle").withColumn("place", F.row_number().over(order) - 1).withColumn(
+        "held", F.count("*").over(Window.partitionBy("rep"))
+    )
+    placed = mine.join(n, "rep").withColumn("at", F.col("place") + F.col("n") - F.col("held"))
+    return placed.where(f"100 * at <= {100 - PERCENT} * n").select(F.col("shingle").alias("key"), "rep", "n", "at")
+
+
+def _possible(n1: str, c1: str, n2: str, c2: str) -> Column:
+    """Whether two sets of sizes n, of which c are shared at all, can be similar enough."""
+    most = F.least(c1, c2)
+    return 100 * most >= PERCENT * (F.col(n1) + F.col(n2) - most)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep_rows, last, held = [], None, None
@@ -184,12 +237,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
-    # Sizes alone rule many pairs out: the smaller set must be PERCENT of the larger one.
-    small = F.least(F.length("of_a"), F.length("of_b")) * 100
-    fits = small >= F.greatest(F.length("of_a"), F.length("of_b")) * PERCENT
-    return pairs.join(left, "a").join(right, "b").where(fits).select("a", "b", "of_a", "of_b").mapInArrow(
-        _confirm, "a long, b long"
-    )
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(_confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,43 +260,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(x, y, i * RIGHT + j)))
     )
     keyed = classes.select("rep", F.explode(pairs_of_hashes).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").drop("n")
-    buckets = keep(keyed.join(shared, "key"), "buckets")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    proposed = keep(keyed.join(shared, "key"), "proposed")
     discard(classes)
-
-    sets = keep(_sets(spark, docs, buckets.select("rep").distinct()), "sets")
-    links = keep(_links(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), sets), "links")
+    sets = keep(_sets(spark, docs, proposed.select("rep").distinct()), "sets")
+    sizes = keep(_shared_sizes(sets).where(f"100 * c >= {PERCENT} * n"), "sizes")
+    buckets = keep(proposed.join(sizes, "rep"), "buckets")
+    discard(proposed)
+
+    first = F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("rep")).alias("least"), "rep", "n", "c")
+    pivot = buckets.groupBy("key").agg(F.max(first).alias("p"), F.count("*").alias("m")).where("m > 1").select(
+        "key", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca")
+    )
+    pairs = buckets.join(pivot, (buckets["key"] == pivot["key"]) & (F.col("rep") != F.col("a")) & _possible("n", "c", "na", "ca"))
+    links = keep(_links(pairs.select("a", F.col("rep").alias("b")).distinct(), sets), "links")
     groups = keep(components(links), "components")
 
-    # Buckets that still hold more than one component, their members in a fixed order.
-    at_component = buckets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
-    )
-    open_keys = at_component.groupBy("key").agg(
-        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")
-    ).where("c0 <> c1 and n > 2").select("key")
-    members = keep(
-        buckets.join(open_keys, "key").select(
-            "key", "rep", (F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1).alias("rank")
-        ),
-        "members",
-    )
+    # Documents in buckets that still hold more than one component.
+    component = F.coalesce("component", "rep").alias("component")
+    labels = groups.select(F.col("node").alias("rep"), "component")
+    open_keys = buckets.join(labels, "rep", "left").select("key", component).groupBy("key").agg(
+        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")
+    ).where("c0 <> c1 and m > 2").select("key")
+    still = keep(buckets.join(open_keys, "key").select("rep").distinct(), "open")
     discard(buckets)
+    order = Window.partitionBy("key").orderBy("at", "rep")
+    members = keep(_prefixes(sets, still).withColumn("rank", F.row_number().over(order) - 1), "members")
     most = members.agg(F.max("rank")).first()[0] or 0
-    done = 1  # rank 0 was the pivot of round 1
-    while done <= most:
-        now = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-            "key", "rep", "rank", F.coalesce("component", "rep").alias("component")
-        )
-        pivots = now.where(f"rank >= {done} and rank < {done + PIVOTS}").select(
-            "key", F.col("rep").alias("a"), F.col("rank").alias("pivot_rank"), F.col("component").alias("of_pivot")
-        )
-        pairs = now.join(pivots, "key").where("rank > pivot_rank and component <> of_pivot").select("a", F.col("rep").alias("b")).distinct()
+    done, width = 0, PIVOTS
+    while done < most:
+        labels = groups.select(F.col("node").alias("rep"), "component")
+        now = members.join(labels, "rep", "left").select("key", "rep", "rank", "n", "at", component)
+        pivots = now.where(f"rank >= {done} and rank < {done + width}").select(
+            F.col("key").alias("of"), F.col("rep").alias("a"), F.col("rank").alias("first"),
+            F.col("n").alias("na"), F.col("at").alias("ata"), F.col("component").alias("ga"),
+        )
+        across = (F.col("key") == F.col("of")) & (F.col("rank") > F.col("first")) & (F.col("component") != F.col("ga"))
+        # If this is the first shingle they share, the intersection is at most what follows in either.
+        most_common = F.least(F.col("n") - F.col("at"), F.col("na") - F.col("ata"))
+        reach = (100 + PERCENT) * most_common >= PERCENT * (F.col("n") + F.col("na"))
+        pairs = now.join(pivots, across & reach).select("a", F.col("rep").alias("b")).distinct()
         found = keep(_links(pairs, sets), "links")
         if found.head(1):
             links = keep(links.union(found), "links")
             groups = keep(components(links), "components")
-        done += PIVOTS
+        done, width = done + width, 2 * width
 
     rep_of = usable.select("doc_id", "n_shingles", "set_key")
     labelled = (
