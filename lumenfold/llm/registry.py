@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import chat, language_id, line_dedup, mixing, near_dedup, packing, quality, token_files
+from lumenfold.llm import ann, chat, html_extract, language_id, line_dedup, mixing, near_dedup, packing, quality, token_files
 from lumenfold.llm.common import table
 
 
@@ -42,6 +42,14 @@ def chat_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra))
 
 
+def ann_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,6 +64,8 @@ QUERIES = {
     "op3_quality_rules": quality_query,
     "op4_packing": packing_query,
     "op7_line_dedup": line_dedup_query,
+    "op5_rotated_codes": ann_query,
+    "op6_html_extraction": html_query,
     "op8_chat_format": chat_query,
     "op9_minhash_near_dedup": near_dedup_query,
     "op10_token_files": token_files_query,
