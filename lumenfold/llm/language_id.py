@@ -31,7 +31,7 @@ NGRAMS = (4, 3, 2, 1)
 HELD_OUT = 5
 SMOOTHING = 0.5
 #: Documents whose best language is less probable than this are rejected by the pipeline.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 #: How much of a word's evidence counts, as neighbouring words are not independent.
 TEMPER = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
