@@ -19,15 +19,12 @@ def by_id(tasks: DataFrame, task_id) -> DataFrame:
 def latest(tasks: DataFrame) -> DataFrame:
     """The newest task of each url, ties to the smaller id.
 
-    A maximum rather than a window: it is combined before the shuffle, so a url
-    with very many tasks costs no task more than others.
+    Two extremes rather than a window: both are combined before the shuffle, so
+    a url with very many tasks costs no task more than others.
     """
-    first = F.max_by(F.struct(*[F.col(c) for c in tasks.columns]), F.struct("created_at", F.col("order")))
-    ranked = tasks.withColumn("order", -F.col("id")) if dict(tasks.dtypes)["id"] in ("bigint", "int") else None
-    if ranked is not None:
-        return ranked.groupBy("url").agg(first.alias("t")).select("t.*")
-    newest = Window.partitionBy("url").orderBy(F.desc("created_at"), "id")
-    return tasks.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
+    row = F.struct(*[F.col(c) for c in tasks.columns])
+    first = tasks.groupBy("url", "created_at").agg(F.min_by(row, "id").alias("t"))
+    return first.groupBy("url").agg(F.max_by("t", F.struct("created_at")).alias("t")).select("t.*")
 
 
 def active(tasks: DataFrame) -> DataFrame:
@@ -41,9 +38,17 @@ def by_status(tasks: DataFrame, *statuses: str) -> DataFrame:
 
 
 def recovery(tasks: DataFrame) -> DataFrame:
-    """Unfinished tasks in the order in which a restart takes them up: id, status, pos."""
-    position = F.row_number().over(Window.orderBy("created_at", "id")).cast("long")
-    return tasks.where(F.col("status").isin(*ACTIVE)).select("id", "status", position.alias("pos"))
+    """Unfinished tasks in the order in which a restart takes them up: id, status, pos.
+
+    Positions count within an hour and go on from the hours before, so no task
+    orders more than an hour's rows; only the table of hours is ordered whole.
+    """
+    open_ = tasks.where(F.col("status").isin(*ACTIVE)).withColumn("hour", F.date_trunc("hour", "created_at"))
+    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = open_.groupBy("hour").count().select(F.col("hour").alias("of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    local = F.row_number().over(Window.partitionBy("hour").orderBy("created_at", "id"))
+    numbered = open_.withColumn("local", local).join(hours, F.col("hour").eqNullSafe(F.col("of")))
+    return numbered.select("id", "status", (F.col("local") + F.col("shift")).alias("pos"))
 
 
 def decide(tasks: DataFrame) -> DataFrame:

@@ -1,4 +1,173 @@
 """Registered queries over the archive tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lumenfold.functions.exprs import erase_space, normal_url
+from lumenfold.operators import consistency, lifecycle, search, stats, tasks, users
+from lumenfold.operators.issues import merge
+from lumenfold.plans import oracles, tables
+from lumenfold.sources.archive import documents, visible_text
+
+
+def title_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.titled(spark, sf_dir)
+
+
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "pages").select("page_id", normal_url("url").alias("u")).select("page_id", "u.url", "u.domain")
+
+
+def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.count_by_source(tables.pages(spark, sf_dir))
+
+
+def stats_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = source_stats(spark, sf_dir).withColumn("file_count", F.col("file_count") - 3)
+    return stats.snapshot(lowered)
+
+
+def source_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.shares(source_stats(spark, sf_dir))
+
+
+def _delta(counts: DataFrame) -> DataFrame:
+    return counts.withColumnRenamed("file_count", "delta")
+
+
+def stats_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = tables.pages(spark, sf_dir)
+    old, new = (stats.count_by_source(held.where(F.col("page_id") % 2 == k)) for k in (0, 1))
+    return stats.increment(old, _delta(new))
+
+
+def stats_decrement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = tables.pages(spark, sf_dir)
+    return stats.decrement(stats.count_by_source(held), _delta(stats.count_by_source(held.where("page_id % 3 = 0"))))
+
+
+def task_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.latest(tables.tasks(spark, sf_dir)).select("id", "url", "status")
+
+
+def task_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.active(tables.tasks(spark, sf_dir)).select("id", "url", "status")
+
+
+def task_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.recovery(tables.tasks(spark, sf_dir))
+
+
+def task_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.decide(tables.tasks(spark, sf_dir))
+
+
+def task_http_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.response(tables.tasks(spark, sf_dir))
+
+
+def users_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"))
+    return users.page(held, 3, 10)
+
+
+def consistency_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = consistency.compare_files(tables.files(spark, sf_dir), tables.index(spark, sf_dir))
+    return found.select("domain", "filename", "code")
+
+
+def consistency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    disk = stats.count_by_source(tables.files(spark, sf_dir))
+    return consistency.compare_stats(disk, tables.counted(spark, sf_dir)).select("source", "disk_count", "db_count", "code")
+
+
+def consistency_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = consistency.compare_files(tables.files(spark, sf_dir), tables.index(spark, sf_dir))
+    return merge(found, found.where("severity = 'error'")).select("severity", "store", "code", "domain", "filename")
+
+
+def consistency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held, index = tables.files(spark, sf_dir), tables.index(spark, sf_dir)
+    return consistency.report(consistency.compare_files(held, index), held, index)
+
+
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index without the page 11.html, whatever its domain."""
+    index = tables.index(spark, sf_dir)
+    return lifecycle.without(index, index.where("filename = '11.html'")).select("id")
+
+
+def text_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    erased = tables.table(spark, sf_dir, "documents").select("doc_id", erase_space("text").alias("x"))
+    return erased.select("doc_id", F.length("x").cast("long").alias("n"), F.md5("x").alias("h"))
+
+
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.word_hits(search.postings(tables.titled(spark, sf_dir), ("title",), "page_id"), "the", "th", "page_id")
+    # Ranks count within equal (words, tf) and go on from the better ones: few groups, each over its own rows.
+    better = Window.orderBy(F.desc("words"), F.desc("tf")).rowsBetween(Window.unboundedPreceding, -1)
+    groups = hits.groupBy("words", "tf").count()
+    shifted = groups.select("words", "tf", F.coalesce(F.sum("count").over(better), F.lit(0)).alias("shift"))
+    total = F.broadcast(groups.agg(F.sum("count").alias("total_hits")))  # one row
+    local = F.row_number().over(Window.partitionBy("words", "tf").orderBy("page_id"))
+    ranked = hits.withColumn("local", local).join(shifted, ["words", "tf"]).join(total, F.lit(True))
+    return ranked.select("page_id", "words", "tf", (F.col("local") + F.col("shift")).alias("rnk"), "total_hits")
+
+
+def search_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = search.postings(tables.titled(spark, sf_dir), ("title",), "page_id")
+    return search.typo_matches(places, "there", 1, "page_id").select("page_id", F.col("term").alias("t"))
+
+
+def search_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.titled(spark, sf_dir).select("page_id", search.highlight("title", "(?i)the", "<em>", "</em>").alias("h"))
+
+
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, as length and digest."""
+    read = tables.table(spark, sf_dir, "pages").select("page_id", visible_text("html").alias("x"))
+    return read.select("page_id", F.length("x").cast("long").alias("n"), F.md5("x").alias("h"))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(tables.files(spark, sf_dir))[0]
+
+
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First page of a two-word search over documents built from the pages."""
+    return search.search(_built(spark, sf_dir), "the market")
+
+
+def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.totals(search.ranked(_built(spark, sf_dir), "the market"))
+
+
+def search_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts cropped around their first match of a word, as digests."""
+    cut = tables.table(spark, sf_dir, "documents").select("doc_id", search.crop("text", r"(?i)\bthe\b").alias("x"))
+    return cut.select("doc_id", F.length("x").cast("long").alias("n"), F.md5("x").alias("h"))
+
+
+def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues that are left after documents and counts were built anew."""
+    return consistency.repair(tables.files(spark, sf_dir), tables.index(spark, sf_dir), tables.counted(spark, sf_dir))[2]
+
+
+def rebuild_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = _built(spark, sf_dir)
+    return built.select("id", "domain", "filename", "title", F.length("content").cast("long").alias("n"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        title_extract, url_normalize, source_stats, stats_snapshot, source_share, stats_upsert, stats_decrement, task_latest, task_active,
+        task_recovery, task_submit, task_http_code, users_page, consistency_files, consistency_stats, consistency_merge, consistency_report,
+        delete_cascade, text_erase, search_ranked, search_typo, search_highlight, html_text, search_page, search_totals, search_crop,
+        repair, rebuild_lenient,
+    )
+}
+ORACLES = oracles.SQL
