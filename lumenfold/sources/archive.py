@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lumenfold.functions.exprs import html_title, is_html_file, request_path, trimmed
 from lumenfold.functions.html_text import extract_text
@@ -73,7 +74,7 @@ def read_pages(files: DataFrame) -> DataFrame:
     return files.mapInPandas(read, "domain string, filename string, request_path string, abs_path string, html string")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def visible_text(html: pd.Series) -> pd.Series:
     """Text of each page, by depth."""
     return html.map(lambda page: None if page is None else extract_text(page))
