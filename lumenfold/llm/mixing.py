@@ -87,20 +87,37 @@ def fly(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return p
 
 
+def _exchange(p: np.ndarray, size: np.ndarray, off: float) -> tuple[float, tuple[int, ...]]:
+    """The exchange of a taken for an untaken document that leaves the total nearest to its goal."""
+    taken, free = np.nonzero(p > 0)[0], np.nonzero(p == 0)[0]
+    if not len(taken) or not len(free):
+        return np.inf, ()
+    free = free[np.argsort(size[free], kind="stable")]
+    near = np.searchsorted(size[free], size[taken] - off)
+    best: tuple[float, tuple[int, ...]] = (np.inf, ())
+    for other in (free[np.maximum(near - 1, 0)], free[np.minimum(near, len(free) - 1)]):
+        after = np.abs(off - size[taken] + size[other])
+        k = int(after.argmin())
+        best = min(best, (float(after[k]), (int(taken[k]), int(other[k]))))
+    return best
+
+
 def land(p: np.ndarray, size: np.ndarray, goal: float) -> np.ndarray:
     """Decide what a flight has left, then come as near to ``goal`` tokens as a few changed decisions allow.
 
-    An undecided document is rounded; each further step changes the one decision
-    that brings the total nearest to its goal, and the first that can't ends it.
+    An undecided document is rounded; each further step changes one decision, or
+    exchanges two documents, whichever brings the total nearest to its goal. The
+    first step that can't ends it.
     """
     p = np.round(p)
-    for _ in range(MOST_CHANGES):
+    for _ in range(MOST_CHANGES if len(p) else 0):
         off = float((p * size).sum()) - goal
         after = np.abs(off + np.where(p > 0, -size, size))
-        best = int(after.argmin()) if len(p) else 0
-        if not len(p) or after[best] >= abs(off):
+        one = int(after.argmin())
+        left, changed = min((float(after[one]), (one,)), _exchange(p, size, off))
+        if left >= abs(off):
             break
-        p[best] = 1 - p[best]
+        p[list(changed)] = 1 - p[list(changed)]
     return p
 
 
