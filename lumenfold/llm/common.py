@@ -41,6 +41,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:

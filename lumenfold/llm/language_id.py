@@ -36,7 +36,8 @@ LEAST_SCORE = 0.3
 TEMPER = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = regex.compile(r"\p{L}")
-_REMEMBERED = 300_000
+#: Words of texts whose evidence a worker remembers, and how many it adds up at once.
+_REMEMBERED, _AT_ONCE = 300_000, 20_000
 
 
 def words_of(text: str) -> list[str]:
@@ -54,7 +55,7 @@ def held_out() -> Column:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", 16 << 20):
+    for part in slices(batches, "text", 8 << 20):
         by_lang: dict[str, Counter] = {}
         for text, lang in zip(part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist(), strict=True):
             by_lang.setdefault(lang, Counter()).update(words_of(text))
@@ -73,23 +74,36 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log probabilities per language of words (kind 0) and n-grams (kind n)."""
+    """Log probabilities per language of words (kind 0) and n-grams (kind n), each relative to the languages' mean.
 
-    def __init__(self, langs: list[str], prior: np.ndarray, tables: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.prior, self.tables = langs, prior, tables
-        self.known: dict[str, np.ndarray] = {}
+    ``tables`` maps a kind to its entries' row numbers and a matrix of one row
+    per entry. Words met in texts get rows of a matrix of a fixed size.
+    """
 
-    def word(self, word: str) -> np.ndarray:
-        """Log probability of the word in each language, relative to their mean."""
-        got = self.tables[0].get(word)
-        if got is not None:
-            return got
+    def __init__(self, langs: list[str], prior: np.ndarray, tables: dict[int, tuple[dict[str, int], np.ndarray]]):
+        self.langs, self.prior, self.tables = langs, prior, tables
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((_REMEMBERED, len(langs)), np.float32)
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """A row per word: its own, or the mean of its known n-grams of the longest length that has any."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        index, rows = self.tables[0]
+        at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
+        out[at >= 0] = rows[at[at >= 0]]
+        left = np.nonzero(at < 0)[0]
         for n in NGRAMS:
-            table = self.tables[n]
-            found = [table[g] for g in grams_of(word, n) if g in table]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+            if not len(left):
+                break
+            index, rows = self.tables[n]
+            grams = [grams_of(words[k], n) for k in left.tolist()]
+            at = np.fromiter((index.get(g, -1) for own in grams for g in own), np.int64)
+            owner = np.repeat(np.arange(len(left)), [len(own) for own in grams])[at >= 0]
+            found = np.bincount(owner, minlength=len(left))
+            for k in range(len(self.langs)):
+                out[left, k] = np.bincount(owner, rows[at[at >= 0], k], len(left)) / np.maximum(found, 1)
+            left = left[found == 0]
+        return out
 
     def __getstate__(self):
         return self.langs, self.prior, self.tables
@@ -97,25 +111,29 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def total(self, words: list[str]) -> np.ndarray:
+        """Summed evidence of the words."""
+        total = np.zeros(len(self.langs))
+        for k in range(0, len(words), _AT_ONCE):
+            part = words[k : k + _AT_ONCE]
+            if len(self.known) + len(part) > _REMEMBERED:
+                self.known.clear()
+            if new := [w for w in set(part) if w not in self.known]:
+                first = len(self.known)
+                self.rows[first : first + len(new)] = self.evidence(new)
+                self.known.update(zip(new, range(first, first + len(new)), strict=True))
+            at = np.fromiter(map(self.known.__getitem__, part), np.intp, len(part))
+            total += self.rows[at].sum(axis=0, dtype=float)
+        return total
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and its probability for each text; ``und`` and 0 without a letter or a model."""
         langs, scores = [], []
-        known = self.known
         for text in texts:
             if not text or not self.langs or not _LETTER.search(text):
                 langs.append("und"), scores.append(0.0)
                 continue
-            counts = Counter(words_of(text))
-            if len(known) > _REMEMBERED:
-                known.clear()
-            for word in counts:
-                if word not in known:
-                    known[word] = self.word(word)
-            if counts:
-                total = np.fromiter(counts.values(), float, len(counts)) @ np.array([known[w] for w in counts])
-            else:
-                total = np.zeros(len(self.langs))
-            logits = self.prior + TEMPER * total
+            logits = self.prior + TEMPER * self.total(words_of(text))
             odds = np.exp(logits - logits.max())
             best = int(odds.argmax())
             langs.append(self.langs[best]), scores.append(float(odds[best] / odds.sum()))
@@ -140,7 +158,7 @@ def train(docs: DataFrame) -> Model:
     langs = sorted(r["lang"] for r in per_lang)
     place = {lang: k for k, lang in enumerate(langs)}
     prior = np.log(np.array([{r["lang"]: r["n"] for r in per_lang}[lang] for lang in langs], float) + 1) if langs else np.zeros(0)
-    tables: dict[int, dict[str, np.ndarray]] = {kind: {} for kind in (0, *NGRAMS)}
+    tables = {kind: ({}, np.zeros((0, len(langs)), np.float32)) for kind in (0, *NGRAMS)}
     for kind in tables:
         entries = totals.where(F.col("kind") == kind).groupBy("entry").agg(
             F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
@@ -153,7 +171,7 @@ def train(docs: DataFrame) -> Model:
                 n_in[k, place[lang]] = count
         logs = np.log((n_in + SMOOTHING) / (n_in.sum(axis=0) + SMOOTHING * len(entries)))
         logs -= logs.mean(axis=1, keepdims=True)
-        tables[kind] = {row["entry"]: logs[k].astype(np.float32) for k, row in enumerate(entries)}
+        tables[kind] = {row["entry"]: k for k, row in enumerate(entries)}, logs.astype(np.float32)
     return Model(langs, prior - prior.mean() if langs else prior, tables)
 
 

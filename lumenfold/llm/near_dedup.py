@@ -50,7 +50,7 @@ PIVOTS = 32
 SET_BYTES = 6
 #: Bits of the filter that says which documents' sets are needed at all.
 FILTER_BITS = 1 << 25
-_VOCABULARY = 400_000
+_VOCABULARY = 200_000
 
 _rng = np.random.default_rng(20240901)
 _MULTIPLY = _rng.integers(1, 2**63, 2 * LEFT + RIGHT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

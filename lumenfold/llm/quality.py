@@ -28,7 +28,7 @@ RIDGE = 1e-4
 KEEP_FROM = 0.5
 LEAST_WORDS = 50
 MOST_REPEATED = 50
-_VOCABULARY = 400_000
+_VOCABULARY = 200_000
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 _IS_SYMBOL = np.isin(np.arange(256), list(_SYMBOLS))

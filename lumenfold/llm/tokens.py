@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A worker remembers this many distinct chunks at least, and twice as many at most.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Within a plain ASCII chunk the vocabulary's own splitting rule reduces to this.
 _ASCII_PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 #: How a byte is written in a byte-level vocabulary: printable bytes as themselves, the rest from U+0100 on.
