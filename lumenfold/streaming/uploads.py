@@ -20,7 +20,7 @@ def arriving(spark: SparkSession, folder: str) -> DataFrame:
     rel = F.regexp_replace("path", r"^.*/([^/]+/[^/]+)$", "$1")
     return files.where(is_html_file("path")).select(
         F.split(rel, "/")[0].alias("domain"), F.split(rel, "/")[1].alias("filename"),
-        F.decode("content", F.lit("UTF-8")).alias("html"), F.col("modificationTime").alias("arrived"),
+        F.decode("content", "UTF-8").alias("html"), F.col("modificationTime").alias("arrived"),
     )
 
 
