@@ -114,10 +114,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Classifier:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shares: dict[int, float] | None = None) -> Classifier:
     """Logistic regression on (label, buckets, values), calibrated on every fifth row.
 
-    Without rows of both labels there is nothing to learn: every text then gets
+    ``shares`` says which share of each label's rows was drawn. A row stands for
+    the inverse of it in the calibration, so probabilities refer to the labels'
+    natural ratio however many rows there are. Without rows of both labels there is nothing to learn: every text then gets
     the probability of the one label there is, or 1 without any.
     """
     labels = np.array([r[0] for r in rows], float)
@@ -145,20 +147,22 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Classifier:
         bias -= 0.05 * step[-1]
     held = [r for r, t in zip(rows, test, strict=True) if t]
     margin = np.array([float((r[2] * weights[r[1].astype(np.int64)]).sum()) + bias for r in held])
-    slope, shift = _calibrate(margin, labels[test])
+    stands_for = np.array([1 / (shares or {}).get(r[0], 1.0) for r in held])
+    slope, shift = _calibrate(margin, labels[test], stands_for)
     return Classifier(weights.astype(np.float32), bias, slope, shift)
 
 
-def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt scaling by Newton steps, with smoothed labels."""
+def _calibrate(margin: np.ndarray, y: np.ndarray, stands_for: np.ndarray) -> tuple[float, float]:
+    """Platt scaling by Newton steps, with smoothed labels; each row counts as many times as it stands for."""
+    each = stands_for / stands_for.mean()
     good, bad = (y == 1).sum(), (y == 0).sum()
     goal = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
     spread = max(float(margin.std()), 1e-6)
     z, ab = margin / spread, np.zeros(2)
     for _ in range(50):
         p = _sigmoid(ab[0] * z + ab[1])
-        w = np.maximum(p * (1 - p), 1e-6)
-        slope = np.array([((p - goal) * z).sum(), (p - goal).sum()]) + 1e-3 * ab
+        w = each * np.maximum(p * (1 - p), 1e-6)
+        slope = np.array([(each * (p - goal) * z).sum(), (each * (p - goal)).sum()]) + 1e-3 * ab
         curve = np.array([[(w * z * z).sum(), (w * z).sum()], [(w * z).sum(), w.sum()]]) + 1e-3 * np.eye(2)
         ab = ab - np.clip(np.linalg.solve(curve, slope), -2, 2)
     return float(ab[0] / spread), float(ab[1])
@@ -191,10 +195,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     # As many rows of either label, as far as there are; a hash of doc_id chooses them.
     each = max(TRAINING_ROWS // 2, TRAINING_ROWS - min(per.values(), default=0))
     draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20))
-    share = F.lit(0)
+    share, shares = F.lit(0), {}
     for label, n in per.items():
         most = TRAINING_ROWS // 2 if n > TRAINING_ROWS // 2 and len(per) > 1 else min(n, each)
-        share = F.when(F.col("quality") == label, int((1 << 20) * min(1.0, most / n))).otherwise(share)
+        shares[label] = min(1.0, most / n)
+        share = F.when(F.col("quality") == label, int((1 << 20) * shares[label])).otherwise(share)
     chosen = F.broadcast(usable.where(draw < share))  # about TRAINING_ROWS rows of two numbers
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text"
@@ -203,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     return fit([
         (q, np.frombuffer(a, "<u2"), np.frombuffer(v, "<f4"))
         for q, a, v in zip(found["quality"].to_pylist(), found["at"].to_pylist(), found["value"].to_pylist(), strict=True)
-    ])
+    ], shares)
 
 
 RESULT = (

@@ -208,6 +208,18 @@ def test_quality_base_statistics(docs, odd, empty, spark):
     assert quality.judge(empty, quality.train(empty, labels.limit(0))).count() == 0
 
 
+def test_quality_probability_keeps_the_labels_ratio(spark, monkeypatch):
+    # No word says anything about the label: unseen texts get the labels' ratio, whether all rows are drawn or 150 of each label.
+    words = np.random.default_rng(1)
+    rows = [(k, " ".join(f"w{x}" for x in words.integers(0, 200, 60)), int(words.random() < 0.85)) for k in range(1200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labelled, fresh = table.where("doc_id < 1000"), table.where("doc_id >= 1000")
+    for most in (quality.TRAINING_ROWS, 300):
+        monkeypatch.setattr(quality, "TRAINING_ROWS", most)
+        model = quality.train(table.select("doc_id", "text"), labelled.select("doc_id", "quality"))
+        assert abs(np.mean([r["quality_score"] for r in quality.judge(fresh, model).collect()]) - 0.85) < 0.1
+
+
 def test_nearest_neighbours_recall(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect()}
