@@ -133,7 +133,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(tables.files(spark, sf_dir))[0]
+    return documents(tables.pages(spark, sf_dir))[0]
 
 
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,12 @@ def test_query_without_sql_runs(spark, name):
     assert __spark_entry__.queries()[name](spark, SF).count() > 0
 
 
+def test_every_titled_page_is_built(spark):
+    titled = spark.read.parquet(f"{SF}/pages.parquet").where(html_title("html").isNotNull())
+    want = {f"{r['page_id']}.html" for r in titled.select("page_id").collect()}
+    assert {r["filename"] for r in __spark_entry__.queries()["rebuild_lenient"](spark, SF).select("filename").collect()} == want
+
+
 @pytest.mark.parametrize("page, text", [
     ("<title>T</title><p>a<b>c</b>d</p>", "Tadc"), ("<title>T</title><p>&lt;b&gt;x</p>", "Tx"), ("<title>T</title><p>1 &lt; 2</p>", "T1<2"),
     ("<title>T</title><p>a&amp;lt;b</p>", "Ta<b"), ("<title>T</title><p>a \n b\tc</p>", "Tab\tc"), ("<p><b>x<br><p>y</p>", "xy"),
