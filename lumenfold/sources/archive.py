@@ -42,12 +42,12 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return spread.mapInPandas(walk, "rel string, abs_path string")
 
 
-def html_files(listing: DataFrame) -> DataFrame:
-    """(domain, filename, request_path, abs_path) of the pages; uploads under Temporary are none."""
+def html_files(listing: DataFrame, *more: str) -> DataFrame:
+    """(domain, filename, request_path, abs_path, more columns) of the pages; uploads under Temporary are none."""
     pages = listing.where(is_html_file("rel") & (F.lower(F.split("rel", "/")[0]) != "temporary") & F.col("rel").contains("/"))
     domain = trimmed(F.split("rel", "/", 2)[0])
-    return pages.select(domain.alias("domain"), F.split("rel", "/", 2)[1].alias("filename"), "abs_path").select(
-        "domain", "filename", request_path("domain", "filename").alias("request_path"), "abs_path"
+    return pages.select(domain.alias("domain"), F.split("rel", "/", 2)[1].alias("filename"), "abs_path", *more).select(
+        "domain", "filename", request_path("domain", "filename").alias("request_path"), "abs_path", *more
     )
 
 

@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from lumenfold.functions.exprs import is_html_file
 from lumenfold.operators import stats
 from lumenfold.schemas import DOCUMENTS
-from lumenfold.sources.archive import documents
+from lumenfold.sources.archive import documents, html_files
 from lumenfold.sources.store import Store
 
 
 def arriving(spark: SparkSession, folder: str) -> DataFrame:
-    """(domain, filename, html, arrived) of html files that appear below ``folder``/<domain>/."""
+    """(domain, filename, html, arrived) of html files that appear below ``folder``/<domain>/, at any depth, as a scan finds them."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    rel = F.regexp_replace("path", r"^.*/([^/]+/[^/]+)$", "$1")
-    return files.where(is_html_file("path")).select(
-        F.split(rel, "/")[0].alias("domain"), F.split(rel, "/")[1].alias("filename"),
-        F.decode("content", "UTF-8").alias("html"), F.col("modificationTime").alias("arrived"),
-    )
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    outside = F.raise_error(F.concat(F.lit(f"not below {root}: "), "path"))
+    rel = F.when(F.startswith("path", F.lit(root)), F.substring("path", len(root) + 1, 1 << 30)).otherwise(outside)
+    listing = files.select(
+        rel.alias("rel"), F.col("path").alias("abs_path"), F.decode("content", "UTF-8").alias("html"), F.col("modificationTime").alias("arrived")
+    )
+    return html_files(listing, "html", "arrived").select("domain", "filename", "html", "arrived")
 
 
 def hourly_counts(pages: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -169,3 +169,15 @@ def test_upload_stream(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     ingest(arriving(spark, str(tmp_path / "in")), store, str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in store.read("stats").collect()} == {("a.example", 1), ("b.example", 1)}
+
+
+def test_upload_stream_agrees_with_scan(spark, tmp_path):
+    from lumenfold.streaming.uploads import arriving, ingest
+
+    for name in ("a.example/dir/p.html", "b.example/dir/p.html", "b.example/x y%20.html", "Temporary/u.html", "loose.html"):
+        put(tmp_path, f"in/{name}")
+    root, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
+    ingest(arriving(spark, root), store, str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    want = {tuple(r) for r in html_files(list_files(spark, root)).select("domain", "filename").collect()}
+    assert len(want) == 3 and {tuple(r) for r in store.read("documents").select("domain", "filename").collect()} == want
+    assert {tuple(r) for r in store.read("stats").collect()} == {("a.example", 1), ("b.example", 2)}
