@@ -2,9 +2,9 @@
 
 A known word scores its per-language log frequency. An unseen word is scored by
 its longest known character n-grams: those of the longest length of which it
-has any, down to single letters. Frequencies come from labelled documents; the
-tables keep the most frequent entries, so the model has a fixed size whatever
-the corpus.
+has any, down to single letters. Frequencies come from labelled documents, drawn
+per language; the tables keep each language's most frequent entries, so the
+model's size depends on the number of languages only, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumenfold.llm.common import slices
 from lumenfold.session import keep
 
-#: Labelled documents that the model is fitted on, at most about this many.
+#: Labelled documents of each language that the model is fitted on, at most about this many.
 TRAINING_DOCUMENTS = 20_000
-#: Entries kept per kind: whole words, and n-grams of each length.
+#: Entries kept per language and kind: whole words, and n-grams of each length.
 MOST_ENTRIES = 30_000
 NGRAMS = (4, 3, 2, 1)
 HELD_OUT = 5
@@ -73,14 +74,38 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+class Table:
+    """Entries' log probabilities per language relative to the languages' mean, as differences from those of an entry no language has.
+
+    Only the languages that have an entry are held: ``where`` and ``more`` from
+    ``starts[k]`` up to ``starts[k + 1]`` belong to the entry with number k.
+    """
+
+    def __init__(self, entries: list[str], at: np.ndarray, where: np.ndarray, count: np.ndarray, n_langs: int):
+        self.index = dict(zip(entries, range(len(entries)), strict=True))
+        order = np.argsort(at, kind="stable")
+        self.starts = np.searchsorted(at[order], np.arange(len(entries) + 1))
+        self.where = where[order].astype(np.int32)
+        self.more = np.log((count[order] + SMOOTHING) / SMOOTHING).astype(np.float32)
+        self.base = np.log(SMOOTHING / (np.bincount(where, count, n_langs) + SMOOTHING * max(1, len(entries)))).astype(np.float32)
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """A row of all languages for each entry number."""
+        lengths = self.starts[at + 1] - self.starts[at]
+        held = np.repeat(self.starts[at + 1] - np.cumsum(lengths), lengths) + np.arange(lengths.sum())
+        out = np.tile(self.base, (len(at), 1))
+        out[np.repeat(np.arange(len(at)), lengths), self.where[held]] += self.more[held]
+        return out - out.mean(axis=1, keepdims=True)
+
+
 class Model:
     """Log probabilities per language of words (kind 0) and n-grams (kind n), each relative to the languages' mean.
 
-    ``tables`` maps a kind to its entries' row numbers and a matrix of one row
-    per entry. Words met in texts get rows of a matrix of a fixed size.
+    ``tables`` maps a kind to its table. Words met in texts get rows of a matrix
+    of a fixed size.
     """
 
-    def __init__(self, langs: list[str], prior: np.ndarray, tables: dict[int, tuple[dict[str, int], np.ndarray]]):
+    def __init__(self, langs: list[str], prior: np.ndarray, tables: dict[int, Table]):
         self.langs, self.prior, self.tables = langs, prior, tables
         self.known: dict[str, int] = {}
         self.rows = np.zeros((_REMEMBERED, len(langs)), np.float32)
@@ -88,20 +113,21 @@ class Model:
     def evidence(self, words: list[str]) -> np.ndarray:
         """A row per word: its own, or the mean of its known n-grams of the longest length that has any."""
         out = np.zeros((len(words), len(self.langs)), np.float32)
-        index, rows = self.tables[0]
-        at = np.fromiter((index.get(w, -1) for w in words), np.int64, len(words))
-        out[at >= 0] = rows[at[at >= 0]]
+        table = self.tables[0]
+        at = np.fromiter((table.index.get(w, -1) for w in words), np.int64, len(words))
+        out[at >= 0] = table.rows(at[at >= 0])
         left = np.nonzero(at < 0)[0]
         for n in NGRAMS:
             if not len(left):
                 break
-            index, rows = self.tables[n]
+            table = self.tables[n]
             grams = [grams_of(words[k], n) for k in left.tolist()]
-            at = np.fromiter((index.get(g, -1) for own in grams for g in own), np.int64)
+            at = np.fromiter((table.index.get(g, -1) for own in grams for g in own), np.int64)
             owner = np.repeat(np.arange(len(left)), [len(own) for own in grams])[at >= 0]
             found = np.bincount(owner, minlength=len(left))
+            rows = table.rows(at[at >= 0])
             for k in range(len(self.langs)):
-                out[left, k] = np.bincount(owner, rows[at[at >= 0], k], len(left)) / np.maximum(found, 1)
+                out[left, k] = np.bincount(owner, rows[:, k], len(left)) / np.maximum(found, 1)
             left = left[found == 0]
         return out
 
@@ -143,35 +169,33 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Fit on labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold.
 
-    Beyond ``TRAINING_DOCUMENTS`` labelled rows a share of them, chosen by a hash
-    of doc_id, is used.
+    Beyond ``TRAINING_DOCUMENTS`` rows of a language a share of them, chosen by a
+    hash of doc_id and text, is used; the prior refers to all of its rows.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    n = usable.select("lang").count()
-    if n > TRAINING_DOCUMENTS:
-        usable = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * TRAINING_DOCUMENTS / n))
-    counted = usable.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(
-        _counts, "lang string, kind int, entry string, n long"
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(
+        "doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
+    rows = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    shares = {lang: TRAINING_DOCUMENTS / n for lang, n in rows.items() if n > TRAINING_DOCUMENTS}
+    if shares:
+        limits = F.create_map(*(F.lit(x) for lang, share in shares.items() for x in (lang, int((1 << 20) * share))))
+        draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1 << 20))
+        usable = usable.where(draw < F.coalesce(limits[F.col("lang")], F.lit(1 << 20)))
+    counted = usable.select("text", "lang").mapInArrow(_counts, "lang string, kind int, entry string, n long")
     totals = keep(counted.groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n")), "language-counts")
-    per_lang = totals.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()
-    langs = sorted(r["lang"] for r in per_lang)
+    per_lang = {r["lang"]: r["n"] / shares.get(r["lang"], 1.0) for r in totals.where("kind = 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted(per_lang)
     place = {lang: k for k, lang in enumerate(langs)}
-    prior = np.log(np.array([{r["lang"]: r["n"] for r in per_lang}[lang] for lang in langs], float) + 1) if langs else np.zeros(0)
-    tables = {kind: ({}, np.zeros((0, len(langs)), np.float32)) for kind in (0, *NGRAMS)}
-    for kind in tables:
-        entries = totals.where(F.col("kind") == kind).groupBy("entry").agg(
-            F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-        ).orderBy(F.desc("all"), "entry").limit(MOST_ENTRIES).collect()
-        if not entries:
-            continue
-        n_in = np.zeros((len(entries), len(langs)))
-        for k, row in enumerate(entries):
-            for lang, count in row["by"].items():
-                n_in[k, place[lang]] = count
-        logs = np.log((n_in + SMOOTHING) / (n_in.sum(axis=0) + SMOOTHING * len(entries)))
-        logs -= logs.mean(axis=1, keepdims=True)
-        tables[kind] = {row["entry"]: k for k, row in enumerate(entries)}, logs.astype(np.float32)
+    prior = np.log(np.array([per_lang[lang] for lang in langs], float) + 1) if langs else np.zeros(0)
+    # Ranks up to a fixed number: each task passes on at most so many rows per language.
+    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "entry"))
+    chosen = keep(totals.withColumn("rank", rank).where(F.col("rank") <= MOST_ENTRIES).select("kind", "entry").distinct(), "language-entries")
+    wanted, tables = totals.join(chosen, ["kind", "entry"], "left_semi"), {}
+    for kind in (0, *NGRAMS):
+        found = wanted.where(F.col("kind") == kind).select("entry", "lang", "n").toArrow()
+        coded = found["entry"].combine_chunks().dictionary_encode()
+        where = np.array([place[lang] for lang in found["lang"].to_pylist()], np.int64)
+        tables[kind] = Table(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), where, found["n"].to_numpy().astype(float), len(langs))
     return Model(langs, prior - prior.mean() if langs else prior, tables)
 
 

@@ -185,6 +185,19 @@ def test_language_id_held_out(docs, odd, empty):
     assert language_id.identify(odd, language_id.train(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_learns_a_rare_language(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_ENTRIES", 40)
+    monkeypatch.setattr(language_id, "TRAINING_DOCUMENTS", 60)
+    draw = np.random.default_rng(2)
+    word = lambda letters: "".join(draw.choice(list(letters), 5))
+    big, small = [word("abcdefgh") for _ in range(60)], [word("abcdstuv") for _ in range(30)]
+    rows = [(k, " ".join(draw.choice(small if k % 200 == 7 else big, 30)), "xx" if k % 200 == 7 else "en") for k in range(2000)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "xx"] and set(small) <= set(model.tables[0].index)
+    assert model.predict([" ".join(small[:3]), " ".join(big[:3])])[0] == ["xx", "en"]
+    assert abs((model.prior[0] - model.prior[1]) - np.log(199)) < 0.7  # by all rows, not by those drawn
+
+
 def test_quality_base_statistics(docs, odd, empty, spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality.train(docs, labels)
