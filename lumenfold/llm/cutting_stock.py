@@ -21,6 +21,25 @@ GAP = 1e-3
 MOST_ROUNDS = 4000
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """A matrix times a vector without BLAS: its threads have been seen to hang in a process that started a JVM."""
+    return (matrix * vector).sum(axis=1)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row exchanges, without LAPACK for the same reason."""
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        best = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        both -= factors[:, None] * both[k]
+    return both[:, n:]
+
+
 def price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The unbounded knapsack: best total value within ``capacity``, and the count of each size."""
     best = np.zeros(capacity + 1)
@@ -50,15 +69,15 @@ def relax(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndar
     n = len(sizes)
     patterns = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(patterns)) if n else np.zeros((0, 0))
-    used = inverse @ demand
+    used = _times(inverse, demand)
     bound = 0.0
     for round_ in range(MOST_ROUNDS):
         duals = inverse.sum(axis=0)
         value, column = price(sizes, duals, capacity)
-        bound = max(bound, duals @ demand / value)
+        bound = max(bound, float((duals * demand).sum()) / value)
         if value <= 1 + 1e-9 or used.sum() * (1 - GAP) <= bound:
             break
-        direction = inverse @ column
+        direction = _times(inverse, column)
         rising = direction > 1e-11
         if not rising.any():
             break
@@ -72,8 +91,8 @@ def relax(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndar
         inverse -= np.outer(direction, row)
         inverse[out] = row
         if round_ % 200 == 199:  # undo the rounding errors that updates pile up
-            inverse = np.linalg.inv(patterns)
-            used = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(patterns)
+            used = np.maximum(_times(inverse, demand), 0)
     return patterns.astype(np.int64), used
 
 
