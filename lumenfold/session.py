@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,16 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_deleted_at_end: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is made.
+    Where the setting is absent, a temporary folder is made in local mode (tests,
+    a laptop). Elsewhere that is an error: each executor would write to its own disk.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="lumenfold-")
@@ -29,8 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/lumenfold/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; it goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    base = f"{shared_dir(spark)}/lumenfold/{app}"
+    if app not in _deleted_at_end:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)  # only a folder that is there can be marked
+        fs.deleteOnExit(folder)
+        _deleted_at_end.add(app)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
