@@ -9,10 +9,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lumenfold.session import keep
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-SPLITTER = r"[\x20\x09-\x0D]+"
+#: Keys with at least so many rows are spread over tasks, and how many keys at most; all others have fewer rows than these.
+HOT_ROWS, HOT_KEYS = 1024, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +29,27 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, salts): into how many parts the rows of each frequent key are dealt.
+
+    ``counts`` has the keys and ``n``, the number of rows of each. At most
+    ``HOT_KEYS`` keys come out, so the table may be broadcast; a key that is not
+    among them has at most one ``HOT_KEYS``-th of all rows, or few rows at all.
+    """
+    top = counts.where(F.col("n") >= HOT_ROWS).select(*keys, "n").orderBy(F.desc("n"), *keys).limit(HOT_KEYS)
+    most = F.greatest(F.lit(HOT_ROWS), F.sum("n").over(Window.partitionBy()) / HOT_KEYS)  # a window over HOT_KEYS rows at most
+    return keep(top.select(*keys, F.ceil(F.col("n") / most).cast("int").alias("salts")), "hot-keys")
+
+
+def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``one``, which has a row per key at most; rows of a hot key are dealt by a hash of ``by``."""
+    few = F.broadcast(hot)  # HOT_KEYS rows at most
+    salts = F.coalesce("salts", F.lit(1))
+    left = rows.join(few, keys, "left").withColumn("_lf_salt", F.pmod(F.xxhash64(*by), salts).cast("int")).drop("salts")
+    right = one.join(few, keys, "left").withColumn("_lf_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left.join(right, [*keys, "_lf_salt"], how).drop("_lf_salt")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``most`` bytes of ``text``.
 

@@ -15,7 +15,7 @@ def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return cleaned.select(
         "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5")
     )

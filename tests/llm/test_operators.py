@@ -13,7 +13,8 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 import __spark_entry__  # noqa: E402
-from lumenfold.llm import ann, chat, language_id, line_dedup, mixing, near_dedup, packing, quality, token_files  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from lumenfold.llm import ann, chat, common, language_id, line_dedup, mixing, near_dedup, packing, quality, token_files  # noqa: E402
 from lumenfold.llm.token_files import EliasFano  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -158,6 +159,28 @@ def test_line_dedup_on_odd_rows(spark):
     assert found == Counter({(1, f"{line}\nx", 0): 2, (2, "y", 1): 1, (3, "", 1): 1, (4, None, 0): 1, (None, "", 1): 1, (5, "", 0): 1})
 
 
+def test_line_dedup_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 2)  # every repeated line is dealt by salts
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    line = "one common line of words"
+    names = ["h1", "h2", "first", "n", "sites", "row", "lines", "gone", "key", "id", "site", "pos", "salts", "_lf_salt", "text_hash", "n_lines", "n_removed"]
+    rows = [(1, f"{line}\nx", "a"), (2, f"y\n {line}", "b"), (3, line, None), (4, f"{line}\nz", ""), (5, None, None)] + [(9, f"{line}\nx", "a")] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in names})
+    got = line_dedup.dedup_lines(table).collect()
+    want = {(1, f"{line}\nx", 2, 0): 1, (2, "y", 2, 1): 1, (3, "", 1, 1): 1, (4, "z", 2, 1): 1, (5, None, 0, 0): 1, (9, "x", 2, 1): 3}
+    assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got) == Counter(want)
+    assert all(r[c] == c for r in got for c in names[:-2])
+    left = line_dedup.drop_repeated_lines(table)
+    assert left.columns == table.columns and {r["doc_id"] for r in left.collect()} == {1, 2, 4, 5, 9}
+    assert all(r[c] == c for r in left.collect() for c in names)
+
+
+def test_line_dedup_tells_no_source_from_an_empty_one(spark):
+    line = "one common line of words"
+    rows = [(1, line, "a"), (2, line, None), (3, line, "")]
+    assert line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("n_removed = 1").count() == 2
+
+
 def test_mixing_meets_targets(docs, odd, empty):
     for table in (docs, odd):
         got, again = mixing.mix(table).collect(), mixing.mix(table).collect()
