@@ -1,136 +1,246 @@
-"""A small tolerant DOM: elements and text runs as parallel lists, parents before children."""
+"""A small tolerant DOM: block elements and text runs as parallel lists, parents before children.
+
+Tags are read by the HTML rules: a quote counts only where a value begins, and a
+tag that the page ends within is no text. Inline elements make no nodes; of them
+only links matter, as a flag on the text inside. Every step moves forward in the
+page or takes an element off the stack, so the work is linear in the page.
+"""
 
 from __future__ import annotations
 
 import html
 import re
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
-)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is no text of the page.
-OPAQUE = frozenset("script style template noscript iframe object svg math select textarea title xmp noembed noframes".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+from collections import defaultdict
+
+_words = lambda s: frozenset(s.split())
+# Element classes of the HTML standard.
+VOID = _words("area base br col embed hr img input link meta param source track wbr")
+#: Their content isn't shown, or is a form's control, and no text of the page.
+SKIPPED = _words("script style template iframe select title noembed noframes")
+#: Their content is text without markup; in the second kind character references count.
+VERBATIM, DECODED = _words("xmp"), _words("textarea")
+INLINE = _words(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label map mark math nobr picture q rp rt ruby s samp "
+    "small source span strike strong sub sup svg time track tt u var wbr"
 )
 #: An opening tag of the key closes an open element among the values, up to the nearest limit.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-LIMITS = frozenset("ul ol dl table select body html article section div".split())
+CLOSES = {k: _words(v) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
+LIMITS = _words("ul ol dl table select body html article section div")
+PARAGRAPH_LIMITS = LIMITS | _words("td th li blockquote button")
+#: These end mathematics or a drawing that was left open.
+HTML_BLOCKS = LIMITS | _words("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre main aside nav header footer form figure tr td th")
+#: Attributes whose words describe an element.
+NAMING = ("class", "id", "role")
+
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s/>=\"'<]++=\"[^\"<>]*+\")*+)\s*+(/?)>")
+_PLAIN_ATTRIBUTE = re.compile(r"([^\s/>=\"'<]++)=\"([^\"<>]*+)\"")
+_MARKUP = re.compile(r"<(?:[!?a-zA-Z]|/[^<])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_GAP = re.compile(r"[\s/]*+")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
+
+
+def decoded(text: str) -> str:
+    """Character references replaced; a number beyond all characters gives the replacement character."""
+    if "&" not in text:
+        return text
+    return html.unescape(_HUGE.sub("�", _ZEROS.sub("&#", text)) if "&#" in text else text)
 
 
 class Dom:
-    """``parent[i]`` of node i (-1 for the root), its ``tag`` ("" for text), attribute text and text."""
+    """``parent[i]`` of node i (-1 for the root), its ``tag`` ("" for text), naming words and mark, text, and whether it is a link's."""
 
-    __slots__ = ("parent", "tag", "attributes", "text")
+    __slots__ = ("parent", "tag", "names", "mark", "text", "linked")
 
     def __init__(self):
-        self.parent, self.tag, self.attributes, self.text = [-1], ["#root"], [""], [""]
+        self.parent, self.tag, self.names, self.mark, self.text, self.linked = [-1], ["#root"], [""], [""], [""], [False]
 
-    def add(self, parent: int, tag: str, attributes: str, text: str) -> int:
-        self.parent.append(parent), self.tag.append(tag), self.attributes.append(attributes), self.text.append(text)
+    def add(self, parent: int, tag: str, names: str = "", mark: str = "", text: str = "", linked: bool = False) -> int:
+        self.parent.append(parent), self.tag.append(tag), self.names.append(names)
+        self.mark.append(mark), self.text.append(text), self.linked.append(linked)
         return len(self.tag) - 1
 
 
-def parse(page: str) -> Dom:
-    """Build the tree; anything that is no markup is text, and open elements end with the page."""
-    dom, open_, at, n = Dom(), [0], 0, len(page)
-
-    def text(piece: str) -> None:
-        if piece and (not piece.isspace() or dom.tag[-1] == "" or dom.parent[-1] != open_[-1] or dom.tag[-1] in INLINE):
-            dom.add(open_[-1], "", "", html.unescape(piece) if "&" in piece else piece)
-
-    def close(tags: set[str] | frozenset[str], limits: frozenset[str]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            tag = dom.tag[open_[k]]
-            if tag in tags:
-                del open_[k:]
-                return
-            if tag in limits:
-                return
-
-    while at < n:
-        match = _TOKEN.search(page, at)
-        if match is None:
-            text(page[at:])
-            break
-        text(page[at : match.start()])
-        at = match.end()
-        if match[2] is None:
-            if match[0].startswith("<![CDATA["):
-                text(match[0][9:].removesuffix("]]>"))
-            continue
-        tag = match[2].lower()
-        if match[1]:
-            if tag in INLINE:  # an inline end tag never closes a block around it
-                for k in range(len(open_) - 1, 0, -1):
-                    if dom.tag[open_[k]] == tag:
-                        del open_[k]
-                        break
-                    if dom.tag[open_[k]] not in INLINE:
-                        break
+class _Parser:
+    def __init__(self, page: str, label: str):
+        self.page, self.label = page, label
+        self.dom, self.open = Dom(), [0]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of open elements on the stack, by tag
+        self.link = 0  # the stack's height where a link was opened
+        self.foreign = ("", 0)  # math or svg that is open, and the stack's height there: their elements are inline
+        self.no_end: set[str] = set()  # tags that no end tag follows any more
+        self.last_quote: dict[str, int] = {}
+
+    def text(self, piece: str, decode: bool = True) -> None:
+        dom, parent = self.dom, self.open[-1]
+        if piece and (not piece.isspace() or (dom.tag[-1] == "" and dom.parent[-1] == parent)):
+            dom.add(parent, "", text=decoded(piece) if decode else piece, linked=self.link > 0)
+
+    def push(self, tag: str, attributes: list[tuple[str, str]]) -> None:
+        names = " ".join(v for k, v in attributes if k in NAMING)
+        mark = next((v for k, v in attributes if k == self.label), "")
+        self.places[tag].append(len(self.open))
+        self.open.append(self.dom.add(self.open[-1], tag, names, mark))
+
+    def cut(self, height: int) -> None:
+        while len(self.open) > height:
+            self.places[self.dom.tag[self.open.pop()]].pop()
+        if self.link > height:
+            self.link = 0
+        if self.foreign[1] > height:
+            self.foreign = ("", 0)
+
+    def top(self, tags: frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close(self, tags: frozenset[str], limits: frozenset[str] = frozenset()) -> None:
+        """Close the nearest open element of ``tags`` and all in it, unless a limit is nearer."""
+        at = self.top(tags)
+        if at > 0 and at >= self.top(limits):
+            self.cut(at)
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """Attributes from ``at`` on, whether the tag ends itself, and where it ends."""
+        page, n, found = self.page, len(self.page), []
+        while True:
+            gap = _GAP.match(page, at)
+            at = gap.end()
+            if at >= n:
+                return found, False, n
+            if page[at] == ">":
+                return found, gap[0].endswith("/"), at + 1
+            name = _ATTRIBUTE.match(page, at)
+            at, value = name.end(), ""
+            if equals := _EQUALS.match(page, at):
+                at = equals.end()
+                quote = page[at : at + 1]
+                if quote in ("'", '"') and quote not in self.last_quote:
+                    self.last_quote[quote] = page.rfind(quote)
+                if quote in ("'", '"') and self.last_quote[quote] > at:
+                    end = page.find(quote, at + 1)
+                    value, at = page[at + 1 : end], end + 1
+                else:  # also where a quote has no other end than the page's
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            found.append((name[0].lower(), value))
+
+    def content(self, tag: str, at: int) -> tuple[int, int] | None:
+        """Where an element ends that holds no markup: its content's and its end tag's end."""
+        if tag in self.no_end:
+            return None
+        end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.IGNORECASE).search(self.page, at)
+        if end is None:
+            self.no_end.add(tag)
+            return (len(self.page), len(self.page)) if tag in ("script", "style") else None
+        return end.start(), end.end()
+
+    def start(self, tag: str, attributes: list[tuple[str, str]], ended: bool, at: int) -> int:
+        """Take an opening tag; returns where to go on."""
+        if tag in SKIPPED or tag in VERBATIM or tag in DECODED:
+            if (span := self.content(tag, at)) is None:
+                return at
+            if tag not in SKIPPED:
+                self.push(tag, attributes)
+                self.text(self.page[at : span[0]], tag in DECODED)
+                self.cut(len(self.open) - 1)
+            return span[1]
+        if tag in HTML_BLOCKS:
+            self.foreign = ("", 0)
+        if tag in INLINE or self.foreign[0]:
+            if tag == "br":
+                self.dom.add(self.open[-1], "", text=" ", linked=self.link > 0)
+            elif tag == "a":
+                self.link = len(self.open)
+            elif tag in ("math", "svg") and not ended and not self.foreign[0]:
+                self.foreign = (tag, len(self.open))
+            return at
+        self.close(frozenset({"p"}), PARAGRAPH_LIMITS)
+        if tag in CLOSES:
+            self.close(CLOSES[tag], LIMITS)
+        self.push(tag, attributes)
+        if tag in VOID:
+            self.cut(len(self.open) - 1)
+        return at
+
+    def end(self, tag: str) -> None:
+        if tag == "a":
+            self.link = 0
+        elif self.foreign[0]:
+            self.foreign = ("", 0) if tag == self.foreign[0] or tag in HTML_BLOCKS else self.foreign
+            if tag in HTML_BLOCKS:
+                self.end(tag)
+        elif tag not in INLINE:
+            self.close(frozenset({tag}), frozenset({"table"}) if tag in ("p", "li") else frozenset())
+
+    def run(self) -> Dom:
+        page, n, begin, at = self.page, len(self.page), 0, 0
+        while found := _MARKUP.search(page, at):  # any other such sign is text
+            at, after = found.start(), found[0][1:]
+            self.text(page[begin:at])
+            if (plain := _PLAIN.match(page, at)) is not None:
+                tag, closing, ended, at = plain[2].lower(), plain[1], bool(plain[4]), plain.end()
+                attributes = [(k.lower(), v) for k, v in _PLAIN_ATTRIBUTE.findall(plain[3])] if plain[3] else []
+            elif page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                begin = at = end + 3 if end >= 0 else n
+                continue
+            elif page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at + 9)
+                self.text(page[at + 9 : end if end >= 0 else n], False)
+                begin = at = end + 3 if end >= 0 else n
+                continue
+            elif name := _NAME.match(page, at + 1 + (after[0] == "/")):
+                tag, closing = name[0].lower(), after[0] == "/"
+                attributes, ended, at = self.attributes(name.end())
             else:
-                close({tag}, frozenset({"table"}) if tag in ("p", "li") else frozenset())
-            continue
-        if tag not in INLINE:
-            close({"p"}, LIMITS | {"td", "li", "blockquote", "button"})
-            if tag in CLOSES:
-                close(CLOSES[tag], LIMITS)
-        node = dom.add(open_[-1], tag, match[3] or "", "")
-        if tag in OPAQUE:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not (match[3] or "").endswith("/"):
-            open_.append(node)
-        elif (match[3] or "").endswith("/") and tag not in VOID and tag not in INLINE:
-            open_.append(node)
-    return dom
-
-
-def attribute(attributes: str, *names: str) -> str:
-    """Values of the named attributes, joined by a space."""
-    if not attributes:
-        return ""
-    return " ".join(m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in names)
-
-
-def blocks(dom: Dom) -> list[tuple[int, str]]:
-    """(element, text) of the text blocks in page order.
+                end = page.find(">", at)
+                begin = at = end + 1 if end >= 0 else n
+                continue
+            if closing:
+                self.end(tag)
+            else:
+                at = self.start(tag, attributes, ended, at)
+            begin = at
+        self.text(page[begin:])
+        return self.dom
+
+
+def parse(page: str, label: str = "") -> Dom:
+    """Build the tree; anything that is no markup is text, and open elements end with the page. ``label`` names the mark's attribute."""
+    return _Parser(page, label).run()
+
+
+def blocks(dom: Dom) -> list[tuple[int, str, int]]:
+    """(element, text, characters in links) of the text blocks in page order.
 
     A block is the text between two borders of non-inline elements; it belongs
-    to the nearest non-inline element around it. White space inside is one space.
+    to the element right around it. White space inside is one space.
     """
-    owner = [0] * len(dom.tag)
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, int]] = []
     pieces: list[str] = []
-    now = 0
+    now = linked = 0
 
     def flush() -> None:
+        nonlocal linked
         joined = " ".join("".join(pieces).split())
-        pieces.clear()
         if joined:
-            out.append((now, joined))
+            out.append((now, joined, linked))
+        pieces.clear()
+        linked = 0
 
     for i in range(1, len(dom.tag)):
-        tag = dom.tag[i]
-        above = owner[dom.parent[i]]
-        if tag in INLINE:
-            owner[i] = above
-            if tag == "br" or tag == "wbr":
-                if above != now:
-                    flush()
-                    now = above
-                pieces.append(" " if tag == "br" else "")
-        elif tag:
-            owner[i] = i
+        if dom.tag[i]:
             flush()
             now = i
-        else:
-            if above != now:
-                flush()
-                now = above
-            pieces.append(dom.text[i])
+            continue
+        if dom.parent[i] != now:
+            flush()
+            now = dom.parent[i]
+        pieces.append(dom.text[i])
+        if dom.linked[i]:
+            linked += len(dom.text[i].strip())
     flush()
     return out

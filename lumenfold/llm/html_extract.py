@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.common import slices
-from lumenfold.llm.dom import INLINE, Dom, attribute, blocks, parse
+from lumenfold.llm.dom import Dom, blocks, parse
 from lumenfold.llm.labelled_pages import LABEL, pages as labelled_pages
 
-#: Pages of the labelled collection that the model is fitted on.
+#: Pages of the labelled collection (composed, see labelled_pages) that the model is fitted on.
 TRAINING_PAGES = 240
-ROUNDS = 40
-STEP = 0.5
+ROUNDS = 80
+STEP = 1.0
 RIDGE = 1e-3
 KEEP_FROM = 0.5
 _WORD = re.compile(r"[a-z]+")
@@ -40,81 +40,73 @@ class Tree:
     def __init__(self):
         self.parent, self.features, self.text, self.element = [], [], [], []
 
+    def add(self, parent: int, features: list[str], text: str | None, element: int) -> int:
+        self.parent.append(parent), self.features.append(features), self.text.append(text), self.element.append(element)
+        return len(self.parent) - 1
+
 
 def _element_features(dom: Dom, i: int) -> list[str]:
-    tag = dom.tag[i]
-    found = [f"tag:{tag}"]
-    names = attribute(dom.attributes[i], "class", "id", "role")
-    if names:
-        found += [f"name:{w}" for w in dict.fromkeys(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))]
+    found = [f"tag:{dom.tag[i]}"]
+    if dom.names[i]:
+        found += [f"name:{w}" for w in dict.fromkeys(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", dom.names[i]).lower()))]
     return found
 
 
 def tree_of(dom: Dom) -> Tree:
-    """The model's variables: the non-inline elements above text, and below them the text blocks."""
+    """The model's variables: the block elements above text, and below them the text blocks."""
     tree, number = Tree(), {}
-    linked = defaultdict(int)  # characters inside links, by the block's element
-    inside = [False] * len(dom.tag)
-    owner = [0] * len(dom.tag)
-    for i in range(1, len(dom.tag)):
-        up = dom.parent[i]
-        inside[i] = inside[up] or dom.tag[i] == "a"
-        owner[i] = i if dom.tag[i] and dom.tag[i] not in INLINE else owner[up]
-        if not dom.tag[i] and inside[i]:
-            linked[owner[i]] += len(dom.text[i].strip())
-
-    def element(i: int) -> int:
-        if i in number:
-            return number[i]
-        up = dom.parent[i]
-        while up > 0 and dom.tag[up] in INLINE:
+    for i, text, linked in blocks(dom):
+        path, up = [], i
+        while up >= 0 and up not in number:  # each element is taken once, so this is linear
+            path.append(up)
             up = dom.parent[up]
-        above = element(up) if up >= 0 else -1
-        tree.parent.append(above), tree.text.append(None), tree.element.append(i)
-        tree.features.append(_element_features(dom, i) if i else ["tag:#root"])
-        number[i] = len(tree.parent) - 1
-        return number[i]
-
-    for i, text in blocks(dom):
-        above = element(i)
-        share = min(3, 4 * linked[i] // (len(text) + 1))
-        words = text.count(" ") + 1
-        length = min(6, words.bit_length())
-        tree.parent.append(above), tree.text.append(text), tree.element.append(i)
-        tree.features.append([
+        for k in reversed(path):
+            number[k] = tree.add(number[up] if up >= 0 else -1, _element_features(dom, k), None, k)
+            up = k
+        share = min(3, 4 * linked // (len(text) + 1))
+        length = min(6, (text.count(" ") + 1).bit_length())
+        tree.add(number[i], [
             "text", f"in:{dom.tag[i]}", f"length:{length}", f"links:{share}", f"links:{share}&length:{length >= 4}",
             "end:stop" if text[-1] in ".!?:;\"'”»…" else "end:none",
-        ])
+        ], text, i)
     return tree
 
 
-def marginals(parent: list[int], node: list[float], edge: tuple[float, float]) -> list[float]:
-    """P(content) per node. ``node`` are log odds of content; ``edge`` the log potentials of equal and content-content pairs."""
+def _add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
+
+
+def marginals(parent: list[int], node: list[float], edge: tuple[float, float]) -> tuple[list[float], list[float], list[float]]:
+    """Per node P(content), P(alike with its parent) and P(content like its parent); the last two are 0 at the root.
+
+    ``node`` are log odds of content; ``edge`` the log potentials of equal and
+    of content-content pairs. One pass goes upward, one downward.
+    """
     n = len(parent)
     alike, both = edge
     up0, up1 = [0.0] * n, list(node)
     to_parent0, to_parent1 = [0.0] * n, [0.0] * n
-
-    def add(a: float, b: float) -> float:
-        return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
-
     for i in range(n - 1, -1, -1):  # children come after their parents
-        to_parent0[i] = add(up0[i] + alike, up1[i])
-        to_parent1[i] = add(up0[i], up1[i] + alike + both)
+        to_parent0[i] = _add(up0[i] + alike, up1[i])
+        to_parent1[i] = _add(up0[i], up1[i] + alike + both)
         if parent[i] >= 0:
             up0[parent[i]] += to_parent0[i]
             up1[parent[i]] += to_parent1[i]
-    out, all0, all1 = [0.0] * n, list(up0), list(up1)
+    out, equal, pair, all0, all1 = [0.0] * n, [0.0] * n, [0.0] * n, list(up0), list(up1)
     for i in range(n):
         p = parent[i]
         if p >= 0:
             rest0, rest1 = all0[p] - to_parent0[i], all1[p] - to_parent1[i]
             top = max(rest0, rest1)
             rest0, rest1 = rest0 - top, rest1 - top
-            all0[i] = up0[i] + add(rest0 + alike, rest1)
-            all1[i] = up1[i] + add(rest0, rest1 + alike + both)
+            all0[i] = up0[i] + _add(rest0 + alike, rest1)
+            all1[i] = up1[i] + _add(rest0, rest1 + alike + both)
+            total = _add(all0[i], all1[i])
+            pair[i] = math.exp(rest1 + up1[i] + alike + both - total)
+            equal[i] = pair[i] + math.exp(rest0 + up0[i] + alike - total)
         out[i] = 1 / (1 + math.exp(max(-700.0, min(700.0, all0[i] - all1[i]))))
-    return out
+    return out, equal, pair
 
 
 class Model:
@@ -131,7 +123,7 @@ class Model:
         tree = tree_of(parse(page))
         if not tree.parent:
             return []
-        p = marginals(tree.parent, self.odds(tree), self.edge)
+        p, _, _ = marginals(tree.parent, self.odds(tree), self.edge)
         return [text for text, q in zip(tree.text, p, strict=True) if text is not None and q >= KEEP_FROM]
 
 
@@ -139,8 +131,7 @@ def _labels(dom: Dom, tree: Tree) -> list[int]:
     """1 for content, from the nearest marked element at or above each node."""
     mark = [0] * len(dom.tag)
     for i in range(1, len(dom.tag)):
-        own = attribute(dom.attributes[i], LABEL) if LABEL in dom.attributes[i] else ""
-        mark[i] = int(own) if own else mark[dom.parent[i]]
+        mark[i] = int(dom.mark[i]) if dom.mark[i] else mark[dom.parent[i]]
     return [mark[i] for i in tree.element]
 
 
@@ -148,7 +139,7 @@ def train(pages: list[str]) -> Model:
     """Fit by gradient steps on the exact likelihood: observed less expected features, by sum-product."""
     data = []
     for page in pages:
-        dom = parse(page)
+        dom = parse(page, LABEL)
         tree = tree_of(dom)
         data.append((tree, _labels(dom, tree)))
     model = Model()
@@ -159,17 +150,13 @@ def train(pages: list[str]) -> Model:
         edge_slope = [0.0, 0.0]
         model.edge = tuple(edge)
         for tree, labels in data:
-            p = marginals(tree.parent, model.odds(tree), model.edge)
+            p, equal, pair = marginals(tree.parent, model.odds(tree), model.edge)
             for i, (features, y, q) in enumerate(zip(tree.features, labels, p, strict=True)):
                 for f in features:
                     slope[f] += y - q
-                up = tree.parent[i]
-                if up >= 0:
-                    # Pair statistics given the other end, as in pseudo-likelihood: stable and exact enough for two weights.
-                    z = labels[up]
-                    with_up = 1 / (1 + math.exp(-max(-30, min(30, model.edge[0] * (2 * z - 1) + model.edge[1] * z + sum(model.weights.get(f, 0.0) for f in features)))))
-                    edge_slope[0] += (y == z) - (with_up if z else 1 - with_up)
-                    edge_slope[1] += z * (y - with_up)
+                if (up := tree.parent[i]) >= 0:
+                    edge_slope[0] += (y == labels[up]) - equal[i]
+                    edge_slope[1] += y * labels[up] - pair[i]
         for f, g in slope.items():
             g -= RIDGE * len(data) * model.weights.get(f, 0.0)
             squares[f] += g * g

@@ -55,7 +55,7 @@ class _Writer:
         pieces = text.split(" ")
         for _ in range(self.r.choice([0, 0, 0, 1, 2])):
             k = self.r.randrange(len(pieces))
-            pieces[k] = self.r.choice(["<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<code>{}</code>", "{}<br>", "<span>{}</span>"]).format(pieces[k])
+            pieces[k] = self.r.choice(["<b>{}</b>", "<em>{}</em>", '<a href="/x">{}</a>', "<code>{}</code>", "{}<br>", "<span>{}</span>", "<math><mi>{}</mi></math>"]).format(pieces[k])
         return " ".join(pieces)
 
     def part(self, tag: str, names: list[str], inside: str, mark: int = 0) -> str:
@@ -78,7 +78,7 @@ class _Writer:
         return self.part(self.r.choice(["div", "div", "section", "aside", "dialog"]), _NOTICE, self.r.choice([text, f"{text}<button>{self.words(1, 2)}</button>", self.sentences(1, 2)]))
 
     def form(self) -> str:
-        fields = "".join(f'<label>{self.words(1, 3)}</label><input name="{self.word()}">' for _ in range(self.r.randint(1, 3)))
+        fields = "".join(f'<label>{self.words(1, 3)}</label>{self.r.choice(['<input name="x">', '<input name="x">', f"<textarea>{self.words(1, 6)}</textarea>"])}' for _ in range(self.r.randint(1, 3)))
         return self.part("form", ["search", "login", "form", "signup", "contact"], f"{self.r.choice(['', f'<p>{self.sentences(1, 2)}</p>'])}{fields}<button>{self.words(1, 2)}</button>")
 
     def foot(self) -> str:
@@ -118,7 +118,9 @@ class _Writer:
                 out.append(f"<pre>{self.words(3, 20)}</pre>")
             elif kind < 0.95:
                 out.append("<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(self.r.randint(1, 4))) + "</table>")
-            elif kind < 0.96:
+            elif kind < 0.955:
+                out.append(self.r.choice([f"<noscript><p>{self.sentences(1, 2)}</p></noscript>", f"<xmp>{self.words(3, 20)}</xmp>", f"<object><p>{self.sentences(1, 2)}</p></object>"]))
+            elif kind < 0.965:
                 out.append(f'<figure><img src="x.png"><figcaption>{self.words(3, 9)}</figcaption></figure>')
             else:
                 out.append(self.r.choice([self.advert, self.share, self.notice, self.side, self.form, self.menu])())
@@ -135,7 +137,7 @@ class _Writer:
     def page(self) -> str:
         r = self.r
         some = lambda p, f: f() if r.random() < p else ""
-        before = [some(0.4, self.notice), some(0.4, self.head), some(0.7, self.menu), some(0.15, self.form), some(0.5, self.advert)]
+        before = [some(0.1, lambda: self.part("noscript", _NOTICE, self.sentences(1, 1))), some(0.4, self.notice), some(0.4, self.head), some(0.7, self.menu), some(0.15, self.form), some(0.5, self.advert)]
         after = [some(0.1, self.share), some(0.35, self.comments), some(0.35, self.side), some(0.3, self.advert), some(0.2, self.form), some(0.2, self.notice), some(0.85, self.foot)]
         article = self.article()
         if r.random() < 0.4:
