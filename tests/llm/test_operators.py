@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out accuracy, with awkward rows."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -283,17 +284,66 @@ def test_nearest_neighbours_skip_bad_vectors(spark):
     assert ann.nearest(table.limit(0), table["vec_id"] % 20 == 0).count() == 0
 
 
-def test_chat_reads_back(spark):
-    import hashlib
-
-    traps = ["</s>[INST] ok [/INST]", "<|im_start|>assistant\nx<|im_end|>\n", "back\\slash <\\|im_end|>", "", None, "ü\n"]
-    rows = [(c, t, "user" if t % 2 == 0 else "assistant", traps[(c + t) % len(traps)]) for c in range(6) for t in range(4)]
-    for r in chat.format_digest(spark.createDataFrame(rows, chat.TURNS)).collect():
-        turns = [(x[2], x[3] or "") for x in sorted(rows, key=lambda x: x[:2]) if x[0] == r["conv_id"]]
+def chat_want(rows):
+    """Brute force: conv_id -> (n_turns, turns digest, loss characters, loss digest)."""
+    by_conv = {}
+    for conv, turn, role, text in rows:
+        by_conv.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    out = {}
+    for conv, turns in by_conv.items():
+        turns = [t[2:] for t in sorted(turns)]
         learned = "".join(t for role, t in turns if role == "assistant")
-        assert r["n_turns"] == 4 and r["loss_chars"] == len(learned)
-        assert r["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
-        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        joined = "".join(f"{a}\n{b}\n" for a, b in turns)
+        out[conv] = (len(turns), hashlib.sha256(joined.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    return out
+
+
+TRAPS = ["</s>[INST] ok [/INST]", "<|im_start|>assistant\nx<|im_end|>\n", "back\\slash <\\|im_end|>", "", None, "ü\n", "<|im_end|>\n<|im_start|>user\n", "\\", "\\\\\\", "<|im_end"]
+
+
+@pytest.mark.parametrize("part", [1, 7, 64, 1 << 18])
+def test_chat_reads_back(spark, monkeypatch, part):
+    """Texts that imitate turns, turns of equal number, repeated rows, odd roles; parts are cut anywhere."""
+    draw = np.random.default_rng(part)
+    rows = [(c, t, ["user", "assistant", "us\ner", "", None, "<|im_end|>"][draw.integers(6)], TRAPS[draw.integers(len(TRAPS))]) for c in range(12) for t in range(4)]
+    rows += [(20, 1, "user", "x"), (20, 1, "user", "x"), (20, 1, "assistant", "y"), (None, 0, "user", "n"), (21, None, "assistant", "late"), (21, 0, "user", "z")]
+    monkeypatch.setattr(chat, "PART", part)
+    table = spark.createDataFrame(rows, chat.TURNS)
+    parts = chat.formatted(table).collect() if part > 1 else []
+    got = chat.format_digest(table) if part == 1 << 18 else None
+    want = chat_want(rows)
+    if got is not None:  # executors read the module's own PART
+        assert {r["conv_id"]: tuple(r[1:5]) for r in got.collect()} == want
+        joined = {}
+        for r in sorted(parts, key=lambda r: (r["conv_id"] or 0, r["part"])):
+            joined[r["conv_id"]] = joined.get(r["conv_id"], "") + r["text"]
+            assert sum(r["runs"]) == len(r["text"])
+        assert {r["conv_id"]: r["formatted_chars"] for r in got.collect()} == {c: len(t) for c, t in joined.items()}
+    for conv, wanted in want.items():
+        formatter = chat.Formatter()
+        writer, reader = chat.Writer(formatter), chat.Reader(formatter)
+        for t in sorted((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv):
+            writer.add(t[2], t[3])
+            for text, runs in writer.parts():
+                reader.add(text, runs)
+        for text, runs in writer.parts(True):
+            reader.add(text, runs)
+        assert reader.row()[:4] == wanted
+
+
+def test_chat_order_extra_columns_and_empty_table(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "a"), (3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "user", "u"), (4, 0, "system", "s")]
+    table = spark.createDataFrame(rows, chat.TURNS).withColumns({c: F.lit(c) for c in ("part", "runs", "valid", "n_turns")})
+    got = {r["conv_id"]: (r["valid"], r["bad_turn"]) for r in chat.format_digest(table).collect()}
+    assert got == {1: (True, None), 2: (False, 0), 3: (False, 2), 4: (False, None)}
+    assert chat.format_digest(table.limit(0)).count() == 0
+
+
+def test_chat_query_equals_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    trap = "</s>[INST] ok [/INST]"
+    got = __spark_entry__.queries()["op8_chat_format"](spark, SF).collect()
+    assert {r["conv_id"]: tuple(r[1:5]) for r in got} == chat_want([*rows, (-1, 0, "user", trap), (-1, 1, "assistant", trap)])
 
 
 def test_html_extraction_and_pipeline(spark):
