@@ -1,6 +1,6 @@
 """Quality rules: fixed base rules, then a calibrated hashed n-gram classifier.
 
-Words, word pairs and byte 3- and 4-grams are hashed into one table of
+Words, word pairs and character 3- and 4-grams are hashed into one table of
 ``BUCKETS`` weights; within each of the four families a feature's value is its
 share of the family. A logistic regression is fitted on labelled rows and its
 output calibrated (Platt) on rows left out of the fit. Texts are scored whole,
@@ -22,7 +22,7 @@ from lumenfold.llm.common import mix64, slices, texts_of
 BUCKETS = 1 << 15
 #: Labelled rows used to fit and calibrate, at most about this many.
 TRAINING_ROWS = 2500
-ROUNDS = 80
+ROUNDS = 30
 RIDGE = 1e-4
 #: Calibrated probability of quality from which on a text is kept.
 KEEP_FROM = 0.5
@@ -35,7 +35,7 @@ _IS_SYMBOL = np.isin(np.arange(256), list(_SYMBOLS))
 # What counts as one code point of a word: neither white space nor a continuation byte.
 _IS_LETTER = ~np.isin(np.arange(256), list(_SPACE)) & ((np.arange(256) & 0xC0) != 0x80)
 _SHIFT = np.uint32(32 - 15)
-_MULTIPLY = np.uint32(2654435761)
+_MULTIPLY, _STEP, _OTHER = np.uint32(2654435761), np.uint32(0x85EBCA6B), np.uint32(0x5BD1E995)
 
 
 class _Words(dict):
@@ -88,14 +88,15 @@ def base_stats(text: bytes, words: list[bytes], codes: np.ndarray) -> tuple[int,
 
 
 def families(text: bytes, hashes: np.ndarray) -> list[np.ndarray]:
-    """Bucket numbers of a text's words, word pairs, byte 3-grams and byte 4-grams."""
+    """Bucket numbers of a text's words, word pairs, character 3-grams and 4-grams."""
     pairs = mix64(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
-    raw = np.frombuffer(text, np.uint8).astype(np.uint32)
-    three = raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:] if len(raw) > 2 else raw[:0]
-    four = three[:-1] << np.uint32(8) | raw[3:] if len(raw) > 3 else raw[:0]
+    signs = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    rolled = [signs]  # rolled[n] hashes the n + 1 characters from each place on
+    for n in range(1, 4):
+        rolled.append(rolled[-1][:-1] * _STEP + signs[n:] if len(signs) > n else signs[:0])
     return [
         (hashes % np.uint64(BUCKETS)).astype(np.int64), (pairs % np.uint64(BUCKETS)).astype(np.int64),
-        (three * _MULTIPLY >> _SHIFT).astype(np.int64), ((four ^ np.uint32(0x5BD1E995)) * _MULTIPLY >> _SHIFT).astype(np.int64),
+        (rolled[2] * _MULTIPLY >> _SHIFT).astype(np.int64), ((rolled[3] ^ _OTHER) * _MULTIPLY >> _SHIFT).astype(np.int64),
     ]
 
 
@@ -119,8 +120,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shares: dict[int, float]
 
     ``shares`` says which share of each label's rows was drawn. A row stands for
     the inverse of it in the calibration, so probabilities refer to the labels'
-    natural ratio however many rows there are. Without rows of both labels there is nothing to learn: every text then gets
-    the probability of the one label there is, or 1 without any.
+    natural ratio however many rows there are. Without rows of both labels there
+    is nothing to learn: every text then gets the probability of the one label
+    there is, or 1 without any.
     """
     labels = np.array([r[0] for r in rows], float)
     if len(set(labels)) < 2:

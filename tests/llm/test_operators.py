@@ -245,6 +245,33 @@ def test_quality_base_statistics(docs, odd, empty, spark):
     assert quality.judge(empty, quality.train(empty, labels.limit(0))).count() == 0
 
 
+def test_quality_features_are_character_ngrams():
+    def bucket(signs, other):
+        rolled = 0
+        for c in signs:
+            rolled = (rolled * 0x85EBCA6B + ord(c)) % 2**32 if rolled or c is not signs[0] else ord(c)
+        return (rolled ^ other) * 2654435761 % 2**32 >> 17
+
+    text = "ab é漢字 😀 abc"
+    _, _, three, four = quality.families(text.encode(), np.array([1, 2], np.uint64))
+    assert three.tolist() == [bucket(text[k : k + 3], 0) for k in range(len(text) - 2)]
+    assert four.tolist() == [bucket(text[k : k + 4], 0x5BD1E995) for k in range(len(text) - 3)]
+    assert [len(f) for f in quality.families("é漢".encode(), np.array([], np.uint64))] == [0, 0, 0, 0]
+
+
+def test_quality_verdict_equals_the_probability(docs, spark):
+    """kept: the base rules pass and the weights' sum over all features, computed one by one, has a probability from the threshold on."""
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in quality.judge(docs, model).collect():
+        raw, known = texts[r["doc_id"]].encode(), quality._Words()
+        hashes = np.array([known.hashes[known[w]] for w in raw.split()], np.uint64)
+        margin = float(model.bias) + sum(sum(float(model.weights[b]) for b in f) / len(f) for f in quality.families(raw, hashes) if len(f))
+        p = 1 / (1 + np.exp(-(model.slope * margin + model.shift)))
+        assert abs(p - r["quality_score"]) < 1e-4
+        assert r["kept"] == (not r["base_failed"] and r["quality_score"] >= quality.KEEP_FROM)
+
+
 def test_quality_probability_keeps_the_labels_ratio(spark, monkeypatch):
     # No word says anything about the label: unseen texts get the labels' ratio, whether all rows are drawn or 150 of each label.
     words = np.random.default_rng(1)
