@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.llm.common import mix64, slices, texts_of
+from lumenfold.llm.common import hot_keys, mix64, salted_join, slices, texts_of
 from lumenfold.llm.components import components
 from lumenfold.session import discard, keep
 
@@ -118,49 +118,40 @@ def signatures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)
+def _bit(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(13), doc_id), F.lit(FILTER_BITS))
 
 
-def _wanted_bits(spark: SparkSession, ids: DataFrame) -> np.ndarray:
+def _wanted_bits(ids: DataFrame) -> np.ndarray:
     """A fixed-size bit filter of the ids: 4 MB, whatever their number.
 
     As it fills up it lets more documents through, which the later join drops;
     it never loses one.
     """
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            seen[_bit(batch.column(0).to_numpy())] = True
-        words = np.packbits(seen).view(np.int64)
-        at = np.nonzero(words)[0]
-        yield pa.record_batch([pa.array(at), pa.array(words[at])], names=["at", "word"])
-
-    # A few partitions each make one filter of a fixed size; the filters are merged by their words.
-    found = ids.coalesce(8).mapInArrow(bits, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    bit = _bit("rep")
+    found = ids.select(F.shiftright(bit, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("word"))
+    got = found.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()  # FILTER_BITS / 64 rows at most
     words = np.zeros(FILTER_BITS // 64, np.int64)
-    got = found.toArrow()
     words[got.column("at").to_numpy()] = got.column("word").to_numpy()
-    return words.view(np.uint8)
+    return words
 
 
 def _sets(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, shingles) for the wanted ids: sorted hashes, packed."""
-    filled = spark.sparkContext.broadcast(_wanted_bits(spark, ids))
+    """(rep, shingles) for the wanted ids: sorted hashes, packed; a row per rep, however often it is repeated."""
+    filled = spark.sparkContext.broadcast(_wanted_bits(ids))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, bits = _WordHashes(), filled.value
+        known, words = _WordHashes(), filled.value
         for part in slices(batches, "text"):
-            at = _bit(part.column(0).to_numpy()).astype(np.int64)
-            part = part.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            bit = part.column(2).to_numpy()
+            part = part.filter(pa.array(words[bit >> 6] >> (bit & 63) & 1 == 1))
             if part.num_rows:
                 rows = [_pack(shingle_hashes(text, known)) for text in texts_of(part, "text")]
                 yield pa.record_batch([part.column(0), pa.array(rows, pa.binary())], names=["rep", "shingles"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(packed, "rep long, shingles binary").join(
-        ids, "rep", "left_semi"
-    )
+    narrow = docs.where("doc_id is not null").select("doc_id", "text", _bit("doc_id").alias("bit"))
+    found = narrow.mapInArrow(packed, "rep long, shingles binary").join(ids, "rep", "left_semi")
+    return found.groupBy("rep").agg(F.max("shingles").alias("shingles"))
 
 
 def _pack(shingles: np.ndarray) -> bytes:
@@ -213,6 +204,21 @@ def _prefixes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     return placed.where(f"100 * at <= {100 - PERCENT} * n").select(F.col("shingle").alias("key"), "rep", "n", "at")
 
 
+def _numbered(members: DataFrame) -> DataFrame:
+    """``members`` with a ``rank`` from 0 within each key, and salt and salts: into which of how many parts a frequent key deals a row."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    hot = hot_keys(sizes, ["key"])
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = members.join(F.broadcast(hot), "key", "left").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    before = Window.partitionBy("key").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = dealt.where("salts > 1").groupBy("key", "salt").agg(F.count("*").alias("rows")).select(
+        "key", "salt", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("shift")
+    )
+    local = dealt.withColumn("local", F.row_number().over(Window.partitionBy("key", "salt").orderBy("at", "rep")) - 1)
+    # The parts of hot keys are twice HOT_KEYS at most.
+    return local.join(F.broadcast(shifts), ["key", "salt"], "left").withColumn("rank", F.col("local") + F.coalesce("shift", F.lit(0))).drop("local", "shift")
+
+
 def _possible(n1: str, c1: str, n2: str, c2: str) -> Column:
     """Whether two sets of sizes n, of which c are shared at all, can be similar enough."""
     most = F.least(c1, c2)
@@ -244,8 +250,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, kept.
 
     Null and empty texts, and texts without a word, have an empty set and link
-    with nothing. Rows that share a doc_id are one document. A row without
-    doc_id links with nothing: its component_id is null and it is kept. Other
+    with nothing. Rows that share a doc_id are repeats of one document; should
+    their texts differ, each gets the group of its own text. A row without doc_id
+    links with nothing: its component_id is null and it is kept. Other
     columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -253,9 +260,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = keep(signatures(docs), "signatures")
     usable = signed.where("doc_id is not null and set_key is not null")
     classes = keep(
-        usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right")),
+        usable.groupBy("set_key").agg(
+            F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("left").alias("left"), F.first("right").alias("right")
+        ),
         "classes",
-    )
+    )
+    reps = keep(classes.select("set_key", "rep", "n"), "reps")
     pairs_of_hashes = F.flatten(
         F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(x, y, i * RIGHT + j)))
     )
@@ -284,18 +294,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).where("c0 <> c1 and m > 2").select("key")
     still = keep(buckets.join(open_keys, "key").select("rep").distinct(), "open")
     discard(buckets)
-    order = Window.partitionBy("key").orderBy("at", "rep")
-    members = keep(_prefixes(sets, still).withColumn("rank", F.row_number().over(order) - 1), "members")
+    members = keep(_numbered(keep(_prefixes(sets, still), "prefixes")), "members")
     most = members.agg(F.max("rank")).first()[0] or 0
     done, width = 0, PIVOTS
     while done < most:
         labels = groups.select(F.col("node").alias("rep"), "component")
-        now = members.join(labels, "rep", "left").select("key", "rep", "rank", "n", "at", component)
+        now = members.join(labels, "rep", "left").withColumn("group", F.coalesce("component", "rep"))
         pivots = now.where(f"rank >= {done} and rank < {done + width}").select(
-            F.col("key").alias("of"), F.col("rep").alias("a"), F.col("rank").alias("first"),
-            F.col("n").alias("na"), F.col("at").alias("ata"), F.col("component").alias("ga"),
+            F.col("key").alias("of"), F.col("rep").alias("a"), F.col("rank").alias("first"), F.col("n").alias("na"), F.col("at").alias("ata"),
+            F.col("group").alias("ga"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("part"),
         )
-        across = (F.col("key") == F.col("of")) & (F.col("rank") > F.col("first")) & (F.col("component") != F.col("ga"))
+        meet = (F.col("key") == F.col("of")) & (F.col("salt") == F.col("part"))
+        across = meet & (F.col("rank") > F.col("first")) & (F.col("group") != F.col("ga"))
         # If this is the first shingle they share, the intersection is at most what follows in either.
         most_common = F.least(F.col("n") - F.col("at"), F.col("na") - F.col("ata"))
         reach = (100 + PERCENT) * most_common >= PERCENT * (F.col("n") + F.col("na"))
@@ -306,12 +316,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             groups = keep(components(links), "components")
         done, width = done + width, 2 * width
 
-    rep_of = usable.select("doc_id", "n_shingles", "set_key")
-    labelled = (
-        rep_of.join(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "set_key")
-        .join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    own = salted_join(usable.select("doc_id", "n_shingles", "set_key"), reps.select("set_key", "rep"), ["set_key"], hot_keys(reps, ["set_key"]), ["doc_id"])
+    labelled = own.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )
+    for table in (sets, sizes, members, still):
+        discard(table)
     alone = signed.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

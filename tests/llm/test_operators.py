@@ -90,6 +90,24 @@ def test_near_duplicate_chains_in_one_bucket(spark):
     assert got == {i: c for i, (_, c) in groups(dict(rows)).items()}
 
 
+def test_near_duplicates_in_hot_buckets_with_repeated_rows(spark, monkeypatch):
+    """Frequent keys are dealt over parts, rows repeated, helper names taken: nothing changes."""
+    for module in (common, near_dedup):
+        monkeypatch.setattr(module, "HOT_ROWS", 2, raising=False)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(40)]
+    rows += [(100 + k, " ".join([f"y{k}-{j}" for j in range(6)] + base[:40])) for k in range(20)] + [(200 + k, rows[3][1]) for k in range(9)]
+    rows += [(300 + k, " ".join(base[:30] + [f"z{k // 2}-{j}" for j in range(8 + k % 2)])) for k in range(12)]
+    names = ["n", "key", "rep", "set_key", "left", "right", "salt", "salts", "rank", "component", "bit", "n_shingles"]
+    table = spark.createDataFrame(rows + rows[::2], "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    got = near_dedup.near_duplicates(table).collect()
+    want = groups(dict(rows))
+    assert len(got) == len(rows) + len(rows[::2]) and all((r["n_shingles"], r["component_id"]) == want[r["doc_id"]] for r in got)
+    left = near_dedup.drop_near_duplicates(table)
+    assert left.columns == table.columns and {r["doc_id"] for r in left.collect()} == {i for i, (_, c) in want.items() if c == i}
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -311,6 +329,27 @@ def test_nearest_neighbours_skip_bad_vectors(spark):
     assert ann.nearest(table.limit(0), table["vec_id"] % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind, group", [("double", 1 << 22), ("float", 40)])
+def test_nearest_neighbours_equal_brute_force(spark, monkeypatch, kind, group):
+    """Ties, equal vectors, two lengths, extra columns, more groups of queries than one. So few vectors are all scored exactly."""
+    monkeypatch.setattr(ann, "GROUP_VALUES", group)
+    draw = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in draw.integers(-3, 4, 8) / (7 if kind == "double" else 4)]) for k in range(50)]
+    rows += [(100 + k, rows[3][1]) for k in range(30)] + [(200 + k, [1.0 + k, 2.0, 1 / 3 if kind == "double" else 0.5]) for k in range(25)] + [(5, rows[5][1])]
+    rows = [r for r in rows if any(r[1])]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumns({c: F.lit(0) for c in ("q", "rep", "ids", "score", "rank", "d", "h1", "r")})
+    got = {}
+    for r in ann.nearest(table, F.col("vec_id") % 5 == 0, 7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    vectors = dict(rows)
+    assert set(got) == {i for i in vectors if i % 5 == 0}
+    for q, found in got.items():
+        scores = {i: float((np.array(v) * np.array(vectors[q])).sum()) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])}
+        want = sorted(scores, key=lambda i: (-scores[i], i))[:7]
+        assert [v for _, v, _ in sorted(found)] == want
+        assert all(s == scores[v] for _, v, s in found)
+
+
 def chat_want(rows):
     """Brute force: conv_id -> (n_turns, turns digest, loss characters, loss digest)."""
     by_conv = {}
