@@ -139,8 +139,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
             name = f"tokens-{part:06d}-{shard:06d}.bin"
             write_file(f"{path}/{name}", shard_bytes(doc_ids, np.concatenate(ids), np.concatenate(ends)))
             return pa.record_batch(
-                [pa.array([name]), pa.array([len(doc_ids)], pa.int64()), pa.array([total], pa.int64())],
-                names=["name", "n_docs", "n_tokens"],
+                [pa.array([name]), pa.array([part], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([total], pa.int64())],
+                names=["name", "part", "n_docs", "n_tokens"],
             )
 
         for batch in slices(batches, "text"):
@@ -160,10 +160,15 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int, path: str)
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text"
     )
-    shards = keep(ordered.mapInArrow(write, "name string, n_docs long, n_tokens long"), "shards")
-    # A row per shard of millions of ids: a single ordered window over them stays small.
-    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    shards = keep(ordered.mapInArrow(write, "name string, part int, n_docs long, n_tokens long"), "shards")
+    # Shards are summed within their range partition; only a row per partition is ordered whole.
+    whole = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n, window: F.coalesce(F.sum(n).over(window), F.lit(0))
+    shift = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before("n", whole).alias("shift"))
+    return shards.withColumn("local", before("n_tokens", within)).join(shift, "part").select(
+        "name", "n_docs", "n_tokens", (F.col("local") + F.col("shift")).alias("start")
+    )
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -173,7 +178,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 shard = Shard(content.as_py())
-                ends = shard.boundaries.decode()
+                # Each document's end by select: no table of 64-bit offsets is stored.
+                ends = np.array([shard.boundaries.select(i) for i in range(shard.boundaries.n)], np.int64)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 raw, view = shard.ids.astype("<u4").tobytes(), memoryview
                 crc = [zlib.crc32(view(raw)[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]

@@ -1,13 +1,15 @@
 """Whole texts to token ids, in Arrow batches.
 
-White space always ends a token in the word-level vocabulary used here, so the
+In vocabularies with the rules of ``_RULES`` white space always ends a token, so the
 ids of a text are the ids of its white-space-free chunks, one after the other.
+With any other rules a text is encoded whole.
 Natural text repeats its chunks: each worker encodes a chunk once with the
 tokenizers library and then only looks it up.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -27,6 +29,29 @@ _BYTE_CHARS = {b: chr(b) for b in _SELF} | {
     b: chr(0x100 + k) for k, b in enumerate(x for x in range(0x100) if x not in _SELF)
 }
 
+# The rules of a vocabulary file for which the short cuts below are right.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None, "truncation": None, "padding": None,
+}
+
+
+def known_rules(path: str) -> bool:
+    """Whether a vocabulary file splits and lower-cases text as the short cuts do; if not, texts are encoded whole."""
+    with open(path, encoding="utf-8") as file:
+        written = json.load(file)
+    special = all("<|" in t["content"] and not t["lstrip"] and not t["rstrip"] and not t["single_word"] for t in written["added_tokens"])
+    return special and written["model"]["type"] == "BPE" and not written["model"].get("dropout") and all(written.get(k) == v for k, v in _RULES.items())
+
 
 class _Chunks(dict):
     """Chunk to ids, as bytes of unsigned 32-bit integers; learns what it lacks.
@@ -41,6 +66,7 @@ class _Chunks(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
+        self.short_cuts = known_rules(path)
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
@@ -84,6 +110,9 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the offsets of the texts (one more than texts)."""
+        if not self.known.short_cuts:
+            own = [[*e.ids, end] for e in self.known.tokenizer.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in own for i in ids], np.uint32), np.cumsum([0, *map(len, own)])
         chunks = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         bounds = chunks.offsets.to_numpy().astype(np.int64)
         flat = chunks.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
