@@ -152,6 +152,26 @@ def test_token_files_read_back(odd, docs, empty):
     assert token_files.token_file_digest(empty, VOCABULARY).count() == 0
 
 
+def test_encoding_by_other_rules(tmp_path):
+    """A file with other rules than the known ones is encoded as the library does it."""
+    import json
+
+    import pyarrow as pa
+    from lumenfold.llm import tokens
+
+    assert tokens.known_rules(VOCABULARY)
+    with open(VOCABULARY) as file:
+        written = json.load(file)
+    written["normalizer"]["normalizers"].pop()  # no lower case
+    (tmp_path / "other.json").write_text(json.dumps(written))
+    texts = ["Some Text's é 12", "", None, "<|endoftext|> x"]
+    for path in (VOCABULARY, str(tmp_path / "other.json")):
+        tokenizer = Tokenizer.from_file(path)
+        ids, offsets = tokens.ChunkEncoder(path).encode(pa.array(texts), 9)
+        want = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 9] for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == want
+
+
 def test_elias_fano_select():
     rng = np.random.default_rng(1)
     for values in ([], [0], [5, 5, 5], np.sort(rng.integers(0, 10**9, 3000)), np.arange(2000)):
@@ -214,7 +234,54 @@ def test_mixing_meets_targets(docs, odd, empty):
             if table is docs:
                 assert abs(taken - target) <= 0.02 * target + 5
     assert mixing.mix(empty).count() == 0
-    assert mixing.targets([100, 100, 100], [3, 1, 2], 450) == [200, 250 / 3, 500 / 3]
+
+
+def shared_out(sizes, weights, total, most=2.0):
+    """Brute force: share by weight, stop what exceeds, share the rest again."""
+    out, open_, left = {}, list(range(len(sizes))), total
+    while open_:
+        weight = sum(weights[i] for i in open_)
+        over = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
+        out |= {i: most * sizes[i] for i in over} if over else {i: left * weights[i] / weight for i in open_}
+        left, open_ = left - sum(out[i] for i in over), [i for i in open_ if i not in over] if over else []
+    return [out[i] for i in range(len(sizes))]
+
+
+def test_mixing_targets_equal_brute_force(spark):
+    assert shared_out([100, 100, 100], [3, 1, 2], 450) == [200, 250 / 3, 500 / 3]
+    draw = np.random.default_rng(5)
+    for n in (1, 3, 200):
+        names = sorted((f"{'é' if k % 3 else 'z'}{k}" for k in range(n - 1)), key=str.encode) + [None]
+        sizes = [int(x) for x in draw.integers(0, 3, n) * 10 ** draw.integers(0, 6, n)]
+        rows = [(f"+{s}" if s else "-", s, z) for s, z in zip(names, sizes, strict=True)]
+        got = {r["source"]: r["target"] for r in mixing.with_targets(spark.createDataFrame(rows, "site string, source string, source_size long")).collect()}
+        want = shared_out(sizes, [mixing.WEIGHTS[k % 3] for k in range(n)], 1.5 * sum(sizes))
+        assert [got[s] for s in names] == pytest.approx(want)
+
+
+def test_mixing_of_many_chunks_nulls_and_repeats(spark, monkeypatch):
+    """Sources of more rows than a chunk, rows without doc_id or source, repeated rows, helper names taken."""
+    monkeypatch.setattr(mixing, "CHUNK", 20)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    draw = np.random.default_rng(6)
+    rows = [(None if k % 9 == 0 else k // 2, " ".join("w" * int(draw.integers(1, 60))), ["a", "b", None, ""][k % 4]) for k in range(600)]
+    rows += rows[:30] + [(7, None, "a"), (8, "", "b")]
+    names = ["key", "row", "size", "copy", "copies", "number", "times", "nth", "site", "p", "rows"]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(c) for c in names})
+    got, again = mixing.mix(table).collect(), mixing.mix(table).collect()
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, again))
+    totals = {}
+    for r in got:
+        total = totals.setdefault(r["source"], [r["target"], 0])
+        total[1] += r["taken"]
+    assert all(abs(taken - target) <= 0.01 * target for target, taken in totals.values())
+    mixed = mixing.mixed_documents(table)
+    assert mixed.columns == table.columns
+    want = Counter()
+    for r in got:
+        want[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    have = Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in mixed.collect())
+    assert have == +want
 
 
 def test_language_id_held_out(docs, odd, empty):
@@ -228,7 +295,6 @@ def test_language_id_held_out(docs, odd, empty):
 
 
 def test_language_id_learns_a_rare_language(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MOST_ENTRIES", 40)
     monkeypatch.setattr(language_id, "TRAINING_DOCUMENTS", 60)
     draw = np.random.default_rng(2)
     word = lambda letters: "".join(draw.choice(list(letters), 5))
