@@ -2,9 +2,8 @@
 
 A known word scores its per-language log frequency. An unseen word is scored by
 its longest known character n-grams: those of the longest length of which it
-has any, down to single letters. Frequencies come from labelled documents, drawn
-per language; the tables keep each language's most frequent entries, so the
-model's size depends on the number of languages only, whatever the corpus.
+has any, down to single letters. Frequencies come from a bounded number of
+labelled documents of each language; every word and n-gram of these is kept.
 """
 
 from __future__ import annotations
@@ -19,20 +18,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenfold.llm.common import slices
 from lumenfold.session import keep
 
 #: Labelled documents of each language that the model is fitted on, at most about this many.
-TRAINING_DOCUMENTS = 20_000
-#: Entries kept per language and kind: whole words, and n-grams of each length.
-MOST_ENTRIES = 30_000
+TRAINING_DOCUMENTS = 5_000
 NGRAMS = (4, 3, 2, 1)
 HELD_OUT = 5
 SMOOTHING = 0.5
-#: Documents whose best language is less probable than this are rejected by the pipeline.
-LEAST_SCORE = 0.3
+#: Documents of which a smaller share of the words is known, as a word or by its longest n-grams, are rejected by the pipeline.
+LEAST_KNOWN = 0.25
 #: How much of a word's evidence counts, as neighbouring words are not independent.
 TEMPER = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -108,14 +104,19 @@ class Model:
     def __init__(self, langs: list[str], prior: np.ndarray, tables: dict[int, Table]):
         self.langs, self.prior, self.tables = langs, prior, tables
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((_REMEMBERED, len(langs)), np.float32)
+        self.rows = np.zeros((_REMEMBERED, len(langs) + 1), np.float32)
 
     def evidence(self, words: list[str]) -> np.ndarray:
-        """A row per word: its own, or the mean of its known n-grams of the longest length that has any."""
-        out = np.zeros((len(words), len(self.langs)), np.float32)
+        """A row per word: its own, or the mean of its known n-grams of the longest length that has any.
+
+        The last column is 1 if the word is known, or has a known n-gram of the
+        longest length that fits it; it doesn't depend on the number of languages.
+        """
+        out = np.zeros((len(words), len(self.langs) + 1), np.float32)
         table = self.tables[0]
         at = np.fromiter((table.index.get(w, -1) for w in words), np.int64, len(words))
-        out[at >= 0] = table.rows(at[at >= 0])
+        out[at >= 0, :-1] = table.rows(at[at >= 0])
+        out[at >= 0, -1] = 1
         left = np.nonzero(at < 0)[0]
         for n in NGRAMS:
             if not len(left):
@@ -128,6 +129,8 @@ class Model:
             rows = table.rows(at[at >= 0])
             for k in range(len(self.langs)):
                 out[left, k] = np.bincount(owner, rows[:, k], len(left)) / np.maximum(found, 1)
+            longest = np.array([n == min(NGRAMS[0], len(words[k]) + 2) for k in left.tolist()])
+            out[left, -1] = (found > 0) & longest
             left = left[found == 0]
         return out
 
@@ -138,8 +141,8 @@ class Model:
         self.__init__(*state)
 
     def total(self, words: list[str]) -> np.ndarray:
-        """Summed evidence of the words."""
-        total = np.zeros(len(self.langs))
+        """Summed evidence of the words, and how many of them are known."""
+        total = np.zeros(len(self.langs) + 1)
         for k in range(0, len(words), _AT_ONCE):
             part = words[k : k + _AT_ONCE]
             if len(self.known) + len(part) > _REMEMBERED:
@@ -152,18 +155,21 @@ class Model:
             total += self.rows[at].sum(axis=0, dtype=float)
         return total
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Language and its probability for each text; ``und`` and 0 without a letter or a model."""
-        langs, scores = [], []
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, its probability and the share of known words for each text; ``und``, 0 and 0 without a letter or a model."""
+        langs, scores, known = [], [], []
         for text in texts:
             if not text or not self.langs or not _LETTER.search(text):
-                langs.append("und"), scores.append(0.0)
+                langs.append("und"), scores.append(0.0), known.append(0.0)
                 continue
-            logits = self.prior + TEMPER * self.total(words_of(text))
+            words = words_of(text)
+            *total, share = self.total(words)
+            known.append(share / max(1, len(words)))
+            logits = self.prior + TEMPER * np.array(total)
             odds = np.exp(logits - logits.max())
             best = int(odds.argmax())
             langs.append(self.langs[best]), scores.append(float(odds[best] / odds.sum()))
-        return langs, scores
+        return langs, scores, known
 
 
 def train(docs: DataFrame) -> Model:
@@ -187,12 +193,9 @@ def train(docs: DataFrame) -> Model:
     langs = sorted(per_lang)
     place = {lang: k for k, lang in enumerate(langs)}
     prior = np.log(np.array([per_lang[lang] for lang in langs], float) + 1) if langs else np.zeros(0)
-    # Ranks up to a fixed number: each task passes on at most so many rows per language.
-    rank = F.row_number().over(Window.partitionBy("kind", "lang").orderBy(F.desc("n"), "entry"))
-    chosen = keep(totals.withColumn("rank", rank).where(F.col("rank") <= MOST_ENTRIES).select("kind", "entry").distinct(), "language-entries")
-    wanted, tables = totals.join(chosen, ["kind", "entry"], "left_semi"), {}
+    tables = {}
     for kind in (0, *NGRAMS):
-        found = wanted.where(F.col("kind") == kind).select("entry", "lang", "n").toArrow()
+        found = totals.where(F.col("kind") == kind).select("entry", "lang", "n").toArrow()
         coded = found["entry"].combine_chunks().dictionary_encode()
         where = np.array([place[lang] for lang in found["lang"].to_pylist()], np.int64)
         tables[kind] = Table(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), where, found["n"].to_numpy().astype(float), len(langs))
@@ -200,10 +203,12 @@ def train(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
-    """Columns of ``docs`` with lang_pred and score added; every whole text is read.
+    """Columns of ``docs`` with lang_pred, score and known added; every whole text is read.
 
+    ``known`` is the share of words that the model knows, see :meth:`Model.evidence`.
     Text that is null or holds no letter is ``und`` with score 0, and so is all
-    text under a model that learned no language.
+    text under a model that learned no language. A column of ``docs`` that has
+    one of these three names can't be among ``columns``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in columns if c != "text"] or ["doc_id"]
@@ -212,25 +217,25 @@ def identify(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
-            langs, scores = shared.value.predict(list(texts))
+            langs, scores, known = shared.value.predict(list(texts))
             yield pa.record_batch(
-                [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*kept, "lang_pred", "score"],
+                [*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())],
+                names=[*kept, "lang_pred", "score", "known"],
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return narrow.mapInArrow(run, f"{fields}, lang_pred string, score double, known double")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without rows of no recognisable language (``und`` or a score below ``LEAST_SCORE``)."""
+    """``docs`` without rows of no recognisable language: ``und``, or fewer than ``LEAST_KNOWN`` of the words known."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            langs, scores = shared.value.predict(list(part.column(at).to_numpy(zero_copy_only=False)))
-            good = [lang != "und" and score >= LEAST_SCORE for lang, score in zip(langs, scores, strict=True)]
+            langs, _, known = shared.value.predict(list(part.column(at).to_numpy(zero_copy_only=False)))
+            good = [lang != "und" and share >= LEAST_KNOWN for lang, share in zip(langs, known, strict=True)]
             yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -28,7 +28,7 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = language_id.identify(docs, language_id.train(docs), "doc_id")
-    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "known")
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:

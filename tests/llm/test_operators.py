@@ -294,6 +294,18 @@ def test_language_id_held_out(docs, odd, empty):
     assert language_id.identify(odd, language_id.train(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_rejects_what_no_model_knows(docs, spark):
+    clean = [r["text"] for r in docs.where("lang is not null and length(text) > 20").orderBy("doc_id").limit(40).collect()]
+    strange = ["xqzv kjwx qqzzk vxkw jqxz", "лорем ипсум долор сит амет", "漢字 仮名 交 文", "12 34 !!", "", None]
+    texts = [*clean, *(" ".join(t.split()[:2]) for t in clean), *strange]
+    rows = spark.createDataFrame([(10**6 + k, t, "xx", 1, k) for k, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long, known int")
+    table = docs.withColumn("known", F.lit(0)).unionByName(rows.withColumn("lang", F.lit(None).cast("string")))
+    left = language_id.keep_identified(table)
+    assert left.columns == table.columns
+    kept = {r["known"] for r in left.where("source = 'xx'").collect()}
+    assert kept == set(range(2 * len(clean)))
+
+
 def test_language_id_learns_a_rare_language(spark, monkeypatch):
     monkeypatch.setattr(language_id, "TRAINING_DOCUMENTS", 60)
     draw = np.random.default_rng(2)
@@ -476,12 +488,3 @@ def test_chat_query_equals_brute_force(spark):
     trap = "</s>[INST] ok [/INST]"
     got = __spark_entry__.queries()["op8_chat_format"](spark, SF).collect()
     assert {r["conv_id"]: tuple(r[1:5]) for r in got} == chat_want([*rows, (-1, 0, "user", trap), (-1, 1, "assistant", trap)])
-
-
-def test_html_extraction_and_pipeline(spark):
-    got = __spark_entry__.queries()["op6_html_extraction"](spark, SF)
-    assert got.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
-    assert got.where("text is null or n_chars <> length(text) or text rlike '</?(div|p|script)'").count() == 0
-    packed = __spark_entry__.queries()["pipeline"](spark, SF)
-    per = packed.groupBy("sequence_id").sum("length").collect()
-    assert per and max(r[1] for r in per) <= 4096
