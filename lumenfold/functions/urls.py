@@ -5,6 +5,10 @@ from __future__ import annotations
 import posixpath
 from urllib.parse import unquote, urlsplit
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lumenfold.schemas import InvalidPath
 
 
@@ -42,3 +46,19 @@ def inside(root: str, path: str) -> bool:
     """Whether a path stays below a root after ``..`` is worked out."""
     root = posixpath.normpath(root)
     return posixpath.normpath(path).startswith(root.rstrip("/") + "/")
+
+
+def resolved(requests: DataFrame, column: str = "path") -> DataFrame:
+    """``requests`` with domain, filename and error of each request path or url in ``column``."""
+
+    @F.pandas_udf("domain string, filename string, error string")
+    def parts(paths: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw in paths:
+            try:
+                rows.append((*archive_path(raw or ""), None))
+            except InvalidPath as error:
+                rows.append((None, None, str(error)))
+        return pd.DataFrame(rows, columns=["domain", "filename", "error"], dtype="object")
+
+    return requests.withColumn("_lf_parts", parts(column)).select(*[F.col(f"`{c}`") for c in requests.columns], "_lf_parts.*")

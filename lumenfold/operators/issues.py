@@ -33,3 +33,8 @@ def merge(*groups: DataFrame) -> DataFrame:
 
 def ordered(issues: DataFrame) -> DataFrame:
     return issues.orderBy("store", "domain", "filename", "path", "message", "severity", "document_ids")
+
+
+def label(*parts: str):
+    """The parts of an issue's place that aren't empty, joined for reading."""
+    return F.concat_ws(" / ", *[F.when(F.col(p) != "", F.col(p)) for p in parts])

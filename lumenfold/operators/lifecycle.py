@@ -5,16 +5,19 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import time
+import uuid
 import zipfile
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.urls import archive_path, inside
 from lumenfold.operators import consistency, stats
 from lumenfold.schemas import DOCUMENTS, STATS, ArchiveError, DocumentMissing, FileMissing, InvalidPath
-from lumenfold.sources.archive import documents, html_files, list_files, read_pages, unattributed
+from lumenfold.session import keep
+from lumenfold.sources.archive import copy_files, documents, html_files, list_files, read_pages, unattributed
 from lumenfold.sources.store import Store
 
 
@@ -74,11 +77,10 @@ class Archive:
 
     def repair(self) -> DataFrame:
         """Rebuild both tables; issues that no rebuilding heals are carried over."""
-        lost = self.check().where("not recoverable").collect()
-        carried = self.spark.createDataFrame(lost, self.check().schema)
+        lost = keep(self.check().where("not recoverable"), "lost")
         self.rebuild(strict=False)
         self.refresh_counts()
-        return consistency.ordered(consistency.merge(carried, self.check()))
+        return consistency.ordered(consistency.merge(lost, self.check()))
 
     def add_file(self, domain: str, filename: str, html: str) -> None:
         target = os.path.join(self.root, domain, filename)
@@ -112,42 +114,97 @@ class Archive:
         return found
 
     def backup(self, target: str) -> dict:
-        """Tables and pages in one zip file, with a manifest."""
-        work = f"{target}.parts"
-        shutil.rmtree(work, ignore_errors=True)
-        self.docs().write.parquet(f"{work}/backup/documents")
-        self.counts().write.parquet(f"{work}/backup/stats")
-        shutil.copytree(self.root, f"{work}/backup/archive", symlinks=False, ignore=lambda d, names: [n for n in names if os.path.islink(f"{d}/{n}")])
-        manifest = {"created_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "documents": "documents", "stats": "stats", "archive_dir": "archive"}
-        with open(f"{work}/backup/manifest.json", "w") as out:
+        """Both tables and all pages below ``target``/backup, with a manifest; pages are copied by tasks."""
+        base = f"{target.rstrip('/')}/backup"
+        self.docs().write.mode("overwrite").parquet(f"{base}/documents.parquet")
+        self.counts().write.mode("overwrite").parquet(f"{base}/stats.parquet")
+        copy_files(list_files(self.spark, self.root), f"{base}/archive")
+        now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        manifest = {"created_at": now, "documents": "documents.parquet", "stats": "stats.parquet", "archive_dir": "archive"}
+        with open(f"{base}/manifest.json", "w") as out:
             json.dump(manifest, out, indent=2)
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-            for folder, _, names in os.walk(work):
-                for name in names:
-                    out.write(f"{folder}/{name}", os.path.relpath(f"{folder}/{name}", work))
-        shutil.rmtree(work)
         return manifest
 
     def restore(self, source: str) -> None:
-        """Pages from a backup; the tables are then built anew from them. A failed copy leaves the old pages."""
-        work, old = f"{source}.parts", f"{self.root}.old"
-        shutil.rmtree(work, ignore_errors=True)
-        with zipfile.ZipFile(source) as held:
-            for name in held.namelist():
-                if name.startswith(("/", "\\")) or ".." in name.replace("\\", "/").split("/"):
-                    raise InvalidPath(name)
-            held.extractall(work)
-        pages = f"{work}/backup/archive"
-        if not os.path.isdir(pages):
-            raise ArchiveError("the backup holds no archive folder")
-        shutil.rmtree(old, ignore_errors=True)
+        """Pages from a backup folder; the tables are then built anew from them.
+
+        The pages are copied beside the old ones first: until they are all there
+        nothing changes, and a failed swap puts the old ones back.
+        """
+        entries = keep(entries_of(list_files(self.spark, source)), "entries")
+        # A table is a folder as well: here all but folders named archive may be one.
+        either = entries.withColumn("is_file", F.lower(F.element_at(F.split("path", "/"), -1)) != "archive")
+        parts = discover(either, "documents.parquet", "stats.parquet", "stats.parquet").first()
+        for name, what in (("dump", "documents table"), ("database", "stats table"), ("archive_dir", "archive folder")):
+            if parts[name] is None:
+                raise ArchiveError(f"the backup holds no {what}")
+        new, old = f"{self.root}.{uuid.uuid4().hex}.new", f"{self.root}.{uuid.uuid4().hex}.old"
+        copy_files(list_files(self.spark, f"{source.rstrip('/')}/{parts['archive_dir']}"), new)
         os.rename(self.root, old)
         try:
-            shutil.copytree(pages, self.root)
+            os.rename(new, self.root)
         except OSError:
-            shutil.rmtree(self.root, ignore_errors=True)
             os.rename(old, self.root)
             raise
-        shutil.rmtree(old), shutil.rmtree(work)
+        shutil.rmtree(old)
         self.rebuild(strict=True)
         self.refresh_counts()
+
+
+def entries_of(listing: DataFrame) -> DataFrame:
+    """(path, is_file) of a listing's files and of all folders around them."""
+    parts = F.split("rel", "/")
+    folders = listing.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("path"))
+    nested = folders.where("path <> ''").distinct().select("path", F.lit(False).alias("is_file"))
+    return listing.select(F.col("rel").alias("path"), F.lit(True).alias("is_file")).union(nested)
+
+
+def discover(entries: DataFrame, dump: str = ".dump", database: str = ".sql", preferred: str = "database.sql") -> DataFrame:
+    """One row (dump, database, archive_dir): what a restore takes of the entries (path, is_file) of a backup; null where there is none.
+
+    Of several candidates: the preferred name, else the least depth, else the
+    first path; of folders named archive the one of least depth. Names are
+    compared in lower case.
+    """
+    name, depth = F.lower(F.element_at(F.split("path", "/"), -1)), F.size(F.split("path", "/"))
+    best = lambda suffix, wanted: F.min(
+        F.when(F.col("is_file") & name.endswith(suffix), F.struct((name != wanted).alias("other"), depth.alias("depth"), "path"))
+    )["path"]
+    folder = F.min(F.when(~F.col("is_file") & (name == "archive"), F.struct(depth.alias("depth"), "path")))["path"]
+    return entries.agg(best(dump, "").alias("dump"), best(database, preferred).alias("database"), folder.alias("archive_dir"))
+
+
+def safe_entry(path: Column | str) -> Column:
+    """Whether a name in a zip file stays below the folder it is unpacked to."""
+    plain = F.replace(F.col(path) if isinstance(path, str) else path, F.lit("\\"), F.lit("/"))
+    return ~(plain.startswith("/") | F.exists(F.split(plain, "/"), lambda x: x == "..") | plain.rlike(r"^[./]*$"))
+
+
+def zip_backup(folder: str, target: str) -> None:
+    """A backup folder as one zip file, for archives small enough to be one; links are left out."""
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(folder):
+            for name in sorted(names):
+                if not os.path.islink(path := f"{at}/{name}"):
+                    out.write(path, os.path.relpath(path, folder))
+
+
+def unzip_backup(source: str, folder: str) -> None:
+    """Unpack a zip file, unless one of its names leaves the folder."""
+    with zipfile.ZipFile(source) as held:
+        for name in held.namelist():
+            if name.startswith(("/", "\\")) or ".." in name.replace("\\", "/").split("/"):
+                raise InvalidPath(name)
+        held.extractall(folder)
+
+
+def wait_for_file(path: str, seconds: float = 15.0, pause: float = 0.5) -> str:
+    """The path, once a file is there; :class:`FileMissing` after ``seconds``. A blank path is an error."""
+    if not path.strip():
+        raise InvalidPath("path is empty")
+    end = time.monotonic() + seconds
+    while not os.path.isfile(path):
+        if time.monotonic() >= end:
+            raise FileMissing(path)
+        time.sleep(pause)
+    return path

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.schemas import ArchiveError
+from lumenfold.session import keep
+from lumenfold.sources.store import Store
 
 FIELDS = ("id", "title", "filename", "domain", "content")
 HITS_PER_PAGE = 10
@@ -72,13 +74,49 @@ def matching_terms(terms: DataFrame, wanted: list[str]) -> DataFrame:
     return terms.select("term").distinct().select("term", F.explode(F.array(*found)).alias("m")).select("term", "m.*").where("typos is not null")
 
 
-def ranked(documents: DataFrame, query: str) -> DataFrame:
-    """(id, words, typos, gaps, field, exact) of all documents that hold a leading part of the query."""
+class Index:
+    """Stored postings: a search reads the table of distinct terms, and the postings of the shards its terms fall in.
+
+    A term's shard is a hash of it; postings are written by shard, so the others
+    are never read.
+    """
+
+    SHARDS = 64
+
+    def __init__(self, store: Store, name: str = "search"):
+        self.store, self.terms, self.places = store, f"{name}-terms", f"{name}-postings"
+
+    def build(self, documents: DataFrame) -> None:
+        shard = F.pmod(F.xxhash64("term"), F.lit(self.SHARDS)).cast("int")
+        placed = postings(documents).withColumn("shard", shard)
+        # Also by a hash of the document, so that no frequent term makes one huge file.
+        spread = placed.repartition("shard", F.pmod(F.xxhash64("id"), F.lit(8)))
+        self.store.write(self.places, spread, "shard")
+        held = self.store.read(self.places)
+        counted = held.groupBy("term", "shard").agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("documents"))
+        self.store.write(self.terms, counted)
+
+    def hits(self, wanted: list[str]) -> DataFrame:
+        """The postings of all terms that match, with no, typos and exact."""
+        terms = self.store.read(self.terms)
+        found = keep(matching_terms(terms, wanted).join(terms.select("term", "shard"), "term"), "matches")
+        shards = [r["shard"] for r in found.select("shard").distinct().collect()]  # SHARDS at most
+        return self.store.read(self.places).where(F.col("shard").isin(shards)).drop("shard").join(found.drop("shard"), "term")
+
+
+def ranked(documents: DataFrame | Index, query: str) -> DataFrame:
+    """(id, words, typos, gaps, field, exact) of all documents that hold a leading part of the query.
+
+    From an index, or else from documents whose postings are made on the way.
+    """
     wanted = query_terms(query)
     if not wanted:
         raise ArchiveError("query is empty")
-    places = postings(documents)
-    hits = places.join(matching_terms(places, wanted), "term")
+    if isinstance(documents, Index):
+        hits = documents.hits(wanted)
+    else:
+        places = postings(documents)
+        hits = places.join(matching_terms(places, wanted), "term")
     best = hits.groupBy("id", "no").agg(
         F.min("typos").alias("typos"), F.min("field").alias("field"), F.max("exact").alias("exact"),
         F.min(F.struct("field", "pos")).alias("place"),
@@ -127,20 +165,37 @@ def crop(text: Column | str, pattern: str, words: int = CROP_WORDS) -> Column:
     return F.when(F.size(parts) <= words, text).otherwise(F.concat(head, inside, tail))
 
 
-def search(documents: DataFrame, query: str, page: int = 1) -> DataFrame:
+def search(documents: DataFrame, query: str, page: int = 1, index: Index | None = None) -> DataFrame:
     """The hits of one page in rank order: id, title, filename, content (cropped, highlighted), domain, rnk."""
     if page < 1:
         raise ArchiveError("page numbers start at 1")
     skipped = (page - 1) * HITS_PER_PAGE
     order = [F.desc("words"), "typos", "gaps", "field", F.desc("exact"), "id"]
     size = min(HITS_PER_PAGE, max(0, MOST_HITS - skipped))
-    top = ranked(documents, query).orderBy(*order).offset(skipped).limit(size)
+    top = ranked(index or documents, query).orderBy(*order).offset(skipped).limit(size)
     numbered = top.withColumn("rnk", F.monotonically_increasing_id() + F.lit(skipped + 1)).select("id", "rnk")
     pattern = _pattern(query_terms(query))
     found = documents.join(F.broadcast(numbered), "id")  # at most ten rows of two numbers
     return found.select("id", "title", "filename", highlight(crop("content", pattern), pattern).alias("content"), "domain", "rnk").orderBy("rnk")
 
 
+def shown(hits: DataFrame) -> DataFrame:
+    """Hits with something to show; those with empty content are hidden."""
+    return hits.where(F.coalesce("content", F.lit("")) != "")
+
+
+def padded(hits: DataFrame, page: int = 1) -> DataFrame:
+    """A page of exactly ``HITS_PER_PAGE`` rows: places without a hit have empty columns."""
+    first = (page - 1) * HITS_PER_PAGE + 1
+    places = hits.sparkSession.range(first, first + HITS_PER_PAGE).select(F.col("id").alias("rnk"))
+    return places.join(hits, "rnk", "left").select("rnk", *[F.coalesce(c, F.lit("")).alias(c) for c in hits.columns if c != "rnk"]).orderBy("rnk")
+
+
+def as_json(hits: DataFrame) -> DataFrame:
+    """(rnk, json): each hit as a JSON object of its columns."""
+    return hits.select("rnk", F.to_json(F.struct(*[c for c in hits.columns if c != "rnk"])).alias("json"))
+
+
 def typo_matches(places: DataFrame, term: str, budget: int, key: str = "id") -> DataFrame:
     """(key, term) of plain ASCII terms within ``budget`` edits of ``term``."""
     near = places.select("term").distinct().where(F.col("term").rlike("^[a-z0-9]+$") & F.levenshtein("term", F.lit(term), budget).between(0, budget))

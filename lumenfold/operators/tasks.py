@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -98,6 +99,22 @@ def finish(tasks: DataFrame, outcome: DataFrame, now: Column | None = None) -> D
     return joined.select([changes.get(c, F.col(c if c == "id" else f"t.{c}")).alias(c) for c in tasks.columns])
 
 
+def poll(create: Callable[[str], tuple], query: Callable[[str], tuple], url: str, seconds: float = 120.0, pause: float = 2.0) -> tuple[str, str, str]:
+    """(file name, external id, error) of one url, for :func:`run`.
+
+    Both calls give (status, file name, external id, error) of the url's external
+    task; ``query`` is asked again until it succeeded or failed, or time is over.
+    """
+    status, name, external, error = create(url)
+    end = time.monotonic() + seconds
+    while status not in (SUCCESS, FAILED):
+        if time.monotonic() >= end:
+            return name, external, "timed out"
+        time.sleep(pause)
+        status, name, external, error = query(url)
+    return name, external, "" if status == SUCCESS else error or "the fetch failed"
+
+
 def run(tasks: DataFrame, fetch: Callable[[str], tuple[str, str, str]]) -> DataFrame:
     """All unfinished tasks fetched with ``fetch(url) -> (file name, external id, error)``, in parallel over partitions."""
     import pandas as pd

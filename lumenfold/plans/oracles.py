@@ -71,7 +71,7 @@ select (select count(*) from f) html_files, (select count(*) from d) meili_docum
        (select count(*) from iss where severity = 'error') unrecoverable, (select count(*) from iss) = 0 consistent""",
     "delete_cascade": f"with {_INDEX} select id from d where id not in (select id from d where filename = '11.html')",
     "text_erase": r"select doc_id, length(x) n, md5(x) h from (select doc_id, regexp_replace(text, ' |\n|\r|\\n', '', 'g') x from documents)",
-    "search_ranked": f"""with {_TITLES}, {_TERMS},
+    "search_frequency": f"""with {_TITLES}, {_TERMS},
 m as (select page_id, max(case when t = 'the' then 1 else 0 end) w1, max(case when t like 'th%' then 1 else 0 end) w2,
              sum(case when t = 'the' then 1 else 0 end) tf from tok group by page_id)
 select page_id, cast(w1 + w2 as bigint) words, cast(tf as bigint) tf,
@@ -79,3 +79,170 @@ select page_id, cast(w1 + w2 as bigint) words, cast(tf as bigint) tf,
     "search_typo": f"with {_TITLES}, {_TERMS} select distinct page_id, t from tok where regexp_matches(t, '^[a-z0-9]+$') and levenshtein(t, 'there') <= 1",
     "search_highlight": rf"with {_TITLES} select page_id, regexp_replace(title, '(?i)(the)', '<em>\1</em>', 'g') h from p",
 }
+
+_REL = f"""case page_id % 50 when 0 then concat('Temporary/', page_id, '.html') when 1 then concat(page_id, '.html')
+    when 2 then concat({_DOMAIN}, '/', page_id, '.txt') when 3 then concat({_DOMAIN}, '/deep/er/', page_id, '.HTM')
+    when 4 then concat('_', {_DOMAIN}, '/', page_id, '.html') else concat({_DOMAIN}, '/', page_id, '.html') end"""
+_TREE = rf"""e as (select page_id, {_REL} rel, url, html, page_id % 13 = 0 untitled from pages),
+s as (select *, split_part(rel, '/', 1) dom, substr(rel, strpos(rel, '/') + 1) fn from e where regexp_matches(lower(rel), '\.html?$')),
+f as (select page_id, dom as domain, fn filename, html, untitled from s where contains(rel, '/') and lower(dom) <> 'temporary'),
+loose as (select rel from s where not contains(rel, '/'))"""
+_HTML = "case when untitled then regexp_replace(html, '(?i)</?title>', '', 'g') else html end"
+_HELD = f"""d as (select concat('d', page_id) id, {_DOMAIN} domain, {_FILE} filename from pages
+  union all select concat('x', page_id), {_DOMAIN}, {_FILE} from pages where page_id % 11 = 0)"""
+_DISK = "disk as (select domain source, count(*) file_count from f group by 1)"
+_DB = f"db as ({_counts('page_id % 5 <> 4')} union all select 'gone.example', 4)"
+_LOST = """lost as (
+  select 'html_unattributed' code, 'error' severity, 'html' store, '' as domain, rel filename from loose
+  union all select 'html_unparseable', 'error', 'html', domain, filename from f where untitled
+  union all select 'doc_orphan', 'error', 'meilisearch', dk.domain, dk.filename
+  from dk left join f on dk.domain = f.domain and dk.filename = f.filename where f.domain is null)"""
+_CHECKED = f"""with {_TREE}, {_HELD}, {_KEYS}, {_DISK}, {_DB}, {_LOST}, found as (
+  select *, code message, false recoverable from lost
+  union all select 'doc_missing', 'warning', 'meilisearch', f.domain, f.filename, 'doc_missing', true
+  from f left join dk using (domain, filename) where dk.n is null and not f.untitled
+  union all select 'doc_duplicate', 'warning', 'meilisearch', f.domain, f.filename, 'doc_duplicate', true from f join dk using (domain, filename) where dk.n > 1
+  union all select case when disk.source is null then 'stat_source_stale' else 'stat_source_mismatch' end, 'warning', 'database', coalesce(disk.source, db.source), '',
+         concat(coalesce(disk.file_count, 0), ' files, ', coalesce(db.file_count, 0), ' counted'), true
+  from disk full outer join db on disk.source = db.source where disk.source is null or coalesce(db.file_count, 0) <> disk.file_count
+  union all select 'stat_total_mismatch', 'warning', 'database', '', '', concat(a, ' files, ', b, ' counted'), true
+  from (select (select sum(file_count) from disk) a, (select sum(file_count) from db) b) where a <> b)"""
+_AN_ENTRY = """p as (select case page_id % 5 when 0 then concat('a/b/', page_id, '.DUMP') when 1 then concat('x/', page_id, '.dump')
+    when 2 then concat(page_id, '/deep/Database.SQL') when 3 then concat(page_id, '.sql') else concat(page_id, '/Archive') end path, page_id % 5 = 4 folder from pages),
+c as (select path, folder, lower(split_part(path, '/', -1)) name, len(string_split(path, '/')) depth from p)"""
+_SEVEN = f"(select {_DOMAIN} from pages where page_id = 7)"
+
+SQL |= {
+    "archive_scan": f"with {_TREE} select domain, filename, concat('/archive/', domain, '/', filename) request_path from f",
+    "scan_counts": f"with {_TREE} select domain source, count(*) file_count from f group by 1",
+    "scan_total": f"with {_TREE} select count(*) html_files from s",
+    "scan_unattributed": f"with {_TREE} select 'html_unattributed' code, 'error' severity, 'html' store, rel filename, rel path, false recoverable from loose",
+    "scan_content": f"with {_TREE} select domain, filename, length(x) n, md5(x) h from (select *, {_HTML} x from f)",
+    "archive_check": f"{_CHECKED} select code, severity, store, domain, filename, message, recoverable from found",
+    "issue_labels": f"""{_CHECKED} select concat_ws(' / ', nullif(store, ''), nullif(domain, ''), nullif(filename, '')) line, count(*) n from found group by 1""",
+    "archive_repair": f"with {_TREE}, {_HELD}, {_KEYS}, {_LOST} select code, domain, filename from lost",
+    "archive_rebuild": f"""with {_TREE} select sha256(concat(domain, chr(0), filename)) id, domain, filename, regexp_extract(html, '(?i)<title>(.*?)</title>', 1) title
+from f where not untitled and regexp_matches(html, '(?i)<title>(.*?)</title>')""",
+    "archive_refresh": f"with {_TREE}, {_DISK} select source, file_count from disk",
+    "archive_delete": f"""with {_HELD}, {_DB}, n as (select domain source, count(*) documents from d where not (filename = '7.html' and domain = {_SEVEN}) group by 1)
+select coalesce(n.source, l.source) source, documents, file_count
+from n full outer join (select source, file_count - (source = {_SEVEN})::int file_count from db where file_count > (source = {_SEVEN})::int) l on n.source = l.source""",
+    "archive_add": f"""with {_DB}, a as (select {_SEVEN} source, 2 added)
+select coalesce(a.source, db.source) source, added, coalesce(file_count, 0) + (a.source is not null)::int file_count from a full outer join db on a.source = db.source""",
+    "archive_restore": f"""with {_TREE} select domain, filename, regexp_extract(html, '(?i)<title>(.*?)</title>', 1) title, md5(html) h from f""",
+    "restore_candidates": f"""with {_AN_ENTRY} select
+  (select path from c where not folder and name like '%.dump' order by depth, path limit 1) dump,
+  (select path from c where not folder and name like '%.sql' order by name <> 'database.sql', depth, path limit 1) as "database",
+  (select path from c where folder and name = 'archive' order by depth, path limit 1) archive_dir""",
+    "zip_entries": "select page_id, page_id % 5 in (0, 4) safe from pages",
+    "request_paths": f"""select page_id, case when page_id % 5 < 3 then {_DOMAIN} end as domain, case when page_id % 5 < 3 then concat('a b/', page_id, '.html') end filename,
+       page_id % 5 > 2 refused from pages""",
+}
+
+_RUN = r"[\p{L}\p{N}]+"
+_SPAN = '<span style="color: red;">'
+
+
+def _typos(term: str, budget: int, prefix: bool) -> str:
+    """Typos of a term against an ASCII word; other letters count as one sign each."""
+    far = f"levenshtein(regexp_replace(term, '[^\\x00-\\x7F]', '#', 'g'), '{term}')"
+    return f"case when term = '{term}'{f" or starts_with(term, '{term}')" if prefix else ''} then 0 when {far} between 1 and {budget} then {far} end"
+
+
+def _matches(words: list[tuple[str, int]]) -> str:
+    """mt: the matching terms of m for words with their typo budgets; the last one also as a prefix."""
+    each = [
+        f"select term, {no} as no, {_typos(w, b, no == len(words) - 1)} typos, (term = '{w}')::bigint exact from m" for no, (w, b) in enumerate(words)
+    ]
+    return f"mt as (select * from ({' union all '.join(each)}) where typos is not null)"
+
+
+def _ranked(docs: str, first: tuple[str, int], second: tuple[str, int]) -> str:
+    """k: ranks of ``docs`` (id, title, filename, domain, content) for two words."""
+    fields = " union all ".join(
+        f"select id, {k} field, regexp_extract_all(lower(coalesce({f}, '')), '{_RUN}') r from docs" for k, f in enumerate(("id", "title", "filename", "domain", "content"))
+    )
+    return f"""docs as ({docs}), tok as (select id, field, unnest(range(len(r))) pos, unnest(r) term from ({fields})), m as (select distinct term from tok),
+{_matches([first, second])},
+best as (select id, no, min(typos) typos, min(field) field, max(exact) exact, min(struct_pack(f := field, p := pos)) place
+  from tok join mt using (term) group by id, no),
+k as (select a.id, 1 + (b.id is not null)::bigint words, a.typos + coalesce(b.typos, 0) typos,
+  case when b.id is null then 0 when a.place.f = b.place.f then least(abs(b.place.p - a.place.p), 8) else 8 end gaps,
+  least(a.field, coalesce(b.field, 5))::bigint field, a.exact + coalesce(b.exact, 0) exact
+  from (select * from best where no = 0) a left join (select * from best where no = 1) b on a.id = b.id)"""
+
+
+_RANKS = "id, words::bigint words, typos::bigint typos, gaps::bigint gaps, field, exact::bigint exact"
+_LIBRARY = "select doc_id::varchar id, lang title, '' filename, source as domain, text as content from documents"
+_TITLED = f"select page_id::varchar id, title, '' filename, '' as domain, '' as content from (with {_TITLES} select * from p)"
+_ORDER = "row_number() over (order by words desc, typos, gaps, field, exact desc, id) rnk"
+_FOUND = f"with {_ranked(_LIBRARY, ('there', 1), ('the', 0))}"
+
+
+def _cropped(text: str, hit: str, words: int) -> str:
+    """cut(id, x): a window of ``words`` words around the first word that holds ``hit``."""
+    parts = f"regexp_split_to_array({text}, '\\s+')"
+    at = f"coalesce(list_position(list_transform({parts}, lambda w: regexp_matches(w, '{hit}')), true), 0)"
+    return f"""w as (select *, {parts} ps, {at} pa from src),
+v as (select *, greatest(least(pa - {words // 2}, len(ps) - {words} + 1), 1) st from w),
+cut as (select *, case when len(ps) <= {words} then {text} else concat(case when st > 1 then '…' else '' end,
+  array_to_string(ps[st:st + {words} - 1], ' '), case when st + {words} <= len(ps) then '…' else '' end) end x from v)"""
+
+
+_HIT = r"(?i)(^|[^\p{L}\p{N}])(there|the)"
+_EVERY_TASK = f"""{_TASKS},
+t as (select id::varchar id, url, regexp_extract(url, '//([^/]+)', 1) as domain, status, 'x' || id external, ts created_at,
+  case when status = 'running' then ts end started_at from tasks)"""
+_AT = "timestamp '2030-01-01 00:00:00'"
+_ACTIVE = "status in ('pending', 'running')"
+_NORMAL = "regexp_replace(url, '#.*$', '')"
+
+SQL |= {
+    "search_ranked": f"with {_ranked(_TITLED, ('the', 0), ('there', 1))} select {_RANKS} from k",
+    "search_stored": f"{_FOUND} select {_RANKS} from k",
+    "search_terms": f"{_FOUND} select term, count(*) occurrences, count(distinct id) documents from tok group by term",
+    "search_matches": f"""with {_TITLES}, m as (select distinct unnest(regexp_extract_all(lower(title), '{_RUN}')) term from p),
+{_matches([('there', 1), ('tionthere', 2), ('th', 0)])} select term, no::bigint as no, typos::bigint typos, exact from mt""",
+    "search_library": f"""{_FOUND}, src as (select docs.*, rnk from docs join (select *, {_ORDER} from k) using (id) where rnk between 11 and 20),
+{_cropped("content", _HIT, 150)}
+select id, title, filename, regexp_replace(x, '{_HIT}', '\\1{_SPAN}\\2</span>', 'g') as content, domain, rnk from cut""",
+    "search_library_totals": f"{_FOUND} select least(count(*), 1000) total_hits, ceil(least(count(*), 1000) / 10)::bigint total_pages from k",
+    "search_crop": f"""with src as (select doc_id, text from documents), {_cropped("text", "(?i)(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])", 150)}
+select doc_id, length(x) n, md5(x) h from cut""",
+    "repair": f"""with {_FILES}, {_INDEX}, {_KEYS} select 'doc_orphan' code, 'error' severity, 'meilisearch' store, dk.domain, dk.filename,
+  concat('/archive/', dk.domain, '/', dk.filename) path, 'doc_orphan' message, false recoverable,
+  (select list(id order by id) from d where d.domain = dk.domain and d.filename = dk.filename) document_ids
+from dk left join f on dk.domain = f.domain and dk.filename = f.filename where f.domain is null""",
+    "task_by_id": f"with {_EVERY_TASK} select id, url, domain, status, created_at from t where id = '17'",
+    "task_by_status": f"with {_EVERY_TASK} select id, status, created_at from t where status in ('pending', 'failed')",
+    "task_start": f"""with {_EVERY_TASK} select id, 'running' status, '' as error, {_AT} updated_at, coalesce(started_at, {_AT}) started_at, null::timestamp finished_at
+from t where status <> 'success'""",
+    "task_finish": f"""with {_EVERY_TASK} select id, case when not {_ACTIVE} then status when id::bigint % 3 = 0 then 'failed' else 'success' end status,
+  case when {_ACTIVE} and id::bigint % 3 <> 0 then 'f' || id else '' end file_name, case when {_ACTIVE} and id::bigint % 3 = 0 then 'boom' else '' end as error,
+  external external_task_id, case when {_ACTIVE} then {_AT} else created_at end updated_at, case when {_ACTIVE} then {_AT} end finished_at from t""",
+    "task_run": f"""with {_EVERY_TASK} select id, case when not {_ACTIVE} then status when url < 'https://u5' then 'success' else 'failed' end status,
+  case when {_ACTIVE} then url[9:-2] || '.html' else '' end file_name, case when {_ACTIVE} and url >= 'https://u5' then 'the fetch failed' else '' end as error,
+  case when {_ACTIVE} then 'e' else external end external_task_id from t""",
+    "task_create": f"""with {_EVERY_TASK}, a as (select url, bool_or({_ACTIVE}) busy from t group by url),
+l as (select url, status from (select *, row_number() over (partition by url order by created_at desc, id) rn from t) where rn = 1),
+u as (select {_NORMAL} url, {_DOMAIN} as domain from pages union select url, regexp_extract(url, '//([^/]+)', 1) from t)
+select u.url, u.domain, 'pending' status from u left join a on u.url = a.url left join l on u.url = l.url
+where a.url is null or not (busy or l.status = 'success')""",
+    "url_check": f"""select page_id, case when page_id % 7 in (0, 4, 6) then {_NORMAL} end url, case when page_id % 7 in (0, 4, 6) then {_DOMAIN} end as domain,
+  case page_id % 7 when 1 then 'url scheme is not supported' when 2 then 'url is empty' when 3 then 'url host is missing' when 5 then 'url has control characters' end as error
+from pages""",
+    "stats_items": f"select source, file_count from ({_counts(extra='- 3')}) where file_count >= 0",
+    "stats_replace": _counts("page_id % 10 <> 3"),
+    "users_by_name": "select c_custkey id, c_name username from customer where c_name = 'Customer#000000007'",
+    "users_create": "select username, 1 n from (select c_name username from customer union select s_name from supplier)",
+    "consistency_blank": f"""with {_FILES}, {_INDEX}, g as (select id, case when substr(id, 2)::bigint % 17 = 0 then ' ' else domain end as domain,
+  case when substr(id, 2)::bigint % 19 = 0 then null else filename end filename from d),
+bk as (select domain, filename, count(*) n, string_agg(id, ',' order by id) ids from g where trim(domain) <> '' and filename is not null group by 1, 2)
+select 'doc_blank_key' code, domain, filename, id ids from g where trim(domain) = '' or filename is null
+union all select 'doc_missing', f.domain, f.filename, null from f left join bk using (domain, filename) where n is null
+union all select 'doc_duplicate', domain, filename, ids from f join bk using (domain, filename) where n > 1
+union all select 'doc_orphan', bk.domain, bk.filename, ids from bk left join f on bk.domain = f.domain and bk.filename = f.filename where f.domain is null""",
+    "consistency_parse": f"""with {_FILES}, {_INDEX}, {_KEYS}, {_ISSUES}, bad as (select domain, filename from f where split_part(filename, '.', 1)::bigint % 3 = 0)
+select code, domain, filename from iss where code <> 'doc_missing' or (domain, filename) not in (select (domain, filename) from bad)
+union all select 'html_unparseable', domain, filename from bad""",
+}

@@ -3,43 +3,61 @@
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from lumenfold.batches import slices
 from lumenfold.functions.exprs import html_title, is_html_file, request_path, trimmed
 from lumenfold.functions.html_text import extract_text
 from lumenfold.operators.issues import issue
 from lumenfold.schemas import ArchiveError
+from lumenfold.session import keep
+
+LISTING = "rel string, abs_path string, is_link boolean"
+#: Names that a task of the listing passes on at a time, and tasks of one level at most.
+NAMES, TASKS = 10_000, 1024
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(rel, abs_path) of all files below ``root``, names with a leading dot or underscore too.
+    """(rel, abs_path, is_link) of all files below ``root``, names with a leading dot or underscore too.
 
-    The top-level folders are listed by tasks, one folder each, so the listing
-    spreads over the cluster. A blank root is an error, a missing one is empty.
+    Level by level, tasks list the folders that the level before has found, so
+    neither the driver nor one task walks a large domain. Links to folders are
+    not followed. A blank root is an error, a missing one is empty.
     """
     if not root.strip():
         raise ArchiveError("archive location is empty")
-    top = sorted(os.listdir(root)) if os.path.isdir(root) else []
-    rows = spark.createDataFrame([(name,) for name in top], "name string")
+    found = spark.createDataFrame([], LISTING)
+    if not os.path.isdir(root):
+        return found
 
-    def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def children(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = {"rel": "str", "is_dir": "bool", "is_link": "bool"}
         for part in parts:
-            for name in part["name"]:
-                path, found = os.path.join(root, name), []
-                if os.path.isdir(path):
-                    for folder, _, names in os.walk(path):
-                        found += [os.path.join(folder, n) for n in names]
-                else:
-                    found.append(path)
-                yield pd.DataFrame({"rel": [os.path.relpath(f, root) for f in found], "abs_path": found}, dtype="str")
-
-    spread = rows.repartition(min(max(len(top), 1), 256))
-    return spread.mapInPandas(walk, "rel string, abs_path string")
+            for folder in part["rel"]:
+                rows = []
+                with os.scandir(os.path.join(root, folder)) as entries:
+                    for entry in entries:
+                        rows.append((f"{folder}/{entry.name}" if folder else entry.name, entry.is_dir(follow_symlinks=False), entry.is_symlink()))
+                        if len(rows) == NAMES:
+                            yield pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
+                            rows = []
+                yield pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
+
+    folders, n = spark.createDataFrame([("",)], "rel string"), 1
+    while n:
+        level = keep(folders.repartition(min(n, TASKS)).mapInPandas(children, "rel string, is_dir boolean, is_link boolean"), "listing")
+        path = F.concat(F.lit(root.rstrip("/") + "/"), "rel")
+        found = found.union(level.where("not is_dir").select("rel", path.alias("abs_path"), "is_link"))
+        folders = level.where("is_dir").select("rel")
+        n = folders.count()
+    return found
 
 
 def html_files(listing: DataFrame, *more: str) -> DataFrame:
@@ -51,6 +69,11 @@ def html_files(listing: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def count_html(listing: DataFrame) -> DataFrame:
+    """One row: how many pages the listing has at any depth."""
+    return listing.where(is_html_file("rel")).agg(F.count("*").alias("html_files"))
+
+
 def unattributed(listing: DataFrame) -> DataFrame:
     """Issues for pages that lie in no domain's folder."""
     loose = listing.where(is_html_file("rel") & ~F.col("rel").contains("/"))
@@ -74,10 +97,56 @@ def read_pages(files: DataFrame) -> DataFrame:
     return files.mapInPandas(read, "domain string, filename string, request_path string, abs_path string, html string")
 
 
-@F.pandas_udf(StringType())
-def visible_text(html: pd.Series) -> pd.Series:
-    """Text of each page, by depth."""
-    return html.map(lambda page: None if page is None else extract_text(page))
+def _write(path: str, write) -> None:
+    """Under its name at once, so that a task that runs again leaves the same file."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    write(temporary)
+    os.replace(temporary, path)
+
+
+def write_pages(pages: DataFrame, root: str) -> DataFrame:
+    """Write ``html`` of ``pages`` (rel, html) as files below ``root``, by tasks; the rels that were written."""
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for rel, html in zip(part["rel"], part["html"], strict=True):
+
+                def write(path: str, content: str = html or "") -> None:
+                    with open(path, "w", encoding="utf-8", newline="") as out:
+                        out.write(content)
+
+                _write(os.path.join(root, rel), write)
+            yield part[["rel"]]
+
+    return keep(pages.select("rel", "html").mapInPandas(put, "rel string"), "written")
+
+
+def copy_files(listing: DataFrame, root: str) -> DataFrame:
+    """Copy the files of a listing to the same places below ``root``, by tasks; links are left out. The rels that were copied."""
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for rel, source in zip(part["rel"], part["abs_path"], strict=True):
+                _write(os.path.join(root, rel), lambda path, source=source: shutil.copy(source, path))
+            yield part[["rel"]]
+
+    os.makedirs(root, exist_ok=True)
+    return keep(listing.where("not is_link").select("rel", "abs_path").mapInPandas(put, "rel string"), "copied")
+
+
+def with_text(pages: DataFrame, html: str, name: str) -> DataFrame:
+    """``pages`` with the visible text of column ``html``, by depth, in its place under ``name``; null stays null."""
+    others = [c for c in pages.columns if c != html]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_lf_html"):
+            texts = [None if page is None else extract_text(page) for page in part.column(part.num_columns - 1).to_pylist()]
+            yield pa.record_batch([*part.columns[:-1], pa.array(texts, pa.string())], names=[*others, name])
+
+    rows = pages.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{html}`").cast("string").alias("_lf_html"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    return rows.mapInArrow(run, ", ".join([*fields, f"`{name}` string"]))
 
 
 def documents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +156,7 @@ def documents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     titled = pages.withColumn("title", html_title("html"))
     good = titled.where(F.col("title").isNotNull()).select(
-        F.sha2(F.concat_ws("\0", "domain", "filename"), 256).alias("id"), "title", "filename", "domain", visible_text("html").alias("content")
+        F.sha2(F.concat_ws("\0", "domain", "filename"), 256).alias("id"), "title", "filename", "domain", "html"
     )
     bad = titled.where(F.col("title").isNull()).select("domain", "filename", request_path("domain", "filename").alias("path"))
-    return good, issue(bad, "html_unparseable")
+    return with_text(good, "html", "content"), issue(bad, "html_unparseable")

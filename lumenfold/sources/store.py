@@ -1,8 +1,9 @@
-"""Versioned parquet tables: every change writes a new version, a pointer file makes it current."""
+"""Versioned parquet tables: a change writes a new version, a pointer file makes it current; streams add batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Store:
@@ -10,6 +11,7 @@ class Store:
 
     One writer at a time. A reader sees a whole version: the pointer is swapped
     after all data of the new one is there, and old versions stay until ``vacuum``.
+    Batches stand beside the version, so that adding one costs no more than itself.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -17,13 +19,13 @@ class Store:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        path = self._path(f"{self.root}/{folder}")
+        return [f.getPath().getName() for f in self._fs.listStatus(path)] if self._fs.exists(path) else []
+
     def version(self, name: str) -> int:
         """The current version's number, 0 if the table is absent."""
-        pointer = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(pointer):
-            return 0
-        names = [f.getPath().getName() for f in self._fs.listStatus(pointer)]
-        return max((int(n.removeprefix("CURRENT-")) for n in names if n.startswith("CURRENT-")), default=0)
+        return max((int(n.removeprefix("CURRENT-")) for n in self._names(name) if n.startswith("CURRENT-")), default=0)
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
         version = self.version(name)
@@ -33,16 +35,32 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.root}/{name}/v{version}")
 
-    def write(self, name: str, table: DataFrame) -> int:
+    def write(self, name: str, table: DataFrame, *partitions: str) -> int:
         """Make ``table``, which may read the current version, the next one."""
         version = self.version(name) + 1
-        table.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
+        table.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.root}/{name}/v{version}")
         self._fs.create(self._path(f"{self.root}/{name}/CURRENT-{version}"), True).close()
         return version
 
+    def put(self, name: str, batch: int, table: DataFrame) -> None:
+        """Add a batch under its number; one that comes again replaces itself."""
+        table.write.mode("overwrite").parquet(f"{self.root}/{name}/batches/batch={batch}")
+
+    def parts(self, name: str, schema: str) -> DataFrame:
+        """The current version's rows with ``batch`` -1, and those of all batches with their numbers."""
+        base = self.read(name, schema).withColumn("batch", F.lit(-1).cast("long"))
+        if not any(n.startswith("batch=") for n in self._names(f"{name}/batches")):
+            return base
+        added = self.spark.read.schema(f"{schema}, batch long").option("basePath", f"{self.root}/{name}/batches").parquet(f"{self.root}/{name}/batches")
+        return base.unionByName(added)
+
+    def forget(self, name: str) -> None:
+        """Delete all batches, after a version that holds them was written."""
+        self._fs.delete(self._path(f"{self.root}/{name}/batches"), True)
+
     def vacuum(self, name: str) -> None:
         """Delete all versions but the current one."""
         current = self.version(name)
-        for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-            if status.getPath().getName() not in (f"v{current}", f"CURRENT-{current}"):
-                self._fs.delete(status.getPath(), True)
+        for entry in self._names(name):
+            if entry not in (f"v{current}", f"CURRENT-{current}", "batches"):
+                self._fs.delete(self._path(f"{self.root}/{name}/{entry}"), True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lumenfold.operators import stats
-from lumenfold.schemas import DOCUMENTS
+from lumenfold.schemas import DOCUMENTS, STATS
 from lumenfold.sources.archive import documents, html_files
 from lumenfold.sources.store import Store
 
@@ -33,17 +33,40 @@ def hourly_counts(pages: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def ingest(pages: DataFrame, store: Store, checkpoint: str) -> DataStreamWriter:
-    """Writer that adds each batch to the stored tables; a page that is there already is replaced.
+    """Writer that adds each batch to the stored tables; see :func:`stored_documents` and :func:`stored_counts`.
 
-    Ids are digests of domain and filename and the counts are taken from the
-    documents, so a batch that runs again after a failure changes nothing.
+    A batch writes its own documents and the counts of those that were not there
+    before; nothing else is written again. Of what is stored only the ids are
+    read. A batch that runs again after a failure replaces itself.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
-        good, _ = documents(batch.select("domain", "filename", "html"))
-        held, fresh = store.read("documents", DOCUMENTS), good.dropDuplicates(["id"])
-        store.write("documents", held.join(fresh.select("id"), "id", "left_anti").unionByName(fresh))
-        files = store.read("documents", DOCUMENTS).select("domain", "filename").distinct()
-        store.write("stats", stats.count_by_source(files))
+    def add(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("domain", "filename").agg(F.max_by("html", "arrived").alias("html"))
+        store.put("documents", number, documents(newest)[0])
+        parts = store.parts("documents", DOCUMENTS)
+        before = parts.where(F.col("batch") < number).select("id").distinct()
+        fresh = parts.where(F.col("batch") == number).join(before, "id", "left_anti")
+        store.put("stats", number, stats.count_by_source(fresh))
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+
+
+def stored_documents(store: Store) -> DataFrame:
+    """All documents, each as its latest batch has it."""
+    parts = store.parts("documents", DOCUMENTS)
+    names = [c for c in parts.columns if c not in ("id", "batch")]
+    newest = parts.groupBy("id").agg(F.max_by(F.struct(*names), "batch").alias("d"))
+    return newest.select("id", *[f"d.{c}" for c in names])
+
+
+def stored_counts(store: Store) -> DataFrame:
+    """Counts of the stored version and of all batches together."""
+    return store.parts("stats", STATS).groupBy("source").agg(F.sum("file_count").alias("file_count"))
+
+
+def compact(store: Store) -> None:
+    """Make one version of a stream's batches, while no stream runs."""
+    for name, table in (("documents", stored_documents(store)), ("stats", stored_counts(store))):
+        store.write(name, table)
+        store.forget(name)
+        store.vacuum(name)
