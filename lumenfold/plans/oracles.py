@@ -127,7 +127,7 @@ from f where not untitled and regexp_matches(html, '(?i)<title>(.*?)</title>')""
     "archive_delete": f"""with {_HELD}, {_DB}, n as (select domain source, count(*) documents from d where not (filename = '7.html' and domain = {_SEVEN}) group by 1)
 select coalesce(n.source, l.source) source, documents, file_count
 from n full outer join (select source, file_count - (source = {_SEVEN})::int file_count from db where file_count > (source = {_SEVEN})::int) l on n.source = l.source""",
-    "archive_add": f"""with {_DB}, a as (select {_SEVEN} source, 2 added)
+    "archive_add": f"""with {_DB}, a as (select {_SEVEN} source, 2::bigint added)
 select coalesce(a.source, db.source) source, added, coalesce(file_count, 0) + (a.source is not null)::int file_count from a full outer join db on a.source = db.source""",
     "archive_restore": f"""with {_TREE} select domain, filename, regexp_extract(html, '(?i)<title>(.*?)</title>', 1) title, md5(html) h from f""",
     "restore_candidates": f"""with {_AN_ENTRY} select
@@ -191,8 +191,8 @@ cut as (select *, case when len(ps) <= {words} then {text} else concat(case when
 
 _HIT = r"(?i)(^|[^\p{L}\p{N}])(there|the)"
 _EVERY_TASK = f"""{_TASKS},
-t as (select id::varchar id, url, regexp_extract(url, '//([^/]+)', 1) as domain, status, 'x' || id external, ts created_at,
-  case when status = 'running' then ts end started_at from tasks)"""
+t as (select id::varchar id, url, regexp_extract(url, '//([^/]+)', 1) as domain, status, 'x' || id external, created_at,
+  case when status = 'running' then created_at end started_at from tasks)"""
 _AT = "timestamp '2030-01-01 00:00:00'"
 _ACTIVE = "status in ('pending', 'running')"
 _NORMAL = "regexp_replace(url, '#.*$', '')"
@@ -234,7 +234,7 @@ from pages""",
     "stats_items": f"select source, file_count from ({_counts(extra='- 3')}) where file_count >= 0",
     "stats_replace": _counts("page_id % 10 <> 3"),
     "users_by_name": "select c_custkey id, c_name username from customer where c_name = 'Customer#000000007'",
-    "users_create": "select username, 1 n from (select c_name username from customer union select s_name from supplier)",
+    "users_create": "select username, 1::bigint n from (select c_name username from customer union select s_name from supplier)",
     "consistency_blank": f"""with {_FILES}, {_INDEX}, g as (select id, case when substr(id, 2)::bigint % 17 = 0 then ' ' else domain end as domain,
   case when substr(id, 2)::bigint % 19 = 0 then null else filename end filename from d),
 bk as (select domain, filename, count(*) n, string_agg(id, ',' order by id) ids from g where trim(domain) <> '' and filename is not null group by 1, 2)
