@@ -1,5 +1,7 @@
 """The registered archive queries once more, as SQL for DuckDB."""
 
+from html.entities import html5
+
 _DOMAIN = "regexp_extract(lower(url), '^https?://([^/:?#]+)', 1)"
 _FILE = "concat(page_id, '.html')"
 _TASKS = """tasks as (
@@ -246,3 +248,51 @@ union all select 'doc_orphan', bk.domain, bk.filename, ids from bk left join f o
 select code, domain, filename from iss where code <> 'doc_missing' or (domain, filename) not in (select (domain, filename) from bad)
 union all select 'html_unparseable', domain, filename from bad""",
 }
+
+
+def _decoded(text: str) -> str:
+    """Character references without need of a semicolon, longer names first; what gives an ampersand last."""
+    for name in sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (html5[n] == "&", -len(n))):
+        text = f"regexp_replace({text}, '&{name};?', '{html5[name]}', 'g')"
+    return f"regexp_replace({text}, ' |\\n|\\r|\\\\n', '', 'g')"
+
+
+_BESIDE = "is_text or name in ('', 'a', 'b', 'br', 'meta', 'span', 'em', 'i', 'strong', 'script', 'style')"
+# Right for pages whose tags all match, but for paragraphs that the next one ends and bold text that is never closed: it goes
+# on in later blocks, three levels deep at most besides the one just opened.
+_TEXTS = f"""raw as (select page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]+>|[^<]+') ts from pages),
+piece as (select page_id, unnest(ts) t, unnest(range(len(ts))) pos from raw),
+tag as (select *, not starts_with(t, '<') is_text, starts_with(t, '</') closing, lower(regexp_extract(t, '^</?([a-zA-Z0-9]+)', 1)) name from piece),
+step as (select *, case when is_text or name in ('', 'p', 'b', 'br', 'meta', 'img', 'link', 'script', 'style', 'html', 'head', 'body') then 0 when closing then -1 else 1 end d,
+  case when name <> 'b' then 0 when closing then -1 else 1 end bold,
+  case when name = 'p' then (not closing)::int when {_BESIDE} then null else 0 end p,
+  case when name = 'b' then (not closing)::int when {_BESIDE} then null else 0 end own from tag),
+run as (select *, coalesce(last_value(own ignore nulls) over w, 0) mine, sum(bold) over w bolds from step window w as (partition by page_id order by pos)),
+depth as (select *, 3 + sum(d) over w + least(3, bolds - mine) + mine + coalesce(last_value(p ignore nulls) over w, 0) depth
+  from run window w as (partition by page_id order by pos)),
+once as (select page_id, string_agg({_decoded("t")}, '' order by depth, pos) x from depth where is_text group by 1),
+texts as (select page_id, {_decoded("x")} x from once)"""
+_BUILT = f"""select sha256(concat(d, chr(0), n)) id, title, n filename, d as domain, x as content
+  from (select page_id, {_DOMAIN} d, {_FILE} n, regexp_extract(html, '(?i)<title>(.*?)</title>', 1) title from pages where regexp_matches(html, '(?i)<title>(.*?)</title>'))
+  join texts using (page_id)"""
+_SEARCHED = f"with {_TEXTS}, {_ranked(_BUILT, ('the', 0), ('market', 1))}"
+_TITLE_HIT = r"(?i)(^|[^\p{L}\p{N}])(market|the)"
+
+SQL |= {
+    "html_text": f"with {_TEXTS} select page_id, length(x) n, md5(x) h from texts",
+    "rebuild_lenient": f"with {_TEXTS}, docs as ({_BUILT}) select id, domain, filename, title, length(content) n from docs",
+    "search_totals": f"{_SEARCHED} select least(count(*), 1000) total_hits, ceil(least(count(*), 1000) / 10)::bigint total_pages from k",
+    "search_page": f"""{_SEARCHED}, src as (select docs.*, rnk from docs join (select *, {_ORDER} from k) using (id) where rnk <= 10),
+{_cropped("content", _TITLE_HIT, 150)}
+select id, title, filename, regexp_replace(x, '{_TITLE_HIT}', '\\1{_SPAN}\\2</span>', 'g') as content, domain, rnk from cut""",
+    "search_padded": f"""with {_ranked(_LIBRARY, ('fr', 0), ('fr', 0))},
+hit as (select docs.*, row_number() over (order by field, exact desc, id) rnk from docs join (
+  select id, min(field) field, max((term = 'fr')::int) exact from tok where starts_with(term, 'fr') group by id) using (id)),
+held as (select * from hit where rnk <= 4 and coalesce(content, '') <> '')
+select r.rnk, coalesce(id, '') id, coalesce(title, '') title, coalesce(domain, '') as domain from (select unnest(range(1, 11)) rnk) r left join held using (rnk)""",
+    "search_json": f"""with {_ranked(_LIBRARY, ('fr', 0), ('fr', 0))},
+hit as (select docs.*, row_number() over (order by field, exact desc, id) rnk from docs join (
+  select id, min(field) field, max((term = 'fr')::int) exact from tok where starts_with(term, 'fr') group by id) using (id))
+select rnk, concat('{{"id":"', id, '"', case when title is null then '' else concat(',"title":"', title, '"') end,
+  case when domain is null then '' else concat(',"domain":"', domain, '"') end, '}}') json from hit where rnk <= 10""",
+}
