@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumenfold.batches import slices  # noqa: F401 (for the operators)
 from lumenfold.session import keep
 
 #: A word is a run of characters other than ASCII white space.
@@ -50,26 +48,6 @@ def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame
     return left.join(right, [*keys, "_lf_salt"], how).drop("_lf_salt")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``most`` bytes of ``text``.
-
-    A single longer text stays whole: it makes a slice of its own.
-    """
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
-        ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < batch.num_rows:
-            done = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
-        del batch
-        pa.default_memory_pool().release_unused()
-
-
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """UTF-8 bytes of a text column, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))
