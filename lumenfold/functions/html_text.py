@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 _words = lambda s: frozenset(s.split())
 # Element classes of the HTML standard.
@@ -31,12 +32,35 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z
 _ERASED = re.compile(r" |\n|\r|\\n")
 
 
+class _Stack(list):
+    """Open elements, and how many of each there are: a tag that isn't open need not be looked for."""
+
+    def __init__(self, tags: list[str]):
+        super().__init__(tags)
+        self.count = Counter(tags)
+
+    def append(self, tag: str) -> None:
+        super().append(tag)
+        self.count[tag] += 1
+
+    def pop(self) -> str:
+        tag = super().pop()
+        self.count[tag] -= 1
+        return tag
+
+    def __delitem__(self, at: int | slice) -> None:
+        self.count.subtract(self[at] if isinstance(at, slice) else [self[at]])
+        super().__delitem__(at)
+
+
 class _Depths:
     def __init__(self):
-        self.stack, self.active, self.body = ["html"], [], False
+        self.stack, self.active, self.body = _Stack(["html"]), [], False
         self.found: list[tuple[int, str]] = []
 
     def has(self, tags: frozenset[str] | set[str], limits: frozenset[str]) -> bool:
+        if not any(self.stack.count[t] for t in tags):
+            return False
         for tag in reversed(self.stack):
             if tag in tags:
                 return True
@@ -51,16 +75,15 @@ class _Depths:
 
     def open_body(self) -> None:
         if not self.body:
-            self.stack, self.body = ["html", "body"], True
+            self.stack, self.body = _Stack(["html", "body"]), True
 
     def reconstruct(self) -> None:
         """Open again the formatting elements that a block's end has closed."""
         start = max((k + 1 for k, tag in enumerate(self.active) if tag is None), default=0)
-        on_stack = [t for t in self.stack if t in FORMATTING]
-        open_ = list(on_stack)
+        left = Counter({tag: self.stack.count[tag] for tag in self.active[start:]})
         for tag in self.active[start:]:
-            if tag in open_:
-                open_.remove(tag)
+            if left[tag] > 0:
+                left[tag] -= 1
             else:
                 self.stack.append(tag)
 
@@ -139,7 +162,7 @@ class _Depths:
         if tag in FORMATTING:
             if tag in self.active:
                 del self.active[len(self.active) - 1 - self.active[::-1].index(tag)]
-            if tag in stack and self.has({tag}, SCOPE):
+            if stack.count[tag] and self.has({tag}, SCOPE):
                 at = len(stack) - 1 - stack[::-1].index(tag)
                 # Below a block the element is cut out; what is open above it stays open.
                 if any(t in SPECIAL for t in stack[at:]):
@@ -157,7 +180,7 @@ class _Depths:
                 self.pop_to({tag})
                 if tag in ("td", "th", "caption"):
                     self.unmark()
-        else:
+        elif stack.count[tag]:
             for k in range(len(stack) - 1, 1, -1):
                 if stack[k] == tag:
                     del stack[k:]

@@ -1,6 +1,7 @@
 """The archive's operators: the reference expectations, golden texts, and the registered queries against their SQL."""
 
 import os
+import time
 import zipfile
 
 import duckdb
@@ -48,6 +49,13 @@ def test_text_by_depth(page, text):
     assert extract_text(page) == text
 
 
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "x", "<b>" + "<div>x" * 20_000, "<x>" * 50_000 + "</y>" * 50_000, "<ul><li>" * 20_000 + "x", "<a " * 100_000])
+def test_text_of_deep_pages_takes_linear_time(page):
+    began = time.process_time()
+    extract_text(page)
+    assert time.process_time() - began < 10
+
+
 def test_titles_names_and_urls(spark):
     titles = ["<TITLE>A</TITLE>", "<title></title>", '<title lang="en">A</title>', "<title>A\nB</title>", "<title>A&amp;B</title>", None]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(titles)], "k int, h string")
