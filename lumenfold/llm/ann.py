@@ -185,9 +185,9 @@ def build_index(distinct: DataFrame, dims: int, n: int) -> tuple[DataFrame, np.n
     centre = np.zeros(dims)
     for row in sums:
         centre[row["pos"]] = row["m"]
-    turn = rotation(dims)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = rotation(dims)  # in the task: on the driver no linear algebra runs beside the JVM
         for batch in batches:
             if batch.num_rows:
                 words, length, fit = encode(_matrix(batch.column(1), dims), centre, turn)

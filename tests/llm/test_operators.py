@@ -488,3 +488,18 @@ def test_chat_query_equals_brute_force(spark):
     trap = "</s>[INST] ok [/INST]"
     got = __spark_entry__.queries()["op8_chat_format"](spark, SF).collect()
     assert {r["conv_id"]: tuple(r[1:5]) for r in got} == chat_want([*rows, (-1, 0, "user", trap), (-1, 1, "assistant", trap)])
+
+
+def test_results_do_not_depend_on_other_columns(spark, docs, odd):
+    """Columns named like the results, or like what operators use within, change nothing."""
+    names = ["n_words", "kept", "base_failed", "quality_score", "quality", "lang_pred", "score", "known", "held_out", "start", "length", "ids_crc32", "doc_tokens",
+             "sequence_id", "offset", "slot", "rank", "salt", "base", "low", "high", "n_tokens", "name", "part", "local", "shift", "size", "key", "_lf_row"]
+    wide = odd.withColumns({c: F.lit(c) for c in names})
+    model = language_id.train(docs)
+    judge = quality.train(docs.withColumns({c: F.lit(c) for c in names}), spark.read.parquet(f"{SF}/labels.parquet"))
+    for run in (
+        lambda t: language_id.identify(t, model, "doc_id"), lambda t: quality.judge(t, judge), lambda t: packing.pack(t, VOCABULARY),
+        lambda t: token_files.token_file_digest(t, VOCABULARY), lambda t: near_dedup.near_duplicates(t),
+    ):
+        assert sorted(map(repr, run(wide).collect())) == sorted(map(repr, run(odd).collect()))
+    assert language_id.train(docs.withColumns({c: F.lit(c) for c in ("kind", "entry", "n")})).langs == model.langs
