@@ -165,12 +165,12 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def entries(rows: DataFrame, k: int) -> DataFrame:
-    """(h1, h2, rep, ids): the k + 1 least ids of each distinct vector, the least of which is ``rep``."""
+    """(h1, h2, rep, ids): the k + 1 least ids of each distinct vector of ``rows`` (vec_id, h1, h2), the least of which is ``rep``."""
     # Within a salt first, so that a vector that very many rows share is spread over tasks.
     salted = Window.partitionBy("h1", "h2", "salt").orderBy("vec_id")
     whole = Window.partitionBy("h1", "h2").orderBy("vec_id")
     few = (
-        rows.select("vec_id", "h1", "h2").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+        rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
         .withColumn("r", F.row_number().over(salted)).where(f"r <= {k + 1}")
         .withColumn("r", F.row_number().over(whole)).where(f"r <= {k + 1}")
     )
@@ -237,9 +237,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFr
 
     Columns query_id, rank (from 1), vec_id, score: the inner product of the
     original vectors in double precision, ties to the smaller id; the query's own
-    id is left out. Rows that share an id and a vector are one; of rows that share
-    an id only, each vector is a query and a candidate. A vector meets those of
-    its own length. See :func:`usable` for rows that take no part. Other columns
+    id is left out. Rows that share an id are one; should their vectors differ,
+    one of them, the same on every run, counts. A vector meets those of its own length. See :func:`usable` for rows that take no part. Other columns
     are ignored, but for such that ``is_query`` reads. Without rows the result is empty.
     """
     spark = vectors.sparkSession
@@ -255,13 +254,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFr
 
 
 def _nearest(rows: DataFrame, asking: DataFrame, dims: int, n: int, k: int) -> DataFrame:
-    known = keep(entries(rows, k), "entries")
+    # One vector for each id.
+    chosen = keep(rows.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("vec_id", "h.h1", "h.h2"), "chosen")
+    known = keep(entries(chosen, k), "entries")
     vector = rows.select("h1", "h2", "embedding", F.col("vec_id").alias("rep"))
     distinct = keep(vector.join(known.select("h1", "h2", "rep"), ["h1", "h2", "rep"]).dropDuplicates(["h1", "h2"]), "distinct")
     coded, centre = build_index(distinct, dims, n)
     index = keep(coded, "index")
     asked = keep(
-        asking.select(F.col("vec_id").alias("query_id"), "h1", "h2").distinct().join(known.select("h1", "h2", F.col("rep").alias("q")), ["h1", "h2"])
+        chosen.join(asking.select("vec_id").distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "h1", "h2").join(known.select("h1", "h2", F.col("rep").alias("q")), ["h1", "h2"])
         .select("query_id", "q", "h1", "h2"), "queries",
     )
     different = asked.select("q", "h1", "h2").distinct()

@@ -407,6 +407,12 @@ def test_nearest_neighbours_skip_bad_vectors(spark):
     assert ann.nearest(table.limit(0), table["vec_id"] % 20 == 0).count() == 0
 
 
+def test_nearest_neighbours_of_an_id_with_two_vectors(spark):
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 2.0]), (2, [3.0, 2.0])], "vec_id long, embedding array<double>")
+    got = ann.nearest(table, F.col("vec_id") == 0, 5).orderBy("rank").collect()
+    assert [tuple(r) for r in got] in ([(0, 1, 1, 3.0), (0, 2, 2, 3.0)], [(0, 1, 1, 2.0), (0, 2, 2, 2.0)])
+
+
 @pytest.mark.parametrize("kind, group", [("double", 1 << 22), ("float", 40)])
 def test_nearest_neighbours_equal_brute_force(spark, monkeypatch, kind, group):
     """Ties, equal vectors, two lengths, extra columns, more groups of queries than one. So few vectors are all scored exactly."""
