@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,21 +71,39 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _hashes(entries: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(e) for e in entries), np.uint64, len(entries))
+
+
 class Table:
     """Entries' log probabilities per language relative to the languages' mean, as differences from those of an entry no language has.
 
     Only the languages that have an entry are held: ``where`` and ``more`` from
-    ``starts[k]`` up to ``starts[k + 1]`` belong to the entry with number k.
+    ``starts[k]`` up to ``starts[k + 1]`` belong to the entry with number k. The
+    entries themselves are held as sorted 64-bit hashes, a tenth of a dict's size.
     """
 
     def __init__(self, entries: list[str], at: np.ndarray, where: np.ndarray, count: np.ndarray, n_langs: int):
-        self.index = dict(zip(entries, range(len(entries)), strict=True))
+        hashes = _hashes(entries)
+        by_hash = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[by_hash]
+        number = np.empty(len(entries), np.int64)
+        number[by_hash] = np.arange(len(entries))
+        at = number[at]
         order = np.argsort(at, kind="stable")
         self.starts = np.searchsorted(at[order], np.arange(len(entries) + 1))
         self.where = where[order].astype(np.int32)
         self.more = np.log((count[order] + SMOOTHING) / SMOOTHING).astype(np.float32)
         self.base = np.log(SMOOTHING / (np.bincount(where, count, n_langs) + SMOOTHING * max(1, len(entries)))).astype(np.float32)
 
+    def find(self, entries: list[str]) -> np.ndarray:
+        """The entries' numbers, -1 for those that aren't held."""
+        wanted = _hashes(entries)
+        if not len(self.hashes):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1)
+
     def rows(self, at: np.ndarray) -> np.ndarray:
         """A row of all languages for each entry number."""
         lengths = self.starts[at + 1] - self.starts[at]
@@ -114,7 +133,7 @@ class Model:
         """
         out = np.zeros((len(words), len(self.langs) + 1), np.float32)
         table = self.tables[0]
-        at = np.fromiter((table.index.get(w, -1) for w in words), np.int64, len(words))
+        at = table.find(words)
         out[at >= 0, :-1] = table.rows(at[at >= 0])
         out[at >= 0, -1] = 1
         left = np.nonzero(at < 0)[0]
@@ -123,7 +142,7 @@ class Model:
                 break
             table = self.tables[n]
             grams = [grams_of(words[k], n) for k in left.tolist()]
-            at = np.fromiter((table.index.get(g, -1) for own in grams for g in own), np.int64)
+            at = table.find([g for own in grams for g in own])
             owner = np.repeat(np.arange(len(left)), [len(own) for own in grams])[at >= 0]
             found = np.bincount(owner, minlength=len(left))
             rows = table.rows(at[at >= 0])
