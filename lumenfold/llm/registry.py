@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import ann, chat, html_extract, language_id, line_dedup, mixing, near_dedup, packing, quality, token_files
+from lumenfold.llm import alignment, ann, chat, exact_dedup, html_extract, language_id, line_dedup, merkle, mixing, near_dedup, packing, quality, token_files
 from lumenfold.llm.common import table
+from lumenfold.session import scratch_path
 
 
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,20 @@ def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def merkle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, in two arrivals: the second is deduplicated against the stored index of the first."""
+    index = exact_dedup.DigestIndex(spark, f"lumenfold_digests_{uuid.uuid4().hex}", scratch_path(spark, "digest-index"))
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), index, arrivals=2)
+
+
+def alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_cube_mixing": mixing_query,
     "op2_language_id": language_id_query,
@@ -69,5 +86,8 @@ QUERIES = {
     "op8_chat_format": chat_query,
     "op9_minhash_near_dedup": near_dedup_query,
     "op10_token_files": token_files_query,
+    "op11_merkle_manifest": merkle_query,
+    "op12_exact_dedup": exact_dedup_query,
+    "op13_alignment": alignment_query,
 }
-ORACLES = {"op7_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op7_line_dedup": line_dedup.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE}
