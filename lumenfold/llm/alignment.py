@@ -8,9 +8,9 @@ Matrices are kept as compressed sparse rows (:class:`Csr`) and multiplied row by
 row after Gustavson.
 
 Neither vocabulary has a token that reaches from a character other than white
-space into a following space, so texts are cut there and each chunk, which
-begins with a space, has its tokens, groups and links for itself. A worker
-aligns a chunk once. What a document links is one more product: documents by
+space into a following space or line feed, so texts are cut there and each
+chunk, which begins with one of these, has its tokens, groups and links for
+itself. A worker aligns a chunk once. What a document links is one more product: documents by
 chunks times chunks by pairs.
 
 Pairs are shuffled once per block of documents (a slice of an Arrow batch), not
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 from lumenfold.llm.common import slices, texts_of
 from lumenfold.session import keep
 
-#: A space that follows a character other than white space, and is not the last character.
-_CUT = re.compile(r" (?<=\S )(?=.)", re.S)
+#: A space or line feed that follows a character other than white space; and a chunk, from one of these up to the next.
+_CUT = re.compile(r"(?<=\S)[ \n]")
+_CHUNK = re.compile(r"[ \n]\s*+(?:\S++(?:[^\S \n]\s*+)?+)*+")
 #: Long texts are cut into windows of about so many characters, and new chunks aligned so many characters at a time.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 #: A worker forgets its chunks when it holds so many of them, or so many tokens of theirs.
-CHUNKS, CHUNK_TOKENS = 200_000, 4_000_000
+CHUNKS, CHUNK_TOKENS = 300_000, 3_000_000
 #: Rows of a product that are expanded together hold about so many entries.
 ENTRIES = 1 << 20
 
@@ -121,9 +122,18 @@ class Tokenizers:
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
         self.size_a, self.size_b = (np.array([len(x) for x in held], np.int64) for held in (self.bytes_a, self.bytes_b))
 
-    def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each chunk with a space before it; B adds that space itself."""
-        return [e.ids for e in self.a.encode_batch([" " + c for c in chunks], add_special_tokens=False)], self.b.encode(chunks, num_threads=1)
+    def encode(self, chunks: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both for chunks, one after the other; None if their bytes aren't the text's.
+
+        The chunks follow a letter, as they do in texts: B puts a space before the text.
+        """
+        a, b = self.a.encode(" a" + chunks, add_special_tokens=False).ids, self.b.encode("a" + chunks, num_threads=1)
+        raw = b" a" + chunks.encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+            return None
+        if self.bytes_a[a[0]] != b" a" or self.bytes_b[b[0]] != b" a":
+            raise ValueError("the vocabularies have no token for a lone letter")
+        return np.array(a[1:], np.int64), np.array(b[1:], np.int64)
 
 
 class Chunks(dict):
@@ -149,25 +159,40 @@ class Chunks(dict):
     def learn(self) -> None:
         """Align the chunks that were new since the last time, about ``WINDOW`` characters at once."""
         new, self.unknown, start = self.unknown, [], 0
+        numbers, sizes, pairs, times = [self.numbers], [np.diff(self.pair_ptr)], [self.pairs], [self.times]
         while start < len(new):
             size, stop = 0, start
             while stop < len(new) and (stop == start or size < WINDOW):
                 size += len(new[stop])
                 stop += 1
-            self._align(new[start:stop])
+            for held, part in zip((numbers, sizes, pairs, times), self._align(new[start:stop]), strict=True):
+                held.append(part)
             start = stop
+        if new:
+            self.numbers, self.pairs, self.times = np.concatenate(numbers), np.concatenate(pairs), np.concatenate(times)
+            self.pair_ptr = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
-    def _align(self, chunks: list[str]) -> None:
+    def _align(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per chunk its numbers and how many distinct id pairs it links; these pairs, and how often it links each."""
         held, n = self.tokenizers, len(chunks)
-        all_a, all_b = held.encode(chunks)
-        valid = np.array([
-            b"".join([held.bytes_a[i] for i in a]) == (raw := b" " + c.encode()) == b"".join([held.bytes_b[i] for i in b])
-            for c, a, b in zip(chunks, all_a, all_b, strict=True)
-        ])
-        all_a, all_b = ([x if ok else [] for x, ok in zip(ids, valid, strict=True)] for ids in (all_a, all_b))
-        count_a, count_b = (np.array([len(x) for x in ids], np.int64) for ids in (all_a, all_b))
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (all_a, all_b))
+        # A sign that B writes for a space never comes out as itself, and what ends in white space stands for itself:
+        # such chunks are encoded one by one, all others as one text.
+        plain = np.array(["▁" not in c and not c[-1].isspace() for c in chunks])
+        whole = held.encode("".join([c for c, ok in zip(chunks, plain, strict=True) if ok]))
+        if whole is None:
+            plain[:] = False
+        each = {k: held.encode(chunks[k]) for k in np.flatnonzero(~plain).tolist()}
+        valid = plain | np.array([each.get(k) is not None for k in range(n)])
+        ends = np.cumsum([len(chunks[k].encode()) for k in np.flatnonzero(plain).tolist()])
+        a, b = (
+            self._in_order(ids, np.flatnonzero(plain)[np.searchsorted(ends, np.cumsum(size[ids]))], {k: x[side] for k, x in each.items() if x})
+            for side, (ids, size) in enumerate(zip(whole if plain.any() else (np.empty(0, np.int64),) * 2, (held.size_a, held.size_b), strict=True))
+        )
         ends_a, ends_b = np.cumsum(held.size_a[a]), np.cumsum(held.size_b[b])
+        # No token reaches across the end of a chunk.
+        chunk_ends = np.cumsum([len(c.encode()) if ok else 0 for c, ok in zip(chunks, valid, strict=True)])
+        chunk_a, chunk_b = np.searchsorted(chunk_ends, ends_a), np.searchsorted(chunk_ends, ends_b)
+        count_a, count_b = np.bincount(chunk_a, minlength=n), np.bincount(chunk_b, minlength=n)
         width = int(ends_a[-1]) if len(ends_a) else 0
         # Tokens by bytes. Chunks lie one after the other on the axis of bytes, and no token reaches across.
         over_a, over_b = Csr.spans(ends_a, width), Csr.spans(ends_b, width)
@@ -177,28 +202,34 @@ class Chunks(dict):
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         by_a, by_b = Csr.single(group_a, len(cuts)), Csr.single(group_b, len(cuts))
         shared = by_a.row_sizes(by_b.transposed())
-        chunk_a = np.repeat(np.arange(n), count_a)
-        of_group = chunk_a[np.searchsorted(ends_a, cuts)]
+        of_group = np.searchsorted(chunk_ends, cuts)
         of_link = chunk_a[rows]
         number = lambda of, weights=None: np.bincount(of, weights, minlength=n).astype(np.int64)
-        self.numbers = np.concatenate([self.numbers, np.stack([
-            valid.astype(np.int64), count_a, count_b, number(of_group), number(of_link), number(chunk_a, shared),
-        ], axis=1)])
+        numbers = np.stack([valid.astype(np.int64), count_a, count_b, number(of_group), number(of_link), number(chunk_a, shared)], axis=1)
         first_a, first_b = (np.concatenate([np.searchsorted(g, np.arange(len(cuts))), [len(g)]]) for g in (group_a, group_b))
         text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        from_a, from_b = first_a.tolist(), first_b.tolist()
         groups = [
-            f"{','.join(text_a[first_a[k] : first_a[k + 1]])}|{','.join(text_b[first_b[k] : first_b[k + 1]])}" for k in range(len(cuts))
+            f"{text_a[i]}|{text_b[j]}" if k - i == 1 == m - j else f"{','.join(text_a[i:k])}|{','.join(text_b[j:m])}"
+            for i, k, j, m in zip(from_a, from_a[1:], from_b, from_b[1:], strict=False)
         ]
-        bound = np.searchsorted(of_group, np.arange(n + 1))
-        self.written += [";".join(groups[bound[k] : bound[k + 1]]).encode() for k in range(n)]
+        bound = np.searchsorted(of_group, np.arange(n + 1)).tolist()
+        self.written += [";".join(groups[i:k]).encode() for i, k in zip(bound, bound[1:], strict=False)]
         # Distinct id pairs of each chunk, and how often it links them.
         pair = a[rows] << 32 | b[cols]
         order = np.lexsort((pair, of_link))
         of_link, pair = of_link[order], pair[order]
         first = np.flatnonzero(np.concatenate([[True], (of_link[1:] != of_link[:-1]) | (pair[1:] != pair[:-1])])) if len(pair) else np.empty(0, np.int64)
         times = np.diff(np.concatenate([first, [len(pair)]]))
-        self.pair_ptr = np.concatenate([self.pair_ptr, self.pair_ptr[-1] + np.cumsum(number(of_link[first]))])
-        self.pairs, self.times = np.concatenate([self.pairs, pair[first]]), np.concatenate([self.times, times])
+        return numbers, number(of_link[first]), pair[first], times
+
+    @staticmethod
+    def _in_order(ids: np.ndarray, chunk: np.ndarray, others: dict[int, np.ndarray]) -> np.ndarray:
+        """Tokens of some chunks, and of others, in the order of the chunks."""
+        if not others:
+            return ids
+        owner = np.concatenate([chunk, *[np.full(len(x), k) for k, x in others.items()]])
+        return np.concatenate([ids, *others.values()])[np.argsort(owner, kind="stable")]
 
     def trim(self) -> None:
         if len(self) > CHUNKS or len(self.pairs) > CHUNK_TOKENS or self.numbers[:, 1].sum() > CHUNK_TOKENS:
@@ -206,33 +237,33 @@ class Chunks(dict):
 
 
 def windows(text: str) -> Iterator[str]:
-    """The text in parts of about ``WINDOW`` characters, cut where chunks end; the space there is left out."""
-    start = 0
+    """The text, a space before it, in parts of about ``WINDOW`` characters, cut where chunks end."""
+    text, start = " " + text, 0
     while len(text) - start > WINDOW:
         cut = _CUT.search(text, start + WINDOW)
         if cut is None:
             break
         yield text[start : cut.start()]
-        start = cut.end()
+        start = cut.start()
     yield text[start:]
 
 
-def _aligned(text: str, known: Chunks) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
+def _chunked(text: str, known: Chunks) -> list[np.ndarray]:
+    """The numbers of a text's chunks, by window; ``known`` may have to learn some of them."""
+    return [np.array(list(map(known.__getitem__, _CHUNK.findall(part))), np.int32) for part in windows(text)]
+
+
+def _aligned(parts: list[np.ndarray], known: Chunks) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
     """(five counts, digest of the groups, distinct chunks, how often each) of a text; None if it has no tokens."""
-    counts, digest, chunks, often, begun = np.zeros(6, np.int64), hashlib.sha256(), [], [], False
-    for part in windows(text):
-        got = list(map(known.__getitem__, _CUT.split(part)))
-        known.learn()
-        ids = np.array(got, np.int64)
-        distinct, times = np.unique(ids, return_counts=True)
-        if not known.numbers[distinct, 0].all():
-            return None
-        counts += (known.numbers[distinct] * times[:, None]).sum(axis=0)
-        digest.update((b";" if begun else b"") + b";".join([known.written[i] for i in got]))
-        chunks.append(distinct), often.append(times)
-        begun = True
-    distinct, inverse = np.unique(np.concatenate(chunks), return_inverse=True)
-    return counts[1:].tolist(), digest.hexdigest(), distinct, np.bincount(inverse, np.concatenate(often)).astype(np.int64)
+    whole = np.concatenate(parts) if len(parts) > 1 else parts[0]
+    distinct, times = np.unique(whole, return_counts=True)
+    numbers = known.numbers[distinct]
+    if not numbers[:, 0].all():
+        return None
+    digest, written = hashlib.sha256(), known.written
+    for k, part in enumerate(parts):
+        digest.update((b";" if k else b"") + b";".join([written[i] for i in part.tolist()]))
+    return (times @ numbers)[1:].tolist(), digest.hexdigest(), distinct, times
 
 
 _ROW = pa.schema([
@@ -253,12 +284,15 @@ def _encoded(path_a: str, path_b: str):
         known, block = _known[path_a, path_b], TaskContext.get().partitionId() << 32
         for part in slices(batches, "text"):
             known.trim()
-            n, rows, ptr, chunks, often = part.num_rows, [], [0], [], []
+            n, rows, ptr, chunks, often, held = part.num_rows, [], [0], [], [], []
             for raw in texts_of(part, "text"):
                 try:
-                    found = _aligned(raw.decode(), known) if raw else None
+                    held.append(_chunked(raw.decode(), known) if raw else None)
                 except UnicodeDecodeError:  # not even UTF-8, so no tokens have these bytes
-                    found = None
+                    held.append(None)
+            known.learn()
+            for parts in held:
+                found = _aligned(parts, known) if parts else None
                 rows.append((*found[0], found[1]) if found else (0, 0, 0, 0, 0, ""))
                 if found:
                     chunks.append(found[2]), often.append(found[3])
