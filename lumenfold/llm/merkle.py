@@ -31,6 +31,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The tree of the subroots; a language's tree is named by "+" and the language, or "" for null.
 TOP = "top"
 _SEGMENT = "array<struct<before:string,after:string>>"
+#: Rows of a task at least, as upper levels are small however many partitions a shuffle has.
+TASK_ROWS = 20_000
+
+
+def _tasks(table: DataFrame, rows: int) -> DataFrame:
+    return table.coalesce(1 + rows // TASK_ROWS)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -50,8 +56,9 @@ def _positions(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     ``rows`` is a written table. It is sorted by range partitions; a row's place
     is its place within its partition and tree, and the sizes of those before.
     """
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = keep(rows.repartitionByRange(int(parts), tree, *order).withColumn("part", F.spark_partition_id()), "ranged")
+    parts = min(1 + rows.count() // TASK_ROWS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(parts, tree, *order) if parts > 1 else rows.coalesce(1)
+    ranged = keep(dealt.withColumn("part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy(tree, "part").agg(F.count("*").alias("n"))
     # A row per tree and partition it lies in.
     earlier = Window.partitionBy(tree).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,12 +96,14 @@ def _levels(nodes: DataFrame, first: int) -> tuple[list[DataFrame], DataFrame]:
     A link is (node, up, segment, subroot): the parent and the siblings on the way to it.
     """
     links, ends, level = [], [], first
-    most = nodes.agg(F.max("size")).first()[0] or 0
+    most, n = nodes.agg(F.max("size"), F.count("*")).first()
+    most = most or 0
     while True:
         ends.append(nodes.where("size = 1").select("tree", F.lit(level).alias("level"), "hash"))
         if most <= 1:
             break
-        runs = keep(_runs(nodes.where("size > 1")), f"runs-{level}")
+        runs = keep(_tasks(_runs(nodes.where("size > 1")), n), f"runs-{level}")
+        n = runs.count()
         tree, at, up = F.col("tree"), F.lit(level), F.lit(level + 1)
         each = runs.select("tree", "run", "members", F.posexplode(F.transform("members", lambda m: m["idx"])).alias("k", "idx"))
         links.append(
@@ -109,12 +118,13 @@ def _levels(nodes: DataFrame, first: int) -> tuple[list[DataFrame], DataFrame]:
     last = ends[0]
     for end in ends[1:]:
         last = last.union(end)
-    return links, keep(last, "ends")
+    return links, keep(_tasks(last, n), "ends")
 
 
 def _jumped(links: DataFrame) -> DataFrame:
     """(node, segment, subroot) of all nodes, their segments reaching the root: each round doubles the distance."""
-    held = keep(links, "pointers")
+    n = links.count()
+    held = keep(_tasks(links, n), "pointers")
     while held.where("up is not null").head(1):
         going = held.where("up is not null")
         wanted = going.groupBy("up").agg(F.count("*").alias("n"))
@@ -123,7 +133,7 @@ def _jumped(links: DataFrame) -> DataFrame:
         )
         met = salted_join(going, beyond, ["up"], hot_keys(wanted, ["up"]), ["node"])
         jumped = met.select("node", F.col("next").alias("up"), F.concat("segment", "more").alias("segment"), F.coalesce("subroot", "later").alias("subroot"))
-        further = keep(held.where("up is null").select("node", "up", "segment", "subroot").union(jumped), "pointers")
+        further = keep(_tasks(held.where("up is null").select("node", "up", "segment", "subroot").union(jumped), n), "pointers")
         discard(held)
         held = further
     return held.select("node", "segment", "subroot")
@@ -158,7 +168,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     placed = _positions(leaves, "tree", ["doc_id", "hash", "row"])
     alone = F.col("size") == 1
     # Level 0, with what the result needs of each leaf; a lone leaf is its tree's subroot and has no run to hash.
-    runs = keep(_runs(placed, "doc_id", "changed"), "leaf-runs")
+    runs = keep(_tasks(_runs(placed, "doc_id", "changed"), leaves.count()), "leaf-runs")
     hashes = F.transform("members", lambda m: m["hash"])
     above = runs.select(
         "tree", F.col("run").alias("idx"), F.ceil(F.col("size") / FAN).cast("long").alias("size"),
@@ -166,7 +176,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     )
     links, ends = _levels(keep(above, "level-1"), 1)
     top = _positions(ends.select(F.lit(TOP).alias("tree"), "hash", F.col("tree").alias("of"), "level"), "tree", ["of"])
-    subroots = keep(_runs(top, "of", "level"), "subroot-runs")
+    subroots = keep(_tasks(_runs(top, "of", "level"), ends.count()), "subroot-runs")
     single = F.col("size") == 1
     each = subroots.select("run", "size", "members", F.posexplode("members").alias("k", "m"))
     # The subroots' own links lead into the top tree.
