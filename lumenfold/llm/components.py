@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.common import hot_keys, salted_join
 from lumenfold.session import discard, keep
 
 
@@ -13,15 +14,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
     Large star: each node points its larger neighbours at its least neighbour.
     Small star: each node points itself and its smaller neighbours there.
-    The least neighbour is an aggregate, so a node with very many neighbours
-    costs no single task more than its share.
+    The least neighbour is an aggregate, and the edges of a node with very many
+    neighbours are dealt over tasks to meet it.
     """
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    pointed = both.join(least, "u")
+    counted = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = counted.select("u", F.least("u", "m").alias("m"))
+    pointed = salted_join(both, least, ["u"], hot_keys(counted, ["u"]), ["v"])
     if large:
         out = pointed.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -45,8 +47,10 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = None
     while True:
-        edges_next = keep(_star(_star(edges, True), False), "edges")
+        between = keep(_star(edges, True), "edges")
+        edges_next = keep(_star(between, False), "edges")
         discard(edges)
+        discard(between)
         edges = edges_next
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

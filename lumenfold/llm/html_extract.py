@@ -30,6 +30,8 @@ STEP = 1.0
 RIDGE = 1e-3
 KEEP_FROM = 0.5
 _WORD = re.compile(r"[a-z]+")
+#: Elements that say what kind of part they are; the nearest one above a text is a feature of it.
+SECTIONS = frozenset("nav aside footer header form article main dialog".split())
 
 
 class Tree:
@@ -54,7 +56,7 @@ def _element_features(dom: Dom, i: int) -> list[str]:
 
 def tree_of(dom: Dom) -> Tree:
     """The model's variables: the block elements above text, and below them the text blocks."""
-    tree, number = Tree(), {}
+    tree, number, around = Tree(), {}, {-1: "body"}
     for i, text, linked in blocks(dom):
         path, up = [], i
         while up >= 0 and up not in number:  # each element is taken once, so this is linear
@@ -62,11 +64,13 @@ def tree_of(dom: Dom) -> Tree:
             up = dom.parent[up]
         for k in reversed(path):
             number[k] = tree.add(number[up] if up >= 0 else -1, _element_features(dom, k), None, k)
+            around[k] = dom.tag[k] if dom.tag[k] in SECTIONS else f"named {dom.tag[k]}" if dom.names[k] else around[up]
             up = k
+        inside = "body" if dom.tag[i] == "#root" else dom.tag[i]  # a page need not have a body's tag
         share = min(3, 4 * linked // (len(text) + 1))
         length = min(6, (text.count(" ") + 1).bit_length())
         tree.add(number[i], [
-            "text", f"in:{dom.tag[i]}", f"length:{length}", f"links:{share}", f"links:{share}&length:{length >= 4}",
+            "text", f"in:{inside}", f"in:{inside}&links:{share}", f"under:{around[i]}", f"under:{around[i]}&links:{share}", f"length:{length}", f"links:{share}", f"links:{share}&length:{length >= 4}",
             "end:stop" if text[-1] in ".!?:;\"'”»…" else "end:none",
         ], text, i)
     return tree

@@ -98,6 +98,19 @@ class _Writer:
     def share(self) -> str:
         return self.part("div", _SHARE, " ".join(self.link(1, 1) for _ in range(self.r.randint(2, 5))))
 
+    def references(self) -> str:
+        """Links that are part of the article: lists of sources, tables of links."""
+        if self.r.random() < 0.3:
+            return "<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.link(1, 5)}</td></tr>" for _ in range(self.r.randint(1, 5))) + "</table>"
+        tag = self.r.choice(["ul", "ul", "ol"])
+        return f"<{tag}>" + "".join(f"<li>{self.link(1, 8)}{self.r.choice(['', '', '.', ' ' + self.words(1, 4)])}</li>" for _ in range(self.r.randint(1, 6))) + f"</{tag}>"
+
+    def bare(self) -> str:
+        """A page without a container: text right in the body, between paragraphs and other parts."""
+        parts = [self.r.choice([lambda: self.sentences(1, 6), lambda: f"<p>{self.rich(self.sentences(1, 6))}</p>", lambda: f"<h1>{self.words(2, 8)}</h1>", lambda: self.rich(self.sentences(1, 4)) + "<br>"])() for _ in range(self.r.randint(1, 8))]
+        some = lambda p, f: f() if self.r.random() < p else ""
+        return some(0.3, self.head) + some(0.5, self.menu) + some(0.2, self.notice) + "".join(parts) + some(0.2, self.references) + some(0.3, self.advert) + some(0.5, self.foot)
+
     def article(self) -> str:
         out = [f"<h1>{self.words(2, 14)}</h1>"] if self.r.random() < 0.85 else []
         if out and self.r.random() < 0.15:
@@ -109,16 +122,20 @@ class _Writer:
                 out.append(f"<p>{self.rich(text)}</p>" if self.r.random() < 0.85 else f"<p><b>{text}<br><p>{self.sentences(1, 3)}</p>")
             elif kind < 0.8:
                 out.append(f"<h{self.r.randint(2, 4)}>{self.words(1, 7)}</h{2}>")
-            elif kind < 0.88:
+            elif kind < 0.87:
                 items = "".join(f"<li>{self.rich(self.sentences(1, 2) if self.r.random() < 0.6 else self.words(1, 5))}</li>" for _ in range(self.r.randint(1, 5)))
                 out.append(f"<ul>{items}</ul>" if self.r.random() < 0.6 else f"<ol>{items}</ol>")
-            elif kind < 0.91:
+            elif kind < 0.90:
                 out.append(f"<blockquote><p>{self.sentences(1, 3)}</p></blockquote>")
+            elif kind < 0.92:
+                out.append(self.references())
             elif kind < 0.93:
                 out.append(f"<pre>{self.words(3, 20)}</pre>")
             elif kind < 0.95:
                 out.append("<table>" + "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(self.r.randint(1, 4))) + "</table>")
-            elif kind < 0.955:
+            elif kind < 0.953:
+                out.append(self.references())
+            elif kind < 0.957:
                 out.append(self.r.choice([f"<noscript><p>{self.sentences(1, 2)}</p></noscript>", f"<xmp>{self.words(3, 20)}</xmp>", f"<object><p>{self.sentences(1, 2)}</p></object>"]))
             elif kind < 0.965:
                 out.append(f'<figure><img src="x.png"><figcaption>{self.words(3, 9)}</figcaption></figure>')
@@ -136,6 +153,8 @@ class _Writer:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.1:
+            return f'<html><head><title>{self.words(2, 6)}</title></head><body {LABEL}="1">{self.bare()}</body></html>'
         some = lambda p, f: f() if r.random() < p else ""
         before = [some(0.1, lambda: self.part("noscript", _NOTICE, self.sentences(1, 1))), some(0.4, self.notice), some(0.4, self.head), some(0.7, self.menu), some(0.15, self.form), some(0.5, self.advert)]
         after = [some(0.1, self.share), some(0.35, self.comments), some(0.35, self.side), some(0.3, self.advert), some(0.2, self.form), some(0.2, self.notice), some(0.85, self.foot)]

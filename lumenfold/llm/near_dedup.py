@@ -47,7 +47,7 @@ LEFT, RIGHT = 12, 8
 #: Members that the first later round takes as pivots of a bucket; each next one takes twice as many.
 PIVOTS = 32
 #: Bytes kept of each shingle's hash in the sets that confirm links.
-SET_BYTES = 6
+SET_BYTES = 8
 #: Bits of the filter that says which documents' sets are needed at all.
 FILTER_BITS = 1 << 25
 _VOCABULARY = 200_000
@@ -103,18 +103,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append(low[2 * LEFT :].view(np.int64))
         yield pa.record_batch(
             [
-                part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
+                part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                 pa.array(left, pa.list_(pa.int64())), pa.array(right, pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "set_key", "left", "right"],
+            names=["doc_id", "text_hash", "n_shingles", "set_key", "left", "right"],
         )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Set size, a 128-bit key of the set and the two hash collections of each document."""
-    return docs.select("doc_id", "text").mapInArrow(
+    """A hash of the text, set size, a 128-bit key of the set and the two hash collections of each document."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
         _signatures,
-        "doc_id long, n_shingles long, set_key binary, left array<long>, right array<long>",
+        "doc_id long, text_hash long, n_shingles long, set_key binary, left array<long>, right array<long>",
     )
 
 
@@ -194,10 +194,11 @@ def _prefixes(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     similar to another one shares one of its first n / 4 + 1 with it.
     """
     rows = keep(sets.join(wanted, "rep", "left_semi").select("rep", "shingles").mapInArrow(_spread, "shingle long, rep long"), "shingles")
-    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = keep(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
+    hot = hot_keys(shared.select("shingle", F.col("df").alias("n")), ["shingle"])
     n = rows.groupBy("rep").agg(F.count("*").alias("n"))
     order = Window.partitionBy("rep").orderBy("df", "shingle")
-    mine = rows.join(shared, "shingle").withColumn("place", F.row_number().over(order) - 1).withColumn(
+    mine = salted_join(rows, shared, ["shingle"], hot, ["rep"]).withColumn("place", F.row_number().over(order) - 1).withColumn(
         "held", F.count("*").over(Window.partitionBy("rep"))
     )
     placed = mine.join(n, "rep").withColumn("at", F.col("place") + F.col("n") - F.col("held"))
@@ -240,14 +241,17 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar enough."""
+    """Those of the pairs (a, b) whose full sets are similar enough; the pairs of a frequent member are dealt over tasks."""
+    pairs = keep(pairs.distinct(), "pairs")
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(_confirm, "a long, b long")
+    often = lambda side: hot_keys(pairs.groupBy(side).agg(F.count("*").alias("n")), [side])
+    met = salted_join(salted_join(pairs, left, ["a"], often("a"), ["b"]), right, ["b"], often("b"), ["a"])
+    return met.select("a", "b", "of_a", "of_b").mapInArrow(_confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs`` (doc_id, text, ...): doc_id, n_shingles, component_id, kept, text_hash.
 
     Null and empty texts, and texts without a word, have an empty set and link
     with nothing. Rows that share a doc_id are repeats of one document; should
@@ -270,8 +274,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(x, y, i * RIGHT + j)))
     )
     keyed = classes.select("rep", F.explode(pairs_of_hashes).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    proposed = keep(keyed.join(shared, "key"), "proposed")
+    shared = keep(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    hot = hot_keys(shared, ["key"])
+    proposed = keep(salted_join(keyed, shared.select("key"), ["key"], hot, ["rep"]), "proposed")
     discard(classes)
     sets = keep(_sets(spark, docs, proposed.select("rep").distinct()), "sets")
     sizes = keep(_shared_sizes(sets).where(f"100 * c >= {PERCENT} * n"), "sizes")
@@ -282,8 +287,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivot = buckets.groupBy("key").agg(F.max(first).alias("p"), F.count("*").alias("m")).where("m > 1").select(
         "key", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.c").alias("ca")
     )
-    pairs = buckets.join(pivot, (buckets["key"] == pivot["key"]) & (F.col("rep") != F.col("a")) & _possible("n", "c", "na", "ca"))
-    links = keep(_links(pairs.select("a", F.col("rep").alias("b")).distinct(), sets), "links")
+    pairs = salted_join(buckets, pivot, ["key"], hot, ["rep"]).where((F.col("rep") != F.col("a")) & _possible("n", "c", "na", "ca"))
+    links = keep(_links(pairs.select("a", F.col("rep").alias("b")), sets), "links")
     groups = keep(components(links), "components")
 
     # Documents in buckets that still hold more than one component.
@@ -292,7 +297,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     open_keys = buckets.join(labels, "rep", "left").select("key", component).groupBy("key").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("m")
     ).where("c0 <> c1 and m > 2").select("key")
-    still = keep(buckets.join(open_keys, "key").select("rep").distinct(), "open")
+    still = keep(salted_join(buckets.select("key", "rep"), open_keys, ["key"], hot, ["rep"]).select("rep").distinct(), "open")
     discard(buckets)
     members = keep(_numbered(keep(_prefixes(sets, still), "prefixes")), "members")
     most = members.agg(F.max("rank")).first()[0] or 0
@@ -309,24 +314,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # If this is the first shingle they share, the intersection is at most what follows in either.
         most_common = F.least(F.col("n") - F.col("at"), F.col("na") - F.col("ata"))
         reach = (100 + PERCENT) * most_common >= PERCENT * (F.col("n") + F.col("na"))
-        pairs = now.join(pivots, across & reach).select("a", F.col("rep").alias("b")).distinct()
+        pairs = now.join(pivots, across & reach).select("a", F.col("rep").alias("b"))
         found = keep(_links(pairs, sets), "links")
         if found.head(1):
             links = keep(links.union(found), "links")
             groups = keep(components(links), "components")
         done, width = done + width, 2 * width
 
-    own = salted_join(usable.select("doc_id", "n_shingles", "set_key"), reps.select("set_key", "rep"), ["set_key"], hot_keys(reps, ["set_key"]), ["doc_id"])
+    own = salted_join(usable.select("doc_id", "n_shingles", "set_key", "text_hash"), reps.select("set_key", "rep"), ["set_key"], hot_keys(reps, ["set_key"]), ["doc_id"])
     labelled = own.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "text_hash"
     )
     for table in (sets, sizes, members, still):
         discard(table)
-    alone = signed.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return labelled.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    alone = signed.where("doc_id is null or set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+    stays = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return labelled.union(alone).select("doc_id", "n_shingles", "component_id", stays.alias("kept"), "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose document is the first of its group, with all their columns."""
-    decided = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(decided, "doc_id", "left_anti")
+    """Rows of ``docs`` whose document is the first of its group, with all their columns.
+
+    A row goes by its doc_id and text: of one doc_id with two texts, one may go
+    and the other stay. Rows without doc_id, text or words stay, as do repeats
+    of a row that stays. An empty table stays empty.
+    """
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_lf_id"), F.col("text_hash").alias("_lf_hash")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("_lf_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_lf_hash"))
+    return docs.join(gone, same, "left_anti")

@@ -14,7 +14,7 @@ from lumenfold.session import scratch_path
 
 
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:

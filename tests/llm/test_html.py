@@ -73,6 +73,35 @@ def test_held_out_labelled_pages(model):
     assert right / n > 0.97
 
 
+ARTICLE = "<article><h1>A title here</h1><p>This is the text of an article, long enough to be one.</p>"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<nav><a href=x>home</a></nav>{ARTICLE}<ul><li><a href=/a>first source</a><li><a href=/b>second one here</a></ul></article><footer>&copy; me</footer>",
+     ["A title here", "This is the text of an article, long enough to be one.", "first source", "second one here"]),
+    (f"{ARTICLE}<table><tr><td>x one<td><a href=x>some link</a></table></article>", ["A title here", "This is the text of an article, long enough to be one.", "x one", "some link"]),
+    ("<body>Text right in the body of the page, which goes on for some time.</body>", ["Text right in the body of the page, which goes on for some time."]),
+    ("Text without elements at all, which goes on for some time.", ["Text without elements at all, which goes on for some time."]),
+    ("<body><nav><ul><li><a href=x>home</a></li><li><a href=x>about us</a></li></ul></nav>Text right in the body. <p>More text in a paragraph.</p> and more<footer>&copy; 2020 me</footer></body>",
+     ["Text right in the body.", "More text in a paragraph.", "and more"]),
+])
+def test_link_lists_of_articles_and_bare_text(model, page, want):
+    assert model.content(page) == want
+
+
+def test_pages_with_unknown_class_names(model):
+    """Held-out accuracy where no class name was seen in training."""
+    right = n = 0
+    for page in labelled_pages.pages(150, seed=77):
+        page = re.sub(r'(class|id)="[^"]*"', r'\1="qx zv"', page)
+        dom = parse(page, labelled_pages.LABEL)
+        tree = html_extract.tree_of(dom)
+        p, _, _ = html_extract.marginals(tree.parent, model.odds(tree), model.edge)
+        pairs = [((q >= html_extract.KEEP_FROM) == y) for t, q, y in zip(tree.text, p, html_extract._labels(dom, tree), strict=True) if t is not None]
+        right, n = right + sum(pairs), n + len(pairs)
+    assert right / n > 0.85
+
+
 def test_articles_of_the_given_pages(spark, model):
     """Brute force: these pages mark their article, whose blocks are paragraphs and headings."""
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}

@@ -108,6 +108,22 @@ def test_near_duplicates_in_hot_buckets_with_repeated_rows(spark, monkeypatch):
     assert left.columns == table.columns and {r["doc_id"] for r in left.collect()} == {i for i, (_, c) in want.items() if c == i}
 
 
+def test_near_duplicates_drop_by_id_and_text(spark):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(3, two), (5, one), (5, two), (6, two + " more"), (7, None), (7, one + " and one")]
+    left = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.lit(0)))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(3, two, 0), (5, one, 0), (7, None, 0)], key=str)
+
+
+def test_components_deal_frequent_nodes(spark, monkeypatch):
+    from lumenfold.llm import components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    links = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(40)] + [(300, 59), (5, 5), (None, 3)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in [*range(60), 300]}, **{k: 100 for k in range(100, 141)}}
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
