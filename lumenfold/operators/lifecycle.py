@@ -13,12 +13,13 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.functions.urls import archive_path, inside
+from lumenfold.functions.urls import archive_path
 from lumenfold.operators import consistency, stats
-from lumenfold.schemas import DOCUMENTS, STATS, ArchiveError, DocumentMissing, FileMissing, InvalidPath
+from lumenfold.operators.segments import Index
+from lumenfold.schemas import STATS, ArchiveError, DocumentMissing, FileMissing, InvalidPath
 from lumenfold.session import keep
-from lumenfold.sources.archive import copy_files, documents, html_files, list_files, read_pages, unattributed
-from lumenfold.sources.store import Store
+from lumenfold.sources.archive import copy_files, documents, html_files, list_files, present, read_pages, unattributed, write_pages
+from lumenfold.sources.store import Store, stored_counts, stored_documents
 
 
 def find_documents(docs: DataFrame, domain: str, filename: str) -> DataFrame:
@@ -30,27 +31,21 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("id"), "id", "left_anti")
 
 
-def add_pages(docs: DataFrame, counts: DataFrame, files: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, counts) after adding ``pages`` (domain, filename, html); only files that were not there count."""
-    good, bad = documents(pages)
-    if bad.head(1):
-        raise ArchiveError("no title found")
-    new = pages.join(files.select("domain", "filename"), ["domain", "filename"], "left_anti")
-    delta = new.groupBy(F.col("domain").alias("source")).agg(F.count("*").alias("delta"))
-    return docs.unionByName(good.withColumn("id", F.uuid())), stats.increment(counts, delta)
-
-
 class Archive:
-    """A folder of pages with its document and count tables."""
+    """A folder of pages with its document and count tables, and a search index if there is one.
 
-    def __init__(self, spark: SparkSession, root: str, store: Store):
-        self.spark, self.root, self.store = spark, root, store
+    Adding and deleting write what they change and nothing else; rebuilding puts
+    a whole table in place of all changes so far, those of streams too.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, store: Store, index: Index | None = None):
+        self.spark, self.root, self.store, self.index = spark, root, store, index
 
     def docs(self) -> DataFrame:
-        return self.store.read("documents", DOCUMENTS)
+        return stored_documents(self.store)
 
     def counts(self) -> DataFrame:
-        return self.store.read("stats", STATS)
+        return stored_counts(self.store)
 
     def scan(self) -> tuple[DataFrame, DataFrame]:
         """(files, issues of files outside any domain)"""
@@ -58,12 +53,14 @@ class Archive:
         return html_files(listing), unattributed(listing)
 
     def rebuild(self, strict: bool = True) -> DataFrame:
-        """Build the documents anew from the files; strict fails on a page without a title, else it is an issue."""
+        """Build the documents, and the index, anew from the files; strict fails on a page without a title, else it is an issue."""
         files, _ = self.scan()
         good, bad = documents(read_pages(files))
         if strict and (first := bad.first()):
             raise ArchiveError(f"no title found in {first['path']}")
         self.store.write("documents", good)
+        if self.index:
+            self.index.build(self.docs())
         return bad
 
     def refresh_counts(self) -> DataFrame:
@@ -82,18 +79,30 @@ class Archive:
         self.refresh_counts()
         return consistency.ordered(consistency.merge(lost, self.check()))
 
+    def add(self, pages: DataFrame) -> None:
+        """Index and write ``pages`` (domain, filename, html), by tasks; only files that were not there count.
+
+        A page of the same name gives a second document, as a new one has its own id.
+        """
+        rel = F.concat_ws("/", "domain", "filename")
+        pages = keep(pages.select("domain", "filename", "html", rel.alias("rel")), "pages")
+        leaves = F.exists(F.split("rel", "/"), lambda x: x.isin("", ".", ".."))
+        if wrong := pages.where(leaves | F.col("domain").contains("/")).first():
+            raise InvalidPath(wrong["rel"])
+        good, bad = documents(pages)
+        if bad.head(1):
+            raise ArchiveError("no title found")
+        there = keep(present(pages, self.root), "present")
+        new = keep(good.withColumn("id", F.uuid()), "documents")
+        self.store.append("documents", new)
+        if self.index:
+            self.index.add(new)
+        write_pages(pages, self.root)
+        fresh = stats.count_by_source(there.where("not there").select("domain", "rel").distinct())
+        self.store.append("stats", fresh)
+
     def add_file(self, domain: str, filename: str, html: str) -> None:
-        target = os.path.join(self.root, domain, filename)
-        if not inside(self.root, target):
-            raise InvalidPath(target)
-        files, _ = self.scan()
-        page = self.spark.createDataFrame([(domain, filename, html)], "domain string, filename string, html string")
-        docs, counts = add_pages(self.docs(), self.counts(), files, page)
-        self.store.write("documents", docs)
-        self.store.write("stats", counts)
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with open(target, "w", encoding="utf-8", newline="") as out:
-            out.write(html)
+        self.add(self.spark.createDataFrame([(domain, filename, html)], "domain string, filename string, html string"))
 
     def delete(self, request: str) -> list[str]:
         """Delete a page by its request path: documents first, then the file, then its count. Returns the ids."""
@@ -103,14 +112,18 @@ class Archive:
             raise FileMissing(request)
         if os.path.isdir(target):
             raise InvalidPath(request)
-        ids = find_documents(self.docs(), domain, filename)
-        found = sorted(r["id"] for r in ids.collect())  # copies of one page
+        found = sorted(r["id"] for r in find_documents(self.docs(), domain, filename).collect())  # copies of one page
         if not found:
             raise DocumentMissing(request)
-        self.store.write("documents", without(self.docs(), ids))
+        ids = self.spark.createDataFrame([(i,) for i in found], "id string")
+        self.store.append("documents", ids.withColumn("gone", F.lit(True)))
+        if self.index:
+            self.index.remove(ids)
         os.remove(target)
-        one = self.spark.createDataFrame([(domain, 1)], "source string, delta long")
-        self.store.write("stats", stats.decrement(self.counts(), one))
+        counted = self.counts().where(F.col("source") == domain).first()
+        if counted:  # a source that isn't counted stays so
+            delta = -min(1, counted["file_count"])
+            self.store.append("stats", self.spark.createDataFrame([(domain, delta)], STATS))
         return found
 
     def backup(self, target: str) -> dict:

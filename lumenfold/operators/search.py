@@ -1,140 +1,97 @@
-"""Keyword search over documents: postings, matching, ranking, paging, cropping and highlighting.
+"""Keyword search over documents: ranking, paging, excerpts.
 
 Ranking is by rules in a fixed order: matched leading words, typos, distance of
-the words, best field, exact matches, id. Typos are worked out on the table of
-distinct terms, and texts are read again for the hits of one page only.
+the words, best field, exact matches, id. A search reads the distinct terms and
+the postings of those that match; texts are read for the hits of one page only.
 """
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import add
 
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.functions.excerpts import CLOSE_TAG, OPEN_TAG, excerpts
+from lumenfold.operators.segments import Index
+from lumenfold.operators.terms import FIELDS, blocks, matching_terms, pieces_of, postings, query_terms, width  # noqa: F401 (postings: for callers)
 from lumenfold.schemas import ArchiveError
 from lumenfold.session import keep
-from lumenfold.sources.store import Store
 
-FIELDS = ("id", "title", "filename", "domain", "content")
 HITS_PER_PAGE = 10
 MOST_HITS = 1000
-CROP_WORDS = 150
-OPEN_TAG, CLOSE_TAG = '<span style="color: red;">', "</span>"
 #: A gap between two matched words counts this much at most.
 MOST_GAP = 8
-_CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
-_RUN = rf"[{_CJK}]+|[\p{{L}}\p{{N}}&&[^{_CJK}]]+"
+_STATE = "struct<field:int,a:int,b:int,best:int>"
 
 
-def _grams(run: Column, at: Column) -> Column:
-    """Terms of one run: itself, or the single signs and pairs of a script without spaces."""
-    n = F.length(run)
-    pick = lambda width: F.when(
-        n >= width, F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda k: F.struct(F.substring(run, k, F.lit(width)).alias("term"), at.alias("pos")))
-    ).otherwise(F.array().cast("array<struct<term:string,pos:int>>"))
-    return F.when(run.rlike(rf"^[{_CJK}]"), F.concat(pick(1), pick(2))).otherwise(F.array(F.struct(run.alias("term"), at.alias("pos"))))
-
-
-def terms_of(text: Column | str) -> Column:
-    """Array of struct(term, pos) of a text, in lower case."""
-    text = F.col(text) if isinstance(text, str) else text
-    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_RUN), F.lit(0))
-    return F.flatten(F.transform(runs, _grams))
-
-
-def postings(documents: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "id") -> DataFrame:
-    """(key, field, term, pos): one row per occurrence; field is its number in ``fields``."""
-    each = F.array(*[F.struct(F.lit(k).alias("field"), terms_of(F.col(f).cast("string")).alias("terms")) for k, f in enumerate(fields)])
-    by_field = documents.select(F.col(key), F.explode(each).alias("f"))
-    return by_field.select(key, "f.field", F.explode("f.terms").alias("t")).select(key, "field", "t.term", "t.pos")
-
-
-def query_terms(query: str) -> list[str]:
-    runs = regex.findall(rf"(?V1){_RUN.replace('Is', '')}", query.lower())
-    cjk = re.compile("[⺀-鿿가-힯぀-ヿ]")
-    return [t for run in runs for t in ([run[k : k + 2] for k in range(max(1, len(run) - 1))] if cjk.match(run) else [run])]
-
-
-def typo_budget(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+def _wanted(query: str) -> list[str]:
+    if not (wanted := query_terms(query)):
+        raise ArchiveError("query is empty")
+    return wanted
 
 
-def matching_terms(terms: DataFrame, wanted: list[str]) -> DataFrame:
-    """(term, no, typos, exact) of the distinct terms that match the wanted ones; the last also matches as a prefix."""
-    found = []
-    for no, want in enumerate(wanted):
-        distance = F.levenshtein(F.col("term"), F.lit(want), typo_budget(want))
-        prefix = F.col("term").startswith(want) if no == len(wanted) - 1 else F.lit(False)
-        typos = F.when((F.col("term") == want) | prefix, 0).when(distance > 0, distance)
-        found.append(F.struct(F.lit(no).alias("no"), typos.alias("typos"), (F.col("term") == want).cast("int").alias("exact")))
-    return terms.select("term").distinct().select("term", F.explode(F.array(*found)).alias("m")).select("term", "m.*").where("typos is not null")
+def hits_of(documents: DataFrame | Index, wanted: list[str]) -> DataFrame:
+    """(keys, no, typos, exact, term, field, positions) of all terms that match: from an index, or else from documents, made on the way."""
+    if isinstance(documents, Index):
+        return documents.hits(documents.matches(wanted))
+    held = blocks(documents)
+    return held.join(matching_terms(held, wanted), "term")
 
 
-class Index:
-    """Stored postings: a search reads the table of distinct terms, and the postings of the shards its terms fall in.
+def least_gap(first: Column, second: Column) -> Column:
+    """Least distance of a position of one word to one of the other in the same field, at most ``MOST_GAP``.
 
-    A term's shard is a hash of it; postings are written by shard, so the others
-    are never read.
+    Both are arrays of struct(field, positions). One pass over both in order:
+    the nearest position of the other word is the last one seen, or the next.
     """
+    tagged = lambda places, tag: F.flatten(
+        F.transform(places, lambda p: F.transform(p["positions"], lambda x: F.struct(p["field"].alias("field"), x.alias("pos"), F.lit(tag).alias("tag"))))
+    )
+    both = F.array_sort(F.concat(tagged(first, 0), tagged(second, 1)))
+    none = F.lit(None).cast("int")
 
-    SHARDS = 64
-
-    def __init__(self, store: Store, name: str = "search"):
-        self.store, self.terms, self.places = store, f"{name}-terms", f"{name}-postings"
-
-    def build(self, documents: DataFrame) -> None:
-        shard = F.pmod(F.xxhash64("term"), F.lit(self.SHARDS)).cast("int")
-        placed = postings(documents).withColumn("shard", shard)
-        # Also by a hash of the document, so that no frequent term makes one huge file.
-        spread = placed.repartition("shard", F.pmod(F.xxhash64("id"), F.lit(8)))
-        self.store.write(self.places, spread, "shard")
-        held = self.store.read(self.places)
-        counted = held.groupBy("term", "shard").agg(F.count("*").alias("occurrences"), F.count_distinct("id").alias("documents"))
-        self.store.write(self.terms, counted)
+    def step(state: Column, x: Column) -> Column:
+        same = state["field"] == x["field"]
+        a, b = F.when(same, state["a"]), F.when(same, state["b"])
+        near = x["pos"] - F.when(x["tag"] == 0, b).otherwise(a)
+        return F.struct(
+            x["field"].alias("field"), F.when(x["tag"] == 0, x["pos"]).otherwise(a).alias("a"), F.when(x["tag"] == 1, x["pos"]).otherwise(b).alias("b"),
+            F.least(state["best"], F.coalesce(near, F.lit(MOST_GAP))).alias("best"),
+        ).cast(_STATE)
 
-    def hits(self, wanted: list[str]) -> DataFrame:
-        """The postings of all terms that match, with no, typos and exact."""
-        terms = self.store.read(self.terms)
-        found = keep(matching_terms(terms, wanted).join(terms.select("term", "shard"), "term"), "matches")
-        shards = [r["shard"] for r in found.select("shard").distinct().collect()]  # SHARDS at most
-        return self.store.read(self.places).where(F.col("shard").isin(shards)).drop("shard").join(found.drop("shard"), "term")
+    start = F.struct(F.lit(-1).alias("field"), none.alias("a"), none.alias("b"), F.lit(MOST_GAP).alias("best")).cast(_STATE)
+    return F.aggregate(both, start, step, lambda s: s["best"])
 
 
 def ranked(documents: DataFrame | Index, query: str) -> DataFrame:
-    """(id, words, typos, gaps, field, exact) of all documents that hold a leading part of the query.
+    """(id, words, typos, gaps, field, exact) of all documents that hold a leading part of the query; an index adds its own key.
 
-    From an index, or else from documents whose postings are made on the way.
+    ``gaps`` sums the least distances of successive words over all their
+    occurrences; one token may stand for two words, at distance 0.
     """
-    wanted = query_terms(query)
-    if not wanted:
-        raise ArchiveError("query is empty")
-    if isinstance(documents, Index):
-        hits = documents.hits(wanted)
-    else:
-        places = postings(documents)
-        hits = places.join(matching_terms(places, wanted), "term")
-    best = hits.groupBy("id", "no").agg(
-        F.min("typos").alias("typos"), F.min("field").alias("field"), F.max("exact").alias("exact"),
-        F.min(F.struct("field", "pos")).alias("place"),
-    )
-    of = lambda no, name: F.max(F.when(F.col("no") == no, F.col(name)))
-    wide = best.groupBy("id").agg(
-        *[of(no, name).alias(f"{name}{no}") for no in range(len(wanted)) for name in ("typos", "field", "exact", "place")]
-    )
-    held = [reduce(lambda a, b: a & b, [F.col(f"typos{j}").isNotNull() for j in range(no + 1)]) for no in range(len(wanted))]
+    wanted = _wanted(query)
+    hits = hits_of(documents, wanted)
+    keys, n = (documents.KEYS if isinstance(documents, Index) else ["id"]), len(wanted)
+    of = lambda no, value: F.when(F.col("no") == no, value)
+    place = F.struct(F.col("field").cast("int").alias("field"), "positions")
+    wide = hits.groupBy(*keys).agg(*[
+        column
+        for no in range(n)
+        for column in (
+            F.min(of(no, F.col("typos"))).alias(f"typos{no}"), F.min(of(no, F.col("field"))).alias(f"field{no}"), F.max(of(no, F.col("exact"))).alias(f"exact{no}"),
+            F.collect_list(of(no, place)).alias(f"places{no}"),
+        )
+    ])
+    held = [reduce(lambda a, b: a & b, [F.col(f"typos{j}").isNotNull() for j in range(no + 1)]) for no in range(n)]
     total = lambda name: reduce(add, [F.when(h, F.col(f"{name}{k}")).otherwise(0) for k, h in enumerate(held)])
-    gap = lambda k: F.when(
-        F.col(f"place{k}.field") == F.col(f"place{k + 1}.field"), F.least(F.abs(F.col(f"place{k + 1}.pos") - F.col(f"place{k}.pos")), F.lit(MOST_GAP))
-    ).otherwise(MOST_GAP)
-    gaps = reduce(add, [F.when(held[k + 1], gap(k)).otherwise(0) for k in range(len(wanted) - 1)], F.lit(0))
-    return wide.where(held[0]).select(
-        "id", reduce(add, [h.cast("int") for h in held]).alias("words"), total("typos").alias("typos"), gaps.alias("gaps"),
+    gaps = reduce(add, [F.when(held[k + 1], least_gap(F.col(f"places{k}"), F.col(f"places{k + 1}"))).otherwise(0) for k in range(n - 1)], F.lit(0))
+    found = wide.where(held[0]).select(
+        *keys, reduce(add, [h.cast("int") for h in held]).alias("words"), total("typos").alias("typos"), gaps.alias("gaps"),
         F.least(*[F.when(h, F.col(f"field{k}")) for k, h in enumerate(held)], F.lit(len(FIELDS))).alias("field"), total("exact").alias("exact"),
     )
+    return documents.named(found) if isinstance(documents, Index) else found
 
 
 def totals(hits: DataFrame) -> DataFrame:
@@ -143,40 +100,51 @@ def totals(hits: DataFrame) -> DataFrame:
     return hits.agg(n.alias("total_hits"), F.ceil(n / HITS_PER_PAGE).cast("long").alias("total_pages"))
 
 
-def _pattern(terms: list[str]) -> str:
-    return "(?i)(?<![\\p{L}\\p{N}])(?:" + "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)) + ")"
-
-
 def highlight(text: Column | str, pattern: str, before: str = OPEN_TAG, after: str = CLOSE_TAG) -> Column:
     """``text`` with every match of the pattern between two tags."""
     text = F.col(text) if isinstance(text, str) else text
     return F.regexp_replace(text, f"({pattern})", f"{before}$1{after}")
 
 
-def crop(text: Column | str, pattern: str, words: int = CROP_WORDS) -> Column:
-    """A window of ``words`` words around the first match, with an ellipsis where something was cut off."""
-    text = F.col(text) if isinstance(text, str) else text
-    parts = F.split(text, r"\s+")
-    at = F.array_position(F.transform(parts, lambda w: w.rlike(pattern)), True)
-    start = F.greatest(F.least(at - words // 2, F.size(parts) - words + 1), F.lit(1)).cast("int")
-    inside = F.array_join(F.slice(parts, start, F.lit(words)), " ")
-    head = F.when(start > 1, "…").otherwise("")
-    tail = F.when(start + words <= F.size(parts), "…").otherwise("")
-    return F.when(F.size(parts) <= words, text).otherwise(F.concat(head, inside, tail))
+def excerpted(documents: DataFrame, hits: DataFrame, name: str = "content") -> DataFrame:
+    """``documents`` (id, ...) with ``excerpt`` and ``spans`` (no, start, length) of field ``name``, for the matches in ``hits``.
 
+    The excerpt has at most 150 tokens: the window with most distinct words of
+    the query, matched tokens marked, whatever stands between the tokens. Texts
+    without a match are cut after the first 150.
+    """
+    own = hits.where(F.col("field") == FIELDS.index(name)).groupBy("id").agg(F.collect_list(F.struct("no", "positions", width("term").alias("width"))).alias("matches"))
+    pieces, token = pieces_of(name)
+    held = documents.join(own, "id", "left").select(F.col("id").alias("row"), pieces.alias("pieces"), token.alias("token"), "matches")
+    cut = held.mapInArrow(excerpts, "row string, excerpt string, spans array<struct<no:int,start:int,length:int>>")
+    return documents.join(cut.withColumnRenamed("row", "id"), "id")
 
-def search(documents: DataFrame, query: str, page: int = 1, index: Index | None = None) -> DataFrame:
-    """The hits of one page in rank order: id, title, filename, content (cropped, highlighted), domain, rnk."""
+
+def top_hits(documents: DataFrame | Index, query: str, page: int = 1) -> DataFrame:
+    """The ranked hits of one page, best first, with rnk: ten rows at most."""
     if page < 1:
         raise ArchiveError("page numbers start at 1")
     skipped = (page - 1) * HITS_PER_PAGE
     order = [F.desc("words"), "typos", "gaps", "field", F.desc("exact"), "id"]
     size = min(HITS_PER_PAGE, max(0, MOST_HITS - skipped))
-    top = ranked(index or documents, query).orderBy(*order).offset(skipped).limit(size)
-    numbered = top.withColumn("rnk", F.monotonically_increasing_id() + F.lit(skipped + 1)).select("id", "rnk")
-    pattern = _pattern(query_terms(query))
-    found = documents.join(F.broadcast(numbered), "id")  # at most ten rows of two numbers
-    return found.select("id", "title", "filename", highlight(crop("content", pattern), pattern).alias("content"), "domain", "rnk").orderBy("rnk")
+    top = ranked(documents, query).orderBy(*order).offset(skipped).limit(size)
+    return keep(top.withColumn("rnk", F.monotonically_increasing_id() + F.lit(skipped + 1)), "top")
+
+
+def search(documents: DataFrame, query: str, page: int = 1, index: Index | None = None) -> DataFrame:
+    """The hits of one page in rank order: id, title, filename, content (cropped, highlighted), domain, rnk, spans.
+
+    The ten ids go into the scan of the documents, and their keys into that of
+    the index; nothing else is read again. ``spans`` are the matches in the
+    stored content as (no of the word, start, length).
+    """
+    top = top_hits(index or documents, query, page)
+    ids = [r["id"] for r in top.select("id").collect()]  # ten at most
+    page_docs = documents.where(F.col("id").isin(ids)) if ids else documents.limit(0)
+    wanted = _wanted(query)
+    hits = index.hits(index.matches(wanted), top) if index else hits_of(page_docs, wanted)
+    cut = excerpted(page_docs.select("id", "title", "filename", "content", "domain"), hits).join(F.broadcast(top.select("id", "rnk")), "id")
+    return cut.select("id", "title", "filename", F.col("excerpt").alias("content"), "domain", "rnk", "spans").orderBy("rnk")
 
 
 def shown(hits: DataFrame) -> DataFrame:
@@ -196,6 +164,24 @@ def as_json(hits: DataFrame) -> DataFrame:
     return hits.select("rnk", F.to_json(F.struct(*[c for c in hits.columns if c != "rnk"])).alias("json"))
 
 
+def json_page(hits: DataFrame, page: int = 1, names: tuple[str, ...] = ("id", "title", "filename", "content", "domain")) -> DataFrame:
+    """One row, one string: the page as a JSON array of ten objects, empty ones where there is no hit, indented by four spaces on a single line.
+
+    In strings ``<``, ``>``, ``&`` and the two Unicode line separators are escaped.
+    """
+    def written(name: str) -> Column:
+        whole = F.to_json(F.struct(F.col(name).cast("string").alias("v")))
+        text = F.substring(whole, F.lit(6), F.length(whole) - 6)
+        for sign in "<>&  ":
+            text = F.replace(text, F.lit(sign), F.lit(f"\\u{ord(sign):04x}"))
+        return F.concat(F.lit(f'        "{name}": '), text)
+
+    rows = padded(hits.select("rnk", *names), page)
+    one = F.concat(F.lit("    {"), F.concat_ws(",", *[written(n) for n in names]), F.lit("    }"))
+    every = rows.select("rnk", one.alias("json")).agg(F.array_sort(F.collect_list(F.struct("rnk", "json"))).alias("rows"))  # ten rows
+    return every.select(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["json"]), ","), F.lit("]")).alias("json"))
+
+
 def typo_matches(places: DataFrame, term: str, budget: int, key: str = "id") -> DataFrame:
     """(key, term) of plain ASCII terms within ``budget`` edits of ``term``."""
     near = places.select("term").distinct().where(F.col("term").rlike("^[a-z0-9]+$") & F.levenshtein("term", F.lit(term), budget).between(0, budget))

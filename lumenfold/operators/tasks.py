@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable
 
@@ -9,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.functions.exprs import normal_url, task_http_code
-from lumenfold.schemas import ACTIVE, FAILED, PENDING, RUNNING, SUCCESS
+from lumenfold.functions.exprs import html_title, normal_url, task_http_code
+from lumenfold.operators.lifecycle import Archive, wait_for_file
+from lumenfold.schemas import ACTIVE, FAILED, PENDING, RUNNING, SUCCESS, ArchiveError
+from lumenfold.session import keep
 
 
 def by_id(tasks: DataFrame, task_id) -> DataFrame:
@@ -115,8 +118,8 @@ def poll(create: Callable[[str], tuple], query: Callable[[str], tuple], url: str
     return name, external, "" if status == SUCCESS else error or "the fetch failed"
 
 
-def run(tasks: DataFrame, fetch: Callable[[str], tuple[str, str, str]]) -> DataFrame:
-    """All unfinished tasks fetched with ``fetch(url) -> (file name, external id, error)``, in parallel over partitions."""
+def _fetched(begun: DataFrame, fetch: Callable[[str], tuple[str, str, str]]) -> DataFrame:
+    """(id, file_name, external_task_id, error) of started tasks, written once: whatever is done with it later, nothing is fetched again."""
     import pandas as pd
 
     def fetch_all(parts):
@@ -124,9 +127,58 @@ def run(tasks: DataFrame, fetch: Callable[[str], tuple[str, str, str]]) -> DataF
             got = [fetch(url) for url in part["url"]]
             yield pd.DataFrame({"id": part["id"], **{n: [g[k] for g in got] for k, n in enumerate(("file_name", "external_task_id", "error"))}})
 
-    begun = start(tasks.where(F.col("status").isin(*ACTIVE)))
     outcome = begun.select("id", "url").mapInPandas(fetch_all, "id string, file_name string, external_task_id string, error string")
-    return save(tasks, finish(begun, outcome))
+    return keep(outcome, "outcome")
+
+
+def run(tasks: DataFrame, fetch: Callable[[str], tuple[str, str, str]]) -> DataFrame:
+    """All unfinished tasks fetched with ``fetch(url) -> (file name, external id, error)``, in parallel over partitions, once each."""
+    begun = keep(start(tasks.where(F.col("status").isin(*ACTIVE))), "begun")
+    return save(tasks, keep(finish(begun, _fetched(begun, fetch)), "finished"))
+
+
+def process(tasks: DataFrame, fetch: Callable[[str], tuple[str, str, str]], archive: Archive, seconds: float = 15.0) -> DataFrame:
+    """All unfinished tasks taken through: fetched, their files waited for in the archive's folder, indexed and moved to their domain.
+
+    Tasks wait for the files, read them and move them; a task whose fetch failed,
+    whose file does not appear within ``seconds``, or whose page has no title
+    fails with that error, its file name and external id kept.
+    """
+    import pandas as pd
+
+    root = archive.root
+
+    def arrive(parts):
+        for part in parts:
+            html, problem = [], []
+            for name in part["file_name"]:
+                try:
+                    with open(wait_for_file(os.path.join(root, name) if name else "", seconds, min(0.5, seconds or 0.1)), encoding="utf-8", errors="replace", newline="") as file:
+                        html.append(file.read()), problem.append("")
+                except ArchiveError as error:
+                    html.append(None), problem.append(f"no file: {error}")
+            yield part.assign(html=html, problem=problem)
+
+    def move(parts):
+        for part in parts:
+            for domain, name in zip(part["domain"], part["file_name"], strict=True):
+                if os.path.exists(source := os.path.join(root, name)):
+                    os.replace(source, os.path.join(root, domain, name))
+            yield part[["id"]]
+
+    begun = keep(start(tasks.where(F.col("status").isin(*ACTIVE))), "begun")
+    outcome = _fetched(begun, fetch)
+    there = outcome.where("coalesce(error, '') = ''").join(begun.select("id", "domain"), "id").select("id", "domain", "file_name")
+    arrived = there.mapInPandas(arrive, "id string, domain string, file_name string, html string, problem string")
+    untitled = (F.col("problem") == "") & html_title("html").isNull()
+    read = keep(arrived.withColumn("problem", F.when(untitled, "no title found").otherwise(F.col("problem"))), "arrived")
+    good = read.where("problem = ''")
+    if good.head(1):
+        archive.add(good.select("domain", F.col("file_name").alias("filename"), "html"))
+        keep(good.select("id", "domain", "file_name").mapInPandas(move, "id string"), "moved")
+    failed = read.where("problem <> ''").select("id", "problem")
+    whole = outcome.join(failed, "id", "left").select("id", "file_name", "external_task_id", F.coalesce("problem", "error", F.lit("")).alias("error"))
+    return save(tasks, keep(finish(begun, whole), "finished"))
 
 
 def response(tasks: DataFrame) -> DataFrame:

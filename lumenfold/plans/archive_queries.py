@@ -125,10 +125,20 @@ def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"), F.lit("").alias("filename"), F.col("source").alias("domain"), F.col("text").alias("content"))
 
 
+_indexes: dict[tuple[str, str], search.Index] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> search.Index:
-    index = search.Index(Store(spark, scratch_path(spark, "search")))
-    index.build(_library(spark, sf_dir))
-    return index
+    """The stored index of the library, built once for all queries of a session: half at first, the rest in two additions."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _indexes:
+        index, held = search.Index(Store(spark, scratch_path(spark, "search"))), _library(spark, sf_dir)
+        number = F.col("id").cast("long") % 4
+        index.build(held.where(number < 2))
+        index.add(held.where(number == 2))
+        index.add(held.where((number == 3) | number.isNull()))
+        _indexes[at] = index
+    return _indexes[at]
 
 
 def _longs(table: DataFrame, *names: str) -> DataFrame:
@@ -148,13 +158,12 @@ def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks of the documents from a stored index."""
-    return _longs(search.ranked(_index(spark, sf_dir), "there the"), *RANKS)
+    return _longs(search.ranked(_index(spark, sf_dir), "there the"), *RANKS).select("id", *RANKS)
 
 
 def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms of a stored index."""
-    index = _index(spark, sf_dir)
-    return index.store.read(index.terms).select("term", "occurrences", "documents")
+    return _index(spark, sf_dir).counted()
 
 
 def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +174,30 @@ def search_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a search over the documents: cropped and highlighted."""
-    return search.search(_library(spark, sf_dir), "there the", 2, _index(spark, sf_dir))
+    return search.search(_library(spark, sf_dir), "there the", 2, _index(spark, sf_dir)).drop("spans")
+
+
+def search_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the words of a query are in the stored content of the second page's hits."""
+    found = search.search(_library(spark, sf_dir), "there the", 2, _index(spark, sf_dir))
+    return found.select("id", F.explode("spans").alias("s")).select("id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("no", "start", "length")])
+
+
+def search_near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which terms of the documents match the words of a query, typos by equal variants."""
+    return _longs(_index(spark, sf_dir).matches(["there", "tionthere", "th", "ingand"]), "no", "typos", "exact")
+
+
+def search_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks from an index that was built, added to in eight parts, replaced in part, deleted from and merged."""
+    index, held = search.Index(Store(spark, scratch_path(spark, "upkeep"))), _library(spark, sf_dir)
+    number = F.col("id").cast("long")
+    index.build(held.where(number % 3 == 0).withColumn("content", F.lit("there was other text before")))
+    for k in range(8):
+        index.add(held.where((number % 8 == k) & (number % 7 > 0)))
+    index.remove(held.where(number % 5 == 0).select("id"))
+    index.merge()
+    return _longs(search.ranked(index, "there the"), *RANKS).select("id", *RANKS)
 
 
 def search_library_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +235,7 @@ def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First page of a two-word search over documents built from the pages."""
-    return search.search(_built(spark, sf_dir), "the market")
+    return search.search(_built(spark, sf_dir), "the market").drop("spans")
 
 
 def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,9 +243,20 @@ def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts cropped around their first match of a word, as digests."""
-    cut = tables.table(spark, sf_dir, "documents").select("doc_id", search.crop("text", r"(?i)(?<![\p{L}\p{N}])the(?![\p{L}\p{N}])").alias("x"))
-    return cut.select("doc_id", F.length("x").cast("long").alias("n"), F.md5("x").alias("h"))
+    """Excerpts and matches of all documents for a query, their content without any white space and half in another script."""
+    glued = F.replace(F.replace("text", F.lit("the "), F.lit("北京")), F.lit(" "), F.lit("京"))
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), glued.alias("content"))
+    held = search.blocks(docs, ("content",)).withColumn("field", F.lit(search.FIELDS.index("content")))
+    hits = held.join(search.matching_terms(held, ["北京", "there"]), "term")
+    cut = search.excerpted(docs, hits)
+    total = lambda name: F.coalesce(F.aggregate(F.transform("spans", lambda s: s[name].cast("long")), F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
+    return cut.select("id", F.length("excerpt").cast("long").alias("n"), F.md5("excerpt").alias("h"), F.size("spans").cast("long").alias("matches"), total("start").alias("starts"), total("length").alias("lengths"))
+
+
+def search_json_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page as one JSON string, padded to ten results."""
+    hits = search.search(_library(spark, sf_dir), "fr", index=_index(spark, sf_dir)).where("rnk <= 4")
+    return search.json_page(hits.withColumn("content", F.concat(F.lit("<&>\"\\"), "id")))
 
 
 #: The time at which the task queries change tasks.
@@ -352,7 +395,7 @@ QUERIES = {
         title_extract, url_normalize, source_stats, stats_snapshot, source_share, stats_upsert, stats_decrement, task_latest, task_active,
         task_recovery, task_submit, task_http_code, users_page, consistency_files, consistency_stats, consistency_merge, consistency_report,
         delete_cascade, text_erase, search_ranked, search_frequency, search_stored, search_terms, search_matches, search_library, search_library_totals,
-        search_padded, search_json, search_typo, search_highlight, html_text, search_page, search_totals, search_crop, repair, rebuild_lenient, task_by_id,
+        search_padded, search_json, search_json_page, search_positions, search_near_terms, search_upkeep, search_typo, search_highlight, html_text, search_page, search_totals, search_crop, repair, rebuild_lenient, task_by_id,
         task_by_status, task_start, task_finish, task_run, task_create, url_check, stats_items, stats_replace, users_by_name, users_create, consistency_blank,
         consistency_parse,
     )

@@ -162,36 +162,58 @@ def _matches(words: list[tuple[str, int]]) -> str:
 def _ranked(docs: str, first: tuple[str, int], second: tuple[str, int]) -> str:
     """k: ranks of ``docs`` (id, title, filename, domain, content) for two words."""
     fields = " union all ".join(
-        f"select id, {k} field, regexp_extract_all(lower(coalesce({f}, '')), '{_RUN}') r from docs" for k, f in enumerate(("id", "title", "filename", "domain", "content"))
+        f"select id, {k} field, list_transform(regexp_extract_all(coalesce({f}, ''), '{_RUN}'), lambda x: lower(x)) r from docs"
+        for k, f in enumerate(("id", "title", "filename", "domain", "content"))
     )
     return f"""docs as ({docs}), tok as (select id, field, unnest(range(len(r))) pos, unnest(r) term from ({fields})), m as (select distinct term from tok),
-{_matches([first, second])},
-best as (select id, no, min(typos) typos, min(field) field, max(exact) exact, min(struct_pack(f := field, p := pos)) place
-  from tok join mt using (term) group by id, no),
+{_matches([first, second])}, hit as (select * from tok join mt using (term)),
+best as (select id, no, min(typos) typos, min(field) field, max(exact) exact from hit group by id, no),
+near as (select a.id, min(abs(b.pos - a.pos)) g from hit a join hit b on a.id = b.id and a.field = b.field and a.no = 0 and b.no = 1 group by a.id),
 k as (select a.id, 1 + (b.id is not null)::bigint words, a.typos + coalesce(b.typos, 0) typos,
-  case when b.id is null then 0 when a.place.f = b.place.f then least(abs(b.place.p - a.place.p), 8) else 8 end gaps,
+  case when b.id is null then 0 else least(coalesce(g, 8), 8) end gaps,
   least(a.field, coalesce(b.field, 5))::bigint field, a.exact + coalesce(b.exact, 0) exact
-  from (select * from best where no = 0) a left join (select * from best where no = 1) b on a.id = b.id)"""
+  from (select * from best where no = 0) a left join (select * from best where no = 1) b on a.id = b.id left join near on near.id = a.id)"""
 
 
 _RANKS = "id, words::bigint words, typos::bigint typos, gaps::bigint gaps, field, exact::bigint exact"
 _LIBRARY = "select doc_id::varchar id, lang title, '' filename, source as domain, text as content from documents"
 _TITLED = f"select page_id::varchar id, title, '' filename, '' as domain, '' as content from (with {_TITLES} select * from p)"
 _ORDER = "row_number() over (order by words desc, typos, gaps, field, exact desc, id) rnk"
+_UPKEPT = f"""select id, title, filename, domain, case when id::bigint % 7 > 0 then content else 'there was other text before' end as content
+  from ({_LIBRARY}) where id::bigint % 5 > 0 and (id::bigint % 7 > 0 or id::bigint % 3 = 0)"""
 _FOUND = f"with {_ranked(_LIBRARY, ('there', 1), ('the', 0))}"
 
 
-def _cropped(text: str, hit: str, words: int) -> str:
-    """cut(id, x): a window of ``words`` words around the first word that holds ``hit``."""
-    parts = f"regexp_split_to_array({text}, '\\s+')"
-    at = f"coalesce(list_position(list_transform({parts}, lambda w: regexp_matches(w, '{hit}')), true), 0)"
-    return f"""w as (select *, {parts} ps, {at} pa from src),
-v as (select *, greatest(least(pa - {words // 2}, len(ps) - {words} + 1), 1) st from w),
-cut as (select *, case when len(ps) <= {words} then {text} else concat(case when st > 1 then '…' else '' end,
-  array_to_string(ps[st:st + {words} - 1], ' '), case when st + {words} <= len(ps) then '…' else '' end) end x from v)"""
+def _excerpts(words: list[tuple[str, int]], size: int = 150) -> str:
+    """cut (id, x) and spot (id, no, start, len): excerpts of src (id, text) around the words, and all matches.
+
+    Two signs of another script are written as control characters, as classes of signs can't be taken from each other here.
+    """
+    one, piece = "[\x01\x02]", "[\x01\x02]|[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\x01\x02]+"
+    token = "regexp_matches(p, '^[\\p{L}\\p{N}\x01\x02]')"
+    each = " union all ".join(
+        f"select term, {no} no from (select distinct term from term) where {_typos(w, b, no == len(words) - 1)} is not null" for no, (w, b) in enumerate(words)
+    )
+    return f"""pc as (select id, unnest(ps) p, unnest(range(len(ps))) i from (select id, regexp_extract_all(coalesce(text, ''), '{piece}') ps from src)),
+tk as (select *, {token} t, (sum({token}::int) over w) - 1 pos, (sum(length(p)) over w) - length(p) off, lead(p) over w nx from pc window w as (partition by id order by i)),
+term as (select id, pos, lower(p) term, 1 w, off, length(p) len from tk where t union all
+  select id, pos, p || nx, 2, off, 2 from tk where regexp_matches(p, '^{one}') and regexp_matches(nx, '^{one}')),
+spot as (select id, no, pos, w, off start, len from term join ({each}) using (term)),
+win as (select a.id, a.pos, count(distinct b.no) d, max(b.pos + b.w) e from spot a join spot b on a.id = b.id and b.pos >= a.pos and b.pos < a.pos + {size} group by a.id, a.pos),
+bw as (select id, pos lo, least(e, pos + {size}) - pos inside from (select *, row_number() over (partition by id order by d desc, pos) rn from win) where rn = 1),
+n as (select id, sum(t::int) n from tk group by id),
+rng as (select id, n, case when n <= {size} then 0 else least(greatest(coalesce(lo, 0) - ({size} - coalesce(inside, 0)) // 2, 0), n - {size}) end a,
+  from n left join bw using (id)),
+shown as (select tk.*, a, a + {size} b, n, (tk.id, pos) in (select (id, pos) from spot union select (id, pos + 1) from spot where w = 2) and t and (pos >= a and pos < a + {size}) hot
+  from tk join rng using (id) where (a = 0 or pos >= a) and (a + {size} >= n or pos < a + {size} - 1 or t and pos = a + {size} - 1)),
+edge as (select *, coalesce(lag(hot) over w, false) before, coalesce(lead(hot) over w, false) after from shown window w as (partition by id order by i)),
+cut as (select id, concat(case when any_value(a) > 0 then '…' else '' end,
+  string_agg(concat(case when hot and not before then '{_SPAN}' else '' end, p, case when hot and not after then '</span>' else '' end), '' order by i),
+  case when any_value(b) < any_value(n) then '…' else '' end) x from edge group by id)"""
 
 
-_HIT = r"(?i)(^|[^\p{L}\p{N}])(there|the)"
+_PAGE_TWO = f"""{_FOUND}, top as (select docs.*, rnk from docs join (select *, {_ORDER} from k) using (id) where rnk between 11 and 20),
+src as (select id, content as text from top), {_excerpts([("there", 1), ("the", 0)])}"""
 _EVERY_TASK = f"""{_TASKS},
 t as (select id::varchar id, url, regexp_extract(url, '//([^/]+)', 1) as domain, status, 'x' || id external, created_at,
   case when status = 'running' then created_at end started_at from tasks)"""
@@ -205,12 +227,17 @@ SQL |= {
     "search_terms": f"{_FOUND} select term, count(*) occurrences, count(distinct id) documents from tok group by term",
     "search_matches": f"""with {_TITLES}, m as (select distinct unnest(regexp_extract_all(lower(title), '{_RUN}')) term from p),
 {_matches([('there', 1), ('tionthere', 2), ('th', 0)])} select term, no::bigint as no, typos::bigint typos, exact from mt""",
-    "search_library": f"""{_FOUND}, src as (select docs.*, rnk from docs join (select *, {_ORDER} from k) using (id) where rnk between 11 and 20),
-{_cropped("content", _HIT, 150)}
-select id, title, filename, regexp_replace(x, '{_HIT}', '\\1{_SPAN}\\2</span>', 'g') as content, domain, rnk from cut""",
+    "search_library": f"""{_PAGE_TWO}
+select id, title, filename, coalesce(x, '') as content, domain, rnk from top left join cut using (id)""",
+    "search_positions": f"{_PAGE_TWO} select id, no::bigint as no, start::bigint as start, len::bigint length from spot",
+    "search_near_terms": f"""with {_ranked(_LIBRARY, ('there', 1), ('the', 0)).split(", m as")[0]}, m as (select distinct term from tok),
+{_matches([('there', 1), ('tionthere', 2), ('th', 0), ('ingand', 1)])} select term, no::bigint as no, typos::bigint typos, exact from mt""",
+    "search_upkeep": f"""with {_ranked(_UPKEPT, ('there', 1), ('the', 0))} select {_RANKS} from k""",
     "search_library_totals": f"{_FOUND} select least(count(*), 1000) total_hits, ceil(least(count(*), 1000) / 10)::bigint total_pages from k",
-    "search_crop": f"""with src as (select doc_id, text from documents), {_cropped("text", "(?i)(^|[^\\p{L}\\p{N}])the($|[^\\p{L}\\p{N}])", 150)}
-select doc_id, length(x) n, md5(x) h from cut""",
+    "search_crop": f"""with src as (select doc_id::varchar id, replace(replace(text, 'the ', '\x01\x02'), ' ', '\x02') as text from documents),
+{_excerpts([("\x01\x02", 0), ("there", 1)])}, sp as (select id, count(*) c, sum(start) s, sum(len) l from spot group by id)
+select id, length(coalesce(x, '')) n, md5(replace(replace(coalesce(x, ''), '\x01', '北'), '\x02', '京')) h, coalesce(c, 0) matches, coalesce(s, 0)::bigint starts, coalesce(l, 0)::bigint lengths
+from src left join cut using (id) left join sp using (id)""",
     "repair": f"""with {_FILES}, {_INDEX}, {_KEYS} select 'doc_orphan' code, 'error' severity, 'meilisearch' store, dk.domain, dk.filename,
   concat('/archive/', dk.domain, '/', dk.filename) path, 'doc_orphan' message, false recoverable,
   (select list(id order by id) from d where d.domain = dk.domain and d.filename = dk.filename) document_ids
@@ -276,23 +303,29 @@ _BUILT = f"""select sha256(concat(d, chr(0), n)) id, title, n filename, d as dom
   from (select page_id, {_DOMAIN} d, {_FILE} n, regexp_extract(html, '(?i)<title>(.*?)</title>', 1) title from pages where regexp_matches(html, '(?i)<title>(.*?)</title>'))
   join texts using (page_id)"""
 _SEARCHED = f"with {_TEXTS}, {_ranked(_BUILT, ('the', 0), ('market', 1))}"
-_TITLE_HIT = r"(?i)(^|[^\p{L}\p{N}])(market|the)"
 
 SQL |= {
     "html_text": f"with {_TEXTS} select page_id, length(x) n, md5(x) h from texts",
     "rebuild_lenient": f"with {_TEXTS}, docs as ({_BUILT}) select id, domain, filename, title, length(content) n from docs",
     "search_totals": f"{_SEARCHED} select least(count(*), 1000) total_hits, ceil(least(count(*), 1000) / 10)::bigint total_pages from k",
-    "search_page": f"""{_SEARCHED}, src as (select docs.*, rnk from docs join (select *, {_ORDER} from k) using (id) where rnk <= 10),
-{_cropped("content", _TITLE_HIT, 150)}
-select id, title, filename, regexp_replace(x, '{_TITLE_HIT}', '\\1{_SPAN}\\2</span>', 'g') as content, domain, rnk from cut""",
+    "search_page": f"""{_SEARCHED}, top as (select docs.*, rnk from docs join (select *, {_ORDER} from k) using (id) where rnk <= 10),
+src as (select id, content as text from top), {_excerpts([("the", 0), ("market", 1)])}
+select id, title, filename, coalesce(x, '') as content, domain, rnk from top left join cut using (id)""",
+    "search_json_page": f"""with {_ranked(_LIBRARY, ('fr', 0), ('fr', 0))},
+hit_fr as (select docs.*, row_number() over (order by field, exact desc, id) rnk from docs join (
+  select id, min(field) field, max((term = 'fr')::int) exact from tok where starts_with(term, 'fr') group by id) using (id)),
+row as (select r.rnk, coalesce(id, '') id, coalesce(title, '') title, coalesce(domain, '') as domain,
+  case when id is null then '' else concat('\\u003c\\u0026\\u003e\\"\\\\', id) end as content from (select unnest(range(1, 11)) rnk) r left join (from hit_fr where rnk <= 4) using (rnk))
+select concat('[', string_agg(concat('    {{        "id": "', id, '",        "title": "', title, '",        "filename": "",        "content": "', content,
+  '",        "domain": "', domain, '"    }}'), ',' order by rnk), ']') json from row""",
     "search_padded": f"""with {_ranked(_LIBRARY, ('fr', 0), ('fr', 0))},
-hit as (select docs.*, row_number() over (order by field, exact desc, id) rnk from docs join (
+hit_fr as (select docs.*, row_number() over (order by field, exact desc, id) rnk from docs join (
   select id, min(field) field, max((term = 'fr')::int) exact from tok where starts_with(term, 'fr') group by id) using (id)),
-held as (select * from hit where rnk <= 4 and coalesce(content, '') <> '')
+held as (select * from hit_fr where rnk <= 4 and coalesce(content, '') <> '')
 select r.rnk, coalesce(id, '') id, coalesce(title, '') title, coalesce(domain, '') as domain from (select unnest(range(1, 11)) rnk) r left join held using (rnk)""",
     "search_json": f"""with {_ranked(_LIBRARY, ('fr', 0), ('fr', 0))},
-hit as (select docs.*, row_number() over (order by field, exact desc, id) rnk from docs join (
+hit_fr as (select docs.*, row_number() over (order by field, exact desc, id) rnk from docs join (
   select id, min(field) field, max((term = 'fr')::int) exact from tok where starts_with(term, 'fr') group by id) using (id))
 select rnk, concat('{{"id":"', id, '"', case when title is null then '' else concat(',"title":"', title, '"') end,
-  case when domain is null then '' else concat(',"domain":"', domain, '"') end, '}}') json from hit where rnk <= 10""",
+  case when domain is null then '' else concat(',"domain":"', domain, '"') end, '}}') json from hit_fr where rnk <= 10""",
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import urlparse
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from lumenfold.operators import lifecycle, stats
 from lumenfold.operators.issues import label
 from lumenfold.operators.lifecycle import Archive
 from lumenfold.plans import tables
-from lumenfold.session import scratch_path
+from lumenfold.session import mounted_path, scratch_path
 from lumenfold.sources.archive import count_html, html_files, list_files, read_pages, unattributed, write_pages
 from lumenfold.sources.store import Store
 
@@ -32,7 +30,7 @@ def placed(spark: SparkSession, sf_dir: str, untitled: bool = True) -> DataFrame
 
 
 def _tree(spark: SparkSession, sf_dir: str, untitled: bool = True) -> str:
-    root = urlparse(scratch_path(spark, "tree")).path
+    root = mounted_path(spark, "tree")
     write_pages(placed(spark, sf_dir, untitled), root)
     return root
 
@@ -125,7 +123,7 @@ def archive_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages after a backup, a deletion and the restoring of the backup."""
     archive = _archive(spark, sf_dir, untitled=False)
-    target = urlparse(scratch_path(spark, "backup")).path
+    target = mounted_path(spark, "backup")
     archive.backup(target)
     archive.delete(_one(spark, sf_dir))
     archive.restore(target)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +48,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def mounted_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder for tasks that open files themselves; an error where no mounted folder is shared."""
+    url = urlparse(scratch_path(spark, name))
+    if url.scheme not in ("", "file"):
+        raise RuntimeError(f"page folders need a shared folder that driver and executors have mounted; spark.checkpoint.dir is in {url.scheme}://")
+    return url.path
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here.
 

@@ -122,6 +122,16 @@ def write_pages(pages: DataFrame, root: str) -> DataFrame:
     return keep(pages.select("rel", "html").mapInPandas(put, "rel string"), "written")
 
 
+def present(pages: DataFrame, root: str) -> DataFrame:
+    """(domain, rel, there) of ``pages``: whether a file stands at ``rel`` below ``root`` already."""
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.assign(there=[os.path.exists(os.path.join(root, rel)) for rel in part["rel"]])
+
+    return pages.select("domain", "rel").mapInPandas(look, "domain string, rel string, there boolean")
+
+
 def copy_files(listing: DataFrame, root: str) -> DataFrame:
     """Copy the files of a listing to the same places below ``root``, by tasks; links are left out. The rels that were copied."""
 

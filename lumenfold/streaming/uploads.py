@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lumenfold.operators import stats
-from lumenfold.schemas import DOCUMENTS, STATS
+from lumenfold.operators.segments import Index
+from lumenfold.schemas import DOCUMENTS
 from lumenfold.sources.archive import documents, html_files
-from lumenfold.sources.store import Store
+from lumenfold.sources.store import Store, resolved, stored_counts, stored_documents
 
 
 def arriving(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,8 +33,8 @@ def hourly_counts(pages: DataFrame, late: str = "1 hour") -> DataFrame:
     return windowed.agg(F.count("*").alias("file_count")).select("window.start", "source", "file_count")
 
 
-def ingest(pages: DataFrame, store: Store, checkpoint: str) -> DataStreamWriter:
-    """Writer that adds each batch to the stored tables; see :func:`stored_documents` and :func:`stored_counts`.
+def ingest(pages: DataFrame, store: Store, checkpoint: str, index: Index | None = None) -> DataStreamWriter:
+    """Writer that adds each batch to the stored documents and counts, and to the index if there is one.
 
     A batch writes its own documents and the counts of those that were not there
     before; nothing else is written again. Of what is stored only the ids are
@@ -42,31 +43,22 @@ def ingest(pages: DataFrame, store: Store, checkpoint: str) -> DataStreamWriter:
 
     def add(batch: DataFrame, number: int) -> None:
         newest = batch.groupBy("domain", "filename").agg(F.max_by("html", "arrived").alias("html"))
-        store.put("documents", number, documents(newest)[0])
-        parts = store.parts("documents", DOCUMENTS)
-        before = parts.where(F.col("batch") < number).select("id").distinct()
-        fresh = parts.where(F.col("batch") == number).join(before, "id", "left_anti")
-        store.put("stats", number, stats.count_by_source(fresh))
+        key = (checkpoint, number)
+        part = store.append("documents", documents(newest)[0], key=key)
+        if part < 0:  # a whole table has taken this batch in
+            return
+        own = store.read("documents", DOCUMENTS, parts=[part])
+        listed = store.parts("documents")
+        before = resolved(store, "documents", DOCUMENTS, listed[: listed.index(part)]).select("id")
+        store.append("stats", stats.count_by_source(own.join(before, "id", "left_anti")), key=key)
+        if index:
+            index.add(own, key=key)
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
 
-def stored_documents(store: Store) -> DataFrame:
-    """All documents, each as its latest batch has it."""
-    parts = store.parts("documents", DOCUMENTS)
-    names = [c for c in parts.columns if c not in ("id", "batch")]
-    newest = parts.groupBy("id").agg(F.max_by(F.struct(*names), "batch").alias("d"))
-    return newest.select("id", *[f"d.{c}" for c in names])
-
-
-def stored_counts(store: Store) -> DataFrame:
-    """Counts of the stored version and of all batches together."""
-    return store.parts("stats", STATS).groupBy("source").agg(F.sum("file_count").alias("file_count"))
-
-
 def compact(store: Store) -> None:
-    """Make one version of a stream's batches, while no stream runs."""
+    """Make one part of each table's changes, once a stream has caught up."""
     for name, table in (("documents", stored_documents(store)), ("stats", stored_counts(store))):
         store.write(name, table)
-        store.forget(name)
         store.vacuum(name)
