@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 _HTML = re.compile(r"\.html?\Z", re.IGNORECASE)
@@ -69,7 +69,7 @@ class PageReader(DataSourceReader):
             if isinstance(f, (EqualTo, In)) and f.attribute == ("domain",):
                 wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.only = wanted if self.only is None else self.only & wanted
-            else:
+            elif not isinstance(f, IsNotNull):  # no column is ever null
                 yield f
 
     def partitions(self) -> list[Folders]:

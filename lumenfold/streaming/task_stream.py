@@ -148,6 +148,7 @@ def answering(changed: DataFrame, fetch: Callable[[str], tuple[str, str, str]],
         spark, target = batch.sparkSession, f"{folder.rstrip('/')}/answers/batch-{number}"
         done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
         if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            batch.write.format("noop").mode("overwrite").save()  # the states are to be stored all the same
             return
         asked = batch.where("action = 'fetch'").select("url", "task_id", (F.current_timestamp() if now is None else now).alias("at"))
         got = asked.mapInPandas(fetch_all, "url string, task_id string, at timestamp, file_name string, external_task_id string, error string")
