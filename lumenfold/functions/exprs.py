@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenfold.functions.url_grammar import parsed_url
+
 TITLE = r"(?id)<title>(.*?)</title>"
 #: Erased from extracted text: space, line feed, carriage return and a written-out \n.
 ERASED = r" |\n|\r|\\n"
@@ -39,19 +41,8 @@ def url_domain(url: Column | str) -> Column:
 
 
 def normal_url(url: Column | str) -> Column:
-    """struct(url, domain, error): trimmed, scheme in lower case, without fragment."""
-    raw = trimmed(url)
-    scheme = F.lower(F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    host = F.regexp_extract(raw, r"^[^:]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1)
-    clean = F.concat(scheme, F.regexp_extract(raw, r"^[^:]*(:[^#]*)", 1))
-    error = (
-        F.when(raw.isNull() | (raw == ""), "url is empty")
-        .when(raw.rlike(r"[\x00-\x1f\x7f]"), "url has control characters")
-        .when(~scheme.isin("http", "https"), "url scheme is not supported")
-        .when(host.isin("", "[]"), "url host is missing")
-    )
-    domain = F.lower(F.regexp_replace(host, r"^\[|\]$", ""))
-    return F.struct(F.when(error.isNull(), clean).alias("url"), F.when(error.isNull(), domain).alias("domain"), error.alias("error"))
+    """struct(url, domain, error): trimmed and parsed, scheme in lower case, without fragment."""
+    return parsed_url(trimmed(url))
 
 
 def request_path(domain: Column | str, filename: Column | str) -> Column:

@@ -337,6 +337,22 @@ def url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.table(spark, sf_dir, "pages").select("page_id", normal_url(raw).alias("u")).select("page_id", "u.*")
 
 
+def url_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' urls with something else in their user, host, port, path, query or fragment."""
+    kind, number = F.col("page_id") % 16, F.col("page_id").cast("string")
+    host, tail = tables.url_domain("url"), F.regexp_extract("url", "^https?://[^/?#]*([^#]*)", 1)
+    made = lambda before, after: F.concat(F.lit("HTTPS://"), F.lit(before), host, F.lit(after))
+    forms = [
+        made("", " x"), made("", ":9x"), made("", "/%zz"), made("", "\\"), F.concat(made("", "/a b/é/"), number), made("ann:p%40ss@", ":8080"), made("a b@", "/"), made("", ":"),
+        F.concat(F.lit("http://[::1]:80/"), host), F.concat(F.lit("http://[::1/"), host), made("bü.", "/(x)!"), made("", "/%41 %2f?q=é#ü"), made("", "/x?a b#%z"), made("%41", "/"),
+        F.concat(F.lit("//"), host), F.concat(F.lit("https:"), host),
+    ]
+    raw = forms[0]
+    for k, form in enumerate(forms[1:], 1):
+        raw = F.when(kind == k, form).otherwise(raw)
+    return tables.table(spark, sf_dir, "pages").select("page_id", normal_url(F.when(tail.isNotNull(), raw)).alias("u")).select("page_id", "u.*")
+
+
 def stats_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.snapshot_items(source_stats(spark, sf_dir).withColumn("file_count", F.col("file_count") - 3))
 
@@ -396,7 +412,7 @@ QUERIES = {
         task_recovery, task_submit, task_http_code, users_page, consistency_files, consistency_stats, consistency_merge, consistency_report,
         delete_cascade, text_erase, search_ranked, search_frequency, search_stored, search_terms, search_matches, search_library, search_library_totals,
         search_padded, search_json, search_json_page, search_positions, search_near_terms, search_upkeep, search_typo, search_highlight, html_text, search_page, search_totals, search_crop, repair, rebuild_lenient, task_by_id,
-        task_by_status, task_start, task_finish, task_run, task_create, url_check, stats_items, stats_replace, users_by_name, users_create, consistency_blank,
+        task_by_status, task_start, task_finish, task_run, task_create, url_check, url_grammar, stats_items, stats_replace, users_by_name, users_create, consistency_blank,
         consistency_parse,
     )
 }

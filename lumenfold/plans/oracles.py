@@ -257,9 +257,15 @@ l as (select url, status from (select *, row_number() over (partition by url ord
 u as (select {_NORMAL} url, {_DOMAIN} as domain from pages union select url, regexp_extract(url, '//([^/]+)', 1) from t)
 select u.url, u.domain, 'pending' status from u left join a on u.url = a.url left join l on u.url = l.url
 where a.url is null or not (busy or l.status = 'success')""",
-    "url_check": f"""select page_id, case when page_id % 7 in (0, 4, 6) then {_NORMAL} end url, case when page_id % 7 in (0, 4, 6) then {_DOMAIN} end as domain,
-  case page_id % 7 when 1 then 'url scheme is not supported' when 2 then 'url is empty' when 3 then 'url host is missing' when 5 then 'url has control characters' end as error
-from pages""",
+    "url_check": f"""with p as (select *, page_id % 7 in (0, 4, 6) or page_id % 7 = 5 and contains(url, '#') good from pages)
+select page_id, case when good then {_NORMAL} end url, case when good then {_DOMAIN} end as domain,
+  case when good then null else case page_id % 7 when 1 then 'url scheme is not supported' when 2 then 'url is empty' when 3 then 'url host is missing' else 'url has control characters' end end as error
+from p""",
+    "url_grammar": f"""with p as (select page_id, page_id % 16 k, {_DOMAIN} h from pages)
+select page_id, case k when 4 then concat('https://', h, '/a%20b/%C3%A9/', page_id) when 5 then concat('https://ann:p%40ss@', h, ':8080') when 7 then concat('https://', h, ':')
+    when 8 then concat('http://[::1]:80/', h) when 10 then concat('https://b%C3%BC.', h, '/(x)!') when 11 then concat('https://', h, '/A%20/?q=é') end url,
+  case when k in (4, 5, 7, 11) then h when k = 8 then '::1' when k = 10 then 'bü.' || h end as domain,
+  case when k in (0, 1, 2, 3, 6, 9, 12, 13) then 'url is malformed' when k = 14 then 'url scheme is not supported' when k = 15 then 'url host is missing' end as error from p""",
     "stats_items": f"select source, file_count from ({_counts(extra='- 3')}) where file_count >= 0",
     "stats_replace": _counts("page_id % 10 <> 3"),
     "users_by_name": "select c_custkey id, c_name username from customer where c_name = 'Customer#000000007'",
