@@ -121,6 +121,8 @@ SQL |= {
     "scan_unattributed": f"with {_TREE} select 'html_unattributed' code, 'error' severity, 'html' store, rel filename, rel path, false recoverable from loose",
     "scan_content": f"with {_TREE} select domain, filename, length(x) n, md5(x) h from (select *, {_HTML} x from f)",
     "archive_check": f"{_CHECKED} select code, severity, store, domain, filename, message, recoverable from found",
+    "archive_recheck": f"{_CHECKED} select code, severity, store, domain, filename, message, recoverable from found",
+    "zip_content": f"with {_TREE} select domain, filename, length(x) n, md5(x) h from (select *, {_HTML} x from f)",
     "issue_labels": f"""{_CHECKED} select concat_ws(' / ', nullif(store, ''), nullif(domain, ''), nullif(filename, '')) line, count(*) n from found group by 1""",
     "archive_repair": f"with {_TREE}, {_HELD}, {_KEYS}, {_LOST} select code, domain, filename from lost",
     "archive_rebuild": f"""with {_TREE} select sha256(concat(domain, chr(0), filename)) id, domain, filename, regexp_extract(html, '(?i)<title>(.*?)</title>', 1) title

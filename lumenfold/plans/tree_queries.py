@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.functions.urls import resolved
-from lumenfold.operators import lifecycle, stats
+from lumenfold.operators import lifecycle, manifest, stats
 from lumenfold.operators.issues import label
 from lumenfold.operators.lifecycle import Archive
 from lumenfold.plans import tables
 from lumenfold.session import mounted_path, scratch_path
 from lumenfold.sources.archive import count_html, html_files, list_files, read_pages, unattributed, write_pages
 from lumenfold.sources.store import Store
+from lumenfold.sources.zip_files import safe_entry, unzip_backup, zip_backup
 
 
 def placed(spark: SparkSession, sf_dir: str, untitled: bool = True) -> DataFrame:
@@ -75,6 +76,24 @@ def archive_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _archive(spark, sf_dir).check().select("code", "severity", "store", "domain", "filename", "message", "recoverable")
 
 
+def archive_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues after some pages lost their titles, found by the manifest of a check before."""
+    archive = _archive(spark, sf_dir, untitled=False)
+    manifest.recheck(archive)
+    write_pages(placed(spark, sf_dir).join(placed(spark, sf_dir, False).withColumnRenamed("html", "old"), "rel").where("html <> old").select("rel", "html"), archive.root)
+    return manifest.recheck(archive)[0].select("code", "severity", "store", "domain", "filename", "message", "recoverable")
+
+
+def zip_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page after the folder was packed to one zip file and unpacked from it."""
+    base = mounted_path(spark, "zipped")
+    root = _tree(spark, sf_dir)
+    zip_backup(spark, root, f"{root}.zip")
+    unzip_backup(spark, f"{root}.zip", base)
+    read = read_pages(_files(spark, base))
+    return read.select("domain", "filename", F.length("html").cast("long").alias("n"), F.md5("html").alias("h"))
+
+
 def issue_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each issue is, as one line, and how often that line comes."""
     lines = _archive(spark, sf_dir).check().select(label("store", "domain", "filename").alias("line"))
@@ -150,7 +169,7 @@ def zip_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, F.concat(F.lit("backup/archive/"), name)).when(kind == 1, F.concat(F.lit("/etc/"), name)).when(kind == 2, F.concat(F.lit("a/../"), name))
         .when(kind == 3, F.concat(F.lit("..\\"), name)).otherwise(F.concat(F.lit("a..b/"), name))
     )
-    return tables.pages(spark, sf_dir).select("page_id", path.alias("path")).select("page_id", lifecycle.safe_entry("path").alias("safe"))
+    return tables.pages(spark, sf_dir).select("page_id", path.alias("path")).select("page_id", safe_entry("path").alias("safe"))
 
 
 def request_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +186,7 @@ def request_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        archive_scan, scan_counts, scan_total, scan_unattributed, scan_content, archive_check, issue_labels, archive_repair, archive_rebuild, archive_refresh,
+        archive_scan, scan_counts, scan_total, scan_unattributed, scan_content, archive_check, archive_recheck, zip_content, issue_labels, archive_repair, archive_rebuild, archive_refresh,
         archive_delete, archive_add, archive_restore, restore_candidates, zip_entries, request_paths,
     )
 }

@@ -1,6 +1,7 @@
 """The archive's operators: the reference expectations, golden texts, and the registered queries against their SQL."""
 
 import os
+import random
 import time
 import zipfile
 
@@ -13,11 +14,12 @@ from lumenfold.functions.exprs import html_title, is_html_file, normal_url
 from lumenfold.functions.html_text import extract_text
 from lumenfold.functions.urls import archive_path
 from lumenfold.operators import search, stats, tasks, users
-from lumenfold.operators.lifecycle import Archive, discover, safe_entry, unzip_backup, wait_for_file, zip_backup
+from lumenfold.operators.lifecycle import Archive, discover, wait_for_file
 from lumenfold.plans import oracles
 from lumenfold.schemas import ArchiveError, DocumentMissing, FileMissing, InvalidPath
 from lumenfold.sources.archive import html_files, list_files
 from lumenfold.sources.store import Store
+from lumenfold.sources.zip_files import safe_entry, unzip_backup, zip_backup, zip_entries
 
 SF = "/root/testdata/sf0.001"
 
@@ -146,17 +148,66 @@ def test_restore_candidates(spark):
     assert [r[0] for r in names.select(safe_entry("path")).collect()] == [True, False, False, False, False, True]
 
 
-def test_zip_and_waiting(tmp_path):
-    put(tmp_path, "backup/archive/a.example/p.html")
-    zip_backup(str(tmp_path / "backup"), str(tmp_path / "b.zip"))
-    unzip_backup(str(tmp_path / "b.zip"), str(tmp_path / "out"))
-    assert wait_for_file(str(tmp_path / "out/archive/a.example/p.html"), 0) and os.path.exists(tmp_path / "out/archive")
+def test_waiting(tmp_path):
+    put(tmp_path, "a/p.html")
+    assert wait_for_file(str(tmp_path / "a/p.html"), 0)
     with pytest.raises(FileMissing):
         wait_for_file(str(tmp_path / "none"), 0.1, 0.02)
-    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as out:
-        out.writestr("../up.html", "x")
-    with pytest.raises(InvalidPath):
-        unzip_backup(str(tmp_path / "bad.zip"), str(tmp_path / "out"))
+
+
+def test_zip_files(spark, tmp_path):
+    want = {f"backup/archive/d{k % 9}.example/{k} é.html": (f"<title>{k}</title>" + "x" * (k * k)).encode() for k in range(300)}
+    want |= {"backup/big": os.urandom(3 << 20), "backup/empty": b""}
+    for name, content in want.items():
+        os.makedirs(tmp_path / "in" / os.path.dirname(name), exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    os.symlink(tmp_path / "in/backup/big", tmp_path / "in/backup/link")
+    ours, theirs = str(tmp_path / "ours.zip"), str(tmp_path / "theirs.zip")
+    zip_backup(spark, str(tmp_path / "in"), ours)
+    with zipfile.ZipFile(ours) as held:
+        assert held.testzip() is None and {n: held.read(n) for n in held.namelist()} == want
+    with zipfile.ZipFile(theirs, "w") as out:
+        for k, (name, content) in enumerate(want.items()):
+            out.writestr(name, content, zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
+        out.writestr("folder/", "")
+    for source in (ours, theirs):
+        assert unzip_backup(spark, source, f"{source}.out").count() == len(want) == zip_entries(spark, source).count()
+        found = {os.path.relpath(f"{at}/{n}", f"{source}.out"): open(f"{at}/{n}", "rb").read() for at, _, names in os.walk(f"{source}.out") for n in names}
+        assert found == want
+    assert not [n for n in os.listdir(tmp_path) if "parts" in n or "tmp" in n]
+    for bad in ("../up.html", "/abs", "a\\..\\..\\b"):
+        with zipfile.ZipFile(tmp_path / "bad.zip", "w") as out:
+            out.writestr("good", "x"), out.writestr(bad, "x")
+        with pytest.raises(InvalidPath):
+            unzip_backup(spark, str(tmp_path / "bad.zip"), str(tmp_path / "bad"))
+        assert not os.path.exists(tmp_path / "bad")
+    os.makedirs(tmp_path / "nothing")
+    zip_backup(spark, str(tmp_path / "nothing"), str(tmp_path / "none.zip"))
+    assert unzip_backup(spark, str(tmp_path / "none.zip"), str(tmp_path / "none")).count() == 0
+
+
+def test_recheck_reads_changed_pages_only(spark, tmp_path):
+    from lumenfold.operators.manifest import recheck
+
+    root, draw = str(tmp_path / "pages"), random.Random(4)
+    for k in range(30):
+        put(root, f"d{k % 4}.example/{k}.html")
+    archive = Archive(spark, root, Store(spark, str(tmp_path / "store")))
+    archive.rebuild()
+    archive.refresh_counts()
+    assert recheck(archive)[1] == 30 and recheck(archive)[1] == 0
+    for _ in range(3):
+        names = [os.path.join(at, n) for at, _, files in os.walk(root) for n in sorted(files)]
+        changed, gone = draw.sample(names, 3), draw.sample(names, 2)
+        for path in changed:
+            with open(path, "w") as out:
+                out.write(draw.choice(["<p>no title</p>", "<title>new</title>", ""]) + "x" * draw.randint(1, 9))
+        for path in gone:
+            os.remove(path)
+        put(root, f"e.example/{draw.random()}.html")
+        issues, read = recheck(archive)
+        assert read == len(set(changed) - set(gone)) + 1
+        assert sorted(map(repr, issues.collect())) == sorted(map(repr, archive.check().collect()))
 
 
 def test_polling():
