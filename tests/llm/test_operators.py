@@ -310,6 +310,46 @@ def test_language_id_held_out(docs, odd, empty):
     assert language_id.identify(odd, language_id.train(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_id_equals_brute_force(spark, docs):
+    """Frequencies, back-off, prior and probability once more, entry by entry."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    counts, prior = {n: {} for n in (0, *language_id.NGRAMS)}, {}
+    for doc_id, text, lang in rows:
+        if text is None or lang is None or zlib.crc32(str(doc_id).encode()) % 5 == 0:
+            continue
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            prior[lang] = prior.get(lang, 0) + 1
+            for n in counts:
+                edged = f"<{word}>" if n > 1 else word
+                for entry in [word] if n == 0 else [edged[k : k + n] for k in range(len(edged) - n + 1)]:
+                    counts[n].setdefault(entry, Counter())[lang] += 1
+    langs = sorted(prior)
+    totals = {n: {x: sum(c[x] for c in held.values()) for x in langs} for n, held in counts.items()}
+
+    def row(n, entry):
+        logs = np.array([np.log((counts[n][entry][x] + 0.5) / (totals[n][x] + 0.5 * len(counts[n]))) for x in langs])
+        return logs - logs.mean()
+
+    def evidence(word):
+        if word in counts[0]:
+            return row(0, word)
+        for n in language_id.NGRAMS:
+            edged = f"<{word}>" if n > 1 else word
+            if known := [g for g in (edged[k : k + n] for k in range(len(edged) - n + 1)) if g in counts[n]]:
+                return np.mean([row(n, g) for g in known], axis=0)
+        return np.zeros(len(langs))
+
+    base = np.array([np.log(prior[x] + 1) for x in langs])
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.train(docs), "doc_id").collect()}
+    for doc_id, text, _ in rows[::5]:
+        if text is None or not re.search(r"[^\W\d_]", text):
+            assert got[doc_id]["lang_pred"] == "und"
+            continue
+        logits = base - base.mean() + language_id.TEMPER * sum((evidence(w) for w in re.findall(r"[^\W\d_]+", text.lower())), np.zeros(len(langs)))
+        odds = np.exp(logits - logits.max())
+        assert got[doc_id]["lang_pred"] == langs[int(odds.argmax())] and abs(got[doc_id]["score"] - odds.max() / odds.sum()) < 1e-3
+
+
 def test_language_id_rejects_what_no_model_knows(docs, spark):
     clean = [r["text"] for r in docs.where("lang is not null and length(text) > 20").orderBy("doc_id").limit(40).collect()]
     strange = ["xqzv kjwx qqzzk vxkw jqxz", "лорем ипсум долор сит амет", "漢字 仮名 交 文", "12 34 !!", "", None]
@@ -396,12 +436,13 @@ def test_quality_probability_keeps_the_labels_ratio(spark, monkeypatch):
         assert abs(np.mean([r["quality_score"] for r in quality.judge(fresh, model).collect()]) - 0.85) < 0.1
 
 
-def test_nearest_neighbours_recall(spark):
-    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.1"])
+def test_nearest_neighbours_recall(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = {r["vec_id"]: np.array(r["embedding"], float) for r in table.collect()}
     ids = np.array(sorted(rows))
     matrix = np.array([rows[i] for i in ids])
-    got = __spark_entry__.queries()["op5_rotated_codes"](spark, SF).collect()
+    got = __spark_entry__.queries()["op5_rotated_codes"](spark, sf_dir).collect()
     found, hit, wanted = {}, 0, 0
     for r in got:
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
