@@ -52,7 +52,7 @@ class Index:
             own = self.store.read(self.postings, _POSTINGS, parts=[segment])
             counted = keep(own.groupBy("term", "doc").agg(F.sum(F.size("positions")).alias("n")).groupBy("term").agg(F.sum("n").alias("occurrences"), F.count("*").alias("documents")), "terms")
             self.store.append(self.terms, self._sorted(counted, 1 + files // 4, "term"), part=segment, options=_DELTAS)
-            self.store.append(self.near, self._sorted(neighbourhood(counted), files, "variant"), part=segment, options=_DELTAS)
+            self.store.append(self.near, neighbourhood(counted), part=segment, options=_DELTAS)
         return held.select("id", "doc", F.lit(segment).alias("segment"), F.lit(False).alias("gone")), segment
 
     def build(self, documents: DataFrame) -> None:

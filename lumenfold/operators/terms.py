@@ -104,7 +104,7 @@ def neighbourhood(terms: DataFrame) -> DataFrame:
     # The second character left out stands before the first one, so that each pair is made once.
     two = F.transform(F.sequence(F.lit(1), k - 1), lambda j: _without(v, n, j))
     both = F.concat(F.array(v), F.when((k > 1) & (n >= 7), two).otherwise(F.array().cast("array<string>")))
-    return held.select("term", F.explode(both).alias("v")).select(F.xxhash64("v").alias("variant"), "term").distinct()
+    return held.select("term", F.explode(both).alias("v")).select(F.xxhash64("v").alias("variant"), "term")
 
 
 def variants(word: str) -> list[str]:
