@@ -2,13 +2,16 @@
 
 Words, word pairs and character 3- and 4-grams are hashed into one table of
 ``BUCKETS`` weights; within each of the four families a feature's value is its
-share of the family. A logistic regression is fitted on labelled rows and its
-output calibrated (Platt) on rows left out of the fit. Texts are scored whole,
-in Arrow batches, against the fixed threshold ``KEEP_FROM``.
+share of the family. Texts are read in windows, and 3-word windows and lines are
+compared by 64-bit hashes, so a very long text needs some 10 bytes a word beside
+itself. A logistic regression is fitted on labelled rows and its output calibrated
+(Platt) on rows left out of the fit. Texts are scored whole, in Arrow batches,
+against the fixed threshold ``KEEP_FROM``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,76 +39,144 @@ _IS_SYMBOL = np.isin(np.arange(256), list(_SYMBOLS))
 _IS_LETTER = ~np.isin(np.arange(256), list(_SPACE)) & ((np.arange(256) & 0xC0) != 0x80)
 _SHIFT = np.uint32(32 - 15)
 _MULTIPLY, _STEP, _OTHER = np.uint32(2654435761), np.uint32(0x85EBCA6B), np.uint32(0x5BD1E995)
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a text that are looked at at once, so that memory beside the text itself doesn't grow with 50 bytes a character.
+WINDOW = 1 << 20
+_AT_ONCE = 1 << 23
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 class _Words(dict):
-    """Word to a running number, and the words' hashes by that number."""
-
-    def __init__(self):
-        super().__init__()
-        self.hashes: list[int] = []
+    """Hashes of words, so that a word met again isn't hashed again."""
 
     def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return at
-
-    def trim(self) -> None:
-        if len(self) > _VOCABULARY:
+        if len(self) >= _VOCABULARY:
             self.clear()
-            self.hashes.clear()
-
-
-def repeated_words(codes: np.ndarray) -> int:
-    """Words inside 3-word windows that occur twice or more; equal words have equal codes."""
-    if len(codes) < 4:
-        return 0
-    pairs = np.unique(codes[:-1] * (int(codes.max()) + 1) + codes[1:], return_inverse=True)[1]
-    windows = pairs[:-1].astype(np.int64) * (int(codes.max()) + 1) + codes[2:]
-    order = np.argsort(windows, kind="stable")
-    ordered = windows[order]
-    same = ordered[1:] == ordered[:-1]
-    if not same.any():
-        return 0
-    twice = np.zeros(len(windows), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    covered = np.zeros(len(codes), bool)
-    for k in range(3):
-        covered[k : k + len(windows)] |= twice
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def word_windows(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about ``WINDOW`` bytes, none of which ends inside a word."""
+    start = 0
+    while start < len(text):
+        gap = _GAP.search(text, start + WINDOW)
+        stop = gap.start() if gap else len(text)
+        yield text[start:stop]
+        start = stop
+
+
+def sign_windows(text: bytes) -> Iterator[np.ndarray]:
+    """The text's code points in parts of about ``WINDOW`` bytes, each part after the three code points before it."""
+    start, before = 0, np.zeros(0, np.uint32)
+    while start < len(text):
+        stop = start + WINDOW
+        while stop < len(text) and text[stop] & 0xC0 == 0x80:
+            stop += 1
+        signs = np.frombuffer(text[start:stop].decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        held = np.concatenate([before, signs])
+        yield held
+        start, before = stop, held[-3:]
+
+
+def repeated_words(triples: list[np.ndarray]) -> int:
+    """Words inside 3-word windows that occur twice or more, from the hashes of all windows in order.
+
+    Hashes are counted in rounds of about ``_AT_ONCE`` distinct ones.
+    """
+    n = sum(map(len, triples))
+    rounds = np.uint64(1 + n // _AT_ONCE)
+    covered = np.zeros(n + 2, bool)
+    for k in range(int(rounds) if n else 0):
+        seen = [np.unique(part[part % rounds == k], return_counts=True) for part in triples]
+        keys, place = np.unique(np.concatenate([found for found, _ in seen]), return_inverse=True)
+        twice = keys[np.bincount(place, np.concatenate([times for _, times in seen])) > 1]
+        first = 0
+        for part in triples if len(twice) else ():
+            at = np.flatnonzero(part % rounds == k)
+            at = first + at[twice[np.minimum(np.searchsorted(twice, part[at]), len(twice) - 1)] == part[at]]
+            for j in range(3):
+                covered[at + j] = True
+            first += len(part)
     return int(covered.sum())
 
 
-def base_stats(text: bytes, words: list[bytes], codes: np.ndarray) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    raw = np.frombuffer(text, np.uint8)
-    seen, repeated_lines = set(), 0
-    for line in text.split(b"\n"):
-        if line in seen and line.strip(_SPACE):
-            repeated_lines += 1
-        seen.add(line)
-    return len(words), int(_IS_LETTER[raw].sum()), int(_IS_SYMBOL[raw].sum()), repeated_lines, repeated_words(codes)
-
-
-def families(text: bytes, hashes: np.ndarray) -> list[np.ndarray]:
-    """Bucket numbers of a text's words, word pairs, character 3-grams and 4-grams."""
-    pairs = mix64(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
-    signs = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+def repeated_lines(text: bytes) -> int:
+    """Lines with a word that equal an earlier line."""
+    found, lines, start = [], 0, 0
+    while start < len(text):
+        end = text.find(b"\n", start + WINDOW)
+        stop = end if end >= 0 else len(text)
+        own = [xxhash.xxh3_64_intdigest(x) for x in text[start:stop].split(b"\n") if x and not x.isspace()]
+        found.append(np.unique(np.array(own, np.uint64)))
+        lines += len(own)
+        start = stop + 1
+    return lines - len(np.unique(np.concatenate(found))) if lines else 0
+
+
+def word_buckets(hashes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket numbers of words and of word pairs, and the hashes of 3-word windows; ``before`` holds the two words before."""
+    all_words = np.concatenate([before, hashes])
+    pairs = mix64(all_words[:-1] * _PAIR + all_words[1:])
+    triples = mix64(pairs[:-1] * _PAIR + all_words[2:])
+    new = pairs[max(0, len(before) - 1) :]
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64), (new % np.uint64(BUCKETS)).astype(np.int64), triples
+
+
+def sign_buckets(signs: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of character 3-grams and 4-grams, but for those inside the first ``known`` characters."""
     rolled = [signs]  # rolled[n] hashes the n + 1 characters from each place on
     for n in range(1, 4):
         rolled.append(rolled[-1][:-1] * _STEP + signs[n:] if len(signs) > n else signs[:0])
-    return [
-        (hashes % np.uint64(BUCKETS)).astype(np.int64), (pairs % np.uint64(BUCKETS)).astype(np.int64),
-        (rolled[2] * _MULTIPLY >> _SHIFT).astype(np.int64), ((rolled[3] ^ _OTHER) * _MULTIPLY >> _SHIFT).astype(np.int64),
-    ]
+    three, four = rolled[2][max(0, known - 2) :], rolled[3][max(0, known - 3) :]
+    return (three * _MULTIPLY >> _SHIFT).astype(np.int64), ((four ^ _OTHER) * _MULTIPLY >> _SHIFT).astype(np.int64)
+
+
+def base_stats(text: bytes, n_words: int, triples: list[np.ndarray]) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    letters = symbols = 0
+    for k in range(0, len(text), WINDOW):
+        raw = np.frombuffer(text, np.uint8, min(WINDOW, len(text) - k), k)
+        letters, symbols = letters + int(_IS_LETTER[raw].sum()), symbols + int(_IS_SYMBOL[raw].sum())
+    return n_words, letters, symbols, repeated_lines(text), repeated_words(triples)
+
+
+def families(text: bytes, known: _Words, triples: list[np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(family, bucket numbers) of a text's words (0), word pairs (1), character 3-grams (2) and 4-grams (3), window by window.
+
+    The hashes of its 3-word windows are added to ``triples``.
+    """
+    before = np.zeros(0, np.uint64)
+    for window in word_windows(text):
+        hashes = known.of(window.split())
+        words, pairs, threes = word_buckets(hashes, before)
+        yield 0, words
+        yield 1, pairs
+        if triples is not None:
+            triples.append(threes)
+        before = np.concatenate([before, hashes[-2:]])[-2:]
+    seen = 0
+    for signs in sign_windows(text):
+        three, four = sign_buckets(signs, seen)
+        yield 2, three
+        yield 3, four
+        seen = min(3, len(signs))
 
 
 class Classifier:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
 
-    def margin(self, text: bytes, hashes: np.ndarray) -> float:
-        return self.bias + sum(float(self.weights[f].mean()) for f in families(text, hashes) if len(f))
+    def margin(self, text: bytes, known: _Words, triples: list[np.ndarray]) -> tuple[float, int]:
+        """The text's margin and its number of words; the hashes of its 3-word windows are added to ``triples``."""
+        total, count = [0.0] * 4, [0] * 4
+        for family, buckets in families(text, known, triples):
+            total[family] += float(self.weights[buckets].sum())
+            count[family] += len(buckets)
+        return self.bias + sum(t / n for t, n in zip(total, count, strict=True) if n), count[0]
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -175,13 +246,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         at, value = [], []
         for text in texts_of(part, "text"):
-            known.trim()
-            codes = [known[w] for w in text.split()]
-            hashes = np.array([known.hashes[c] for c in codes], np.uint64)
-            total = np.zeros(BUCKETS)
-            for f in families(text, hashes):
-                if len(f):
-                    total += np.bincount(f, minlength=BUCKETS) / len(f)
+            counts = np.zeros((4, BUCKETS))
+            for family, buckets in families(text, known):
+                counts[family] += np.bincount(buckets, minlength=BUCKETS)
+            total = (counts / np.maximum(1, counts.sum(axis=1, keepdims=True))).sum(axis=0)
             inside = np.nonzero(total)[0]
             at.append(inside.astype("<u2").tobytes()), value.append(total[inside].astype("<f4").tobytes())
         yield pa.record_batch(
@@ -233,12 +301,10 @@ def judge(docs: DataFrame, classifier: Classifier) -> DataFrame:
         for part in slices(batches, "text"):
             stats, margins = [], []
             for text in texts_of(part, "text"):
-                known.trim()
-                words = text.split()
-                codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                hashes = np.fromiter(map(known.hashes.__getitem__, codes.tolist()), np.uint64, len(words))
-                stats.append(base_stats(text, words, codes))
-                margins.append(model.margin(text, hashes))
+                triples: list[np.ndarray] = []
+                margin, n_words = model.margin(text, known, triples)
+                stats.append(base_stats(text, n_words, triples))
+                margins.append(margin)
             n, chars, symbols, lines, repeats = (np.array(x, np.int64) for x in zip(*stats, strict=True))
             failed = (n < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * n)
             score = model.probability(np.array(margins))

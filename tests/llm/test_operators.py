@@ -405,10 +405,30 @@ def test_quality_features_are_character_ngrams():
         return (rolled ^ other) * 2654435761 % 2**32 >> 17
 
     text = "ab é漢字 😀 abc"
-    _, _, three, four = quality.families(text.encode(), np.array([1, 2], np.uint64))
+    whole = lambda text: [np.concatenate([b for f, b in quality.families(text.encode(), quality._Words()) if f == k]) for k in range(4)]
+    _, _, three, four = whole(text)
     assert three.tolist() == [bucket(text[k : k + 3], 0) for k in range(len(text) - 2)]
     assert four.tolist() == [bucket(text[k : k + 4], 0x5BD1E995) for k in range(len(text) - 3)]
-    assert [len(f) for f in quality.families("é漢".encode(), np.array([], np.uint64))] == [0, 0, 0, 0]
+    assert [len(f) for f in whole("é漢")] == [1, 0, 0, 0]
+
+
+def test_quality_windows_change_nothing(monkeypatch):
+    draw = np.random.default_rng(5)
+    signs = list("abé漢😀 \n\t#")
+    texts = ["", " ", "a", "é" * 50, *("".join(draw.choice(signs, n)) for n in (3, 40, 400, 2000))]
+    texts.append("ab cd ef gh\n" * 20 + "x" * 90 + "\nab cd ef gh")
+
+    def all_of(text):
+        triples = []
+        found = list(quality.families(text.encode(), quality._Words(), triples))
+        buckets = [Counter(b for f, part in found if f == k for b in part.tolist()) for k in range(4)]
+        return buckets, quality.base_stats(text.encode(), sum(buckets[0].values()), triples)
+
+    whole = [all_of(t) for t in texts]
+    for window, at_once in ((1, 7), (5, 1), (64, 100)):
+        monkeypatch.setattr(quality, "WINDOW", window), monkeypatch.setattr(quality, "_AT_ONCE", at_once)
+        assert [all_of(t) for t in texts] == whole
+    assert whole[-1][1][3:] == (20, 84)
 
 
 def test_quality_verdict_equals_the_probability(docs, spark):
@@ -417,8 +437,8 @@ def test_quality_verdict_equals_the_probability(docs, spark):
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     for r in quality.judge(docs, model).collect():
         raw, known = texts[r["doc_id"]].encode(), quality._Words()
-        hashes = np.array([known.hashes[known[w]] for w in raw.split()], np.uint64)
-        margin = float(model.bias) + sum(sum(float(model.weights[b]) for b in f) / len(f) for f in quality.families(raw, hashes) if len(f))
+        each = [[float(model.weights[b]) for f, part in quality.families(raw, known) if f == k for b in part] for k in range(4)]
+        margin = float(model.bias) + sum(sum(f) / len(f) for f in each if f)
         p = 1 / (1 + np.exp(-(model.slope * margin + model.shift)))
         assert abs(p - r["quality_score"]) < 1e-4
         assert r["kept"] == (not r["base_failed"] and r["quality_score"] >= quality.KEEP_FROM)
