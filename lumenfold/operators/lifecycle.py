@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import threading
 import time
 import uuid
 from datetime import datetime, timezone
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions.urls import archive_path
 from lumenfold.operators import consistency, stats
 from lumenfold.operators.segments import Index
-from lumenfold.schemas import STATS, ArchiveError, DocumentMissing, FileMissing, InvalidPath
+from lumenfold.schemas import STATS, ArchiveError, Cancelled, DocumentMissing, FileMissing, InvalidPath
 from lumenfold.session import keep
 from lumenfold.sources.archive import copy_files, documents, html_files, list_files, present, read_pages, unattributed, write_pages
 from lumenfold.sources.store import Store, stored_counts, stored_documents
@@ -186,13 +187,15 @@ def discover(entries: DataFrame, dump: str = ".dump", database: str = ".sql", pr
     return entries.agg(best(dump, "").alias("dump"), best(database, preferred).alias("database"), folder.alias("archive_dir"))
 
 
-def wait_for_file(path: str, seconds: float = 15.0, pause: float = 0.5) -> str:
-    """The path, once a file is there; :class:`FileMissing` after ``seconds``. A blank path is an error."""
+def wait_for_file(path: str, seconds: float = 15.0, pause: float = 0.5, cancel: threading.Event | None = None) -> str:
+    """The path, once a file is there; :class:`FileMissing` after ``seconds``, :class:`Cancelled` as soon as ``cancel`` is set. A blank path is an error."""
     if not path.strip():
         raise InvalidPath("path is empty")
-    end = time.monotonic() + seconds
-    while not os.path.isfile(path):
-        if time.monotonic() >= end:
+    cancel, end = cancel or threading.Event(), time.monotonic() + seconds
+    while not cancel.is_set():
+        if os.path.isfile(path):
+            return path
+        if (left := end - time.monotonic()) <= 0:
             raise FileMissing(path)
-        time.sleep(pause)
-    return path
+        cancel.wait(min(pause, left))
+    raise Cancelled(path)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenfold.functions.exprs import share_percent, trimmed
+from lumenfold.operators.ranks import numbered
 
 
 def count_by_source(files: DataFrame, source: str = "domain") -> DataFrame:
@@ -27,13 +27,11 @@ def snapshot_items(stats: DataFrame) -> DataFrame:
 
 
 def shares(stats: DataFrame) -> DataFrame:
-    """Each source's percent of all files and its rank by count."""
-    total = stats.agg(F.sum("file_count").alias("total"))
-    # A row per source, few next to the files: one ordered window over them is enough.
-    rank = F.row_number().over(Window.orderBy(F.desc("file_count"), "source")).cast("long")
-    one_row = F.broadcast(total)
-    return stats.join(one_row, F.lit(True)).select(
-        "source", "file_count", share_percent(F.col("file_count"), F.col("total")).alias("pct"), rank.alias("rnk")
+    """Each source's percent of all files and its rank by count, ties by name."""
+    ranked = numbered(stats.select("source", "file_count"), F.desc("file_count"), "source", name="rnk")
+    total = F.broadcast(ranked.agg(F.sum("file_count").alias("total")))  # one row
+    return ranked.join(total, F.lit(True)).select(
+        "source", "file_count", share_percent(F.col("file_count"), F.col("total")).alias("pct"), "rnk"
     )
 
 

@@ -8,10 +8,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenfold.functions.exprs import html_title, normal_url, task_http_code
 from lumenfold.operators.lifecycle import Archive, wait_for_file
+from lumenfold.operators.ranks import numbered
 from lumenfold.schemas import ACTIVE, FAILED, PENDING, RUNNING, SUCCESS, ArchiveError
 from lumenfold.session import keep
 
@@ -42,17 +42,9 @@ def by_status(tasks: DataFrame, *statuses: str) -> DataFrame:
 
 
 def recovery(tasks: DataFrame) -> DataFrame:
-    """Unfinished tasks in the order in which a restart takes them up: id, status, pos.
-
-    Positions count within an hour and go on from the hours before, so no task
-    orders more than an hour's rows; only the table of hours is ordered whole.
-    """
-    open_ = tasks.where(F.col("status").isin(*ACTIVE)).withColumn("hour", F.date_trunc("hour", "created_at"))
-    before = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = open_.groupBy("hour").count().select(F.col("hour").alias("of"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
-    local = F.row_number().over(Window.partitionBy("hour").orderBy("created_at", "id"))
-    numbered = open_.withColumn("local", local).join(hours, F.col("hour").eqNullSafe(F.col("of")))
-    return numbered.select("id", "status", (F.col("local") + F.col("shift")).alias("pos"))
+    """Unfinished tasks in the order in which a restart takes them up: id, status, pos."""
+    open_ = tasks.where(F.col("status").isin(*ACTIVE)).select("id", "status", "created_at")
+    return numbered(open_, "created_at", "id").select("id", "status", "pos")
 
 
 def decide(tasks: DataFrame) -> DataFrame:

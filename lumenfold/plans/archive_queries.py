@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumenfold.functions.exprs import erase_space, normal_url
 from lumenfold.operators import consistency, lifecycle, search, stats, tasks, users
 from lumenfold.operators.issues import merge
+from lumenfold.operators.ranks import numbered
 from lumenfold.plans import oracles, tables
 from lumenfold.session import scratch_path
 from lumenfold.sources.archive import documents, with_text
@@ -109,14 +109,9 @@ def text_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.word_hits(search.postings(tables.titled(spark, sf_dir), ("title",), "page_id"), "the", "th", "page_id")
-    # Ranks count within equal (words, tf) and go on from the better ones: few groups, each over its own rows.
-    better = Window.orderBy(F.desc("words"), F.desc("tf")).rowsBetween(Window.unboundedPreceding, -1)
-    groups = hits.groupBy("words", "tf").count()
-    shifted = groups.select("words", "tf", F.coalesce(F.sum("count").over(better), F.lit(0)).alias("shift"))
-    total = F.broadcast(groups.agg(F.sum("count").alias("total_hits")))  # one row
-    local = F.row_number().over(Window.partitionBy("words", "tf").orderBy("page_id"))
-    ranked = hits.withColumn("local", local).join(shifted, ["words", "tf"]).join(total, F.lit(True))
-    return ranked.select("page_id", "words", "tf", (F.col("local") + F.col("shift")).alias("rnk"), "total_hits")
+    ranked = numbered(hits, F.desc("words"), F.desc("tf"), "page_id", name="rnk")
+    total = F.broadcast(ranked.agg(F.count("*").alias("total_hits")))  # one row
+    return ranked.join(total, F.lit(True)).select("page_id", "words", "tf", "rnk", "total_hits")
 
 
 def _library(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,3 +44,7 @@ class FileMissing(ArchiveError):
 
 class DocumentMissing(ArchiveError):
     pass
+
+
+class Cancelled(ArchiveError):
+    """What was waited for is no longer wanted."""

@@ -2,6 +2,7 @@
 
 import os
 import random
+import threading
 import time
 import zipfile
 
@@ -15,8 +16,9 @@ from lumenfold.functions.html_text import extract_text
 from lumenfold.functions.urls import archive_path
 from lumenfold.operators import search, stats, tasks, users
 from lumenfold.operators.lifecycle import Archive, discover, wait_for_file
+from lumenfold.operators.ranks import numbered
 from lumenfold.plans import oracles
-from lumenfold.schemas import ArchiveError, DocumentMissing, FileMissing, InvalidPath
+from lumenfold.schemas import ArchiveError, Cancelled, DocumentMissing, FileMissing, InvalidPath
 from lumenfold.sources.archive import html_files, list_files
 from lumenfold.sources.store import Store
 from lumenfold.sources.zip_files import safe_entry, unzip_backup, zip_backup, zip_entries
@@ -157,6 +159,43 @@ def test_waiting(tmp_path):
     assert wait_for_file(str(tmp_path / "a/p.html"), 0)
     with pytest.raises(FileMissing):
         wait_for_file(str(tmp_path / "none"), 0.1, 0.02)
+    cancel = threading.Event()
+    threading.Timer(0.2, cancel.set).start()
+    began = time.monotonic()
+    with pytest.raises(Cancelled):
+        wait_for_file(str(tmp_path / "none"), 60, 30, cancel)
+    assert time.monotonic() - began < 10
+    with pytest.raises(Cancelled):  # even if the file is there
+        wait_for_file(str(tmp_path / "a/p.html"), 0, cancel=cancel)
+
+
+def test_places_in_an_order(spark):
+    # A third of the rows share the first value, as an hour with a burst of tasks does.
+    rows = [(None if k % 10 == 0 else 7 if k % 3 == 0 else k % 50, f"n{k:04d}", k) for k in range(3000)]
+    table = spark.createDataFrame(rows, "a int, b string, `c.d` int").repartition(5)
+    got = {r["b"]: r["place"] for r in numbered(table, F.desc("a"), "b", name="place").collect()}
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert got == {r[1]: k + 1 for k, r in enumerate(want)}
+    ascending = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    placed = numbered(table, "a", "b").select("b", "pos", "`c.d`").collect()
+    assert {r[0]: r[1] for r in placed} == {r[1]: k + 1 for k, r in enumerate(ascending)}
+    alike = numbered(table.select(F.lit(1).alias("a")), "a").select("pos").collect()
+    assert sorted(r[0] for r in alike) == list(range(1, 3001))
+    assert numbered(table.limit(0), "a").count() == 0 and numbered(table, "a").columns == ["a", "b", "c.d", "pos"]
+
+
+def test_a_burst_of_rows_is_ordered_by_several_tasks(spark):
+    burst = spark.range(40_000).select(F.lit(0).alias("created_at"), F.col("id").cast("string").alias("id"), F.lit("pending").alias("status"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        dealt = numbered(burst, "created_at", "id")
+        files = dealt.inputFiles()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) >= 8
+    assert dealt.agg(F.min("pos"), F.max("pos"), F.countDistinct("pos")).first()[:] == (1, 40_000, 40_000)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") <= 2 and "row_number" not in plan
 
 
 def test_zip_files(spark, tmp_path):
