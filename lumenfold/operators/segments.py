@@ -42,7 +42,8 @@ class Index:
         self.postings, self.terms, self.near, self.docs = (f"{name}-{x}" for x in ("postings", "terms", "near", "docs"))
 
     def _sorted(self, table: DataFrame, files: int, *order: str) -> DataFrame:
-        return table.repartitionByRange(files, *order).sortWithinPartitions(*order) if files > 1 else table.coalesce(1).sortWithinPartitions(*order)
+        # A shuffle even for a single file: merging partitions without one would compute the table itself in one task.
+        return table.repartitionByRange(files, *order).sortWithinPartitions(*order)
 
     def _write(self, held: DataFrame, postings: DataFrame, key: tuple[str, int] | None = None) -> tuple[DataFrame, int]:
         """A segment of ``postings`` (term, doc, field, positions) and ``held`` (id, doc): its rows for the table of documents, and its number (-1: taken in already)."""

@@ -58,8 +58,11 @@ def postings(documents: DataFrame, fields: tuple[str, ...] = FIELDS, key: str =
 
 
 def blocks(documents: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "id") -> DataFrame:
-    """(key, field, term, positions): one row per term of a document's field, its positions ascending."""
-    return postings(documents, fields, key).groupBy(key, "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(key, field, term, positions): one row per term of a document's field, its positions ascending.
+
+    The texts are dealt over tasks by their key, once; their many tokens are then grouped where they arise.
+    """
+    return postings(documents.repartition(F.col(key)), fields, key).groupBy(key, "field", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def query_terms(query: str) -> list[str]:
@@ -99,7 +102,8 @@ def neighbourhood(terms: DataFrame) -> DataFrame:
     """
     term, n = F.col("term"), F.length("term")
     one = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(_without(term, n, k).alias("v"), k.alias("k")))
-    held = terms.select("term").distinct().where((n >= 4) & (n < LONG)).select("term", F.explode(F.concat(F.array(F.struct(term.alias("v"), F.lit(0).alias("k"))), one)).alias("x"))
+    # Dealt over tasks as terms, before each becomes many rows.
+    held = terms.select("term").repartition("term").distinct().where((n >= 4) & (n < LONG)).select("term", F.explode(F.concat(F.array(F.struct(term.alias("v"), F.lit(0).alias("k"))), one)).alias("x"))
     v, k = F.col("x.v"), F.col("x.k")
     # The second character left out stands before the first one, so that each pair is made once.
     two = F.transform(F.sequence(F.lit(1), k - 1), lambda j: _without(v, n, j))
