@@ -153,10 +153,11 @@ def shown(hits: DataFrame) -> DataFrame:
 
 
 def padded(hits: DataFrame, page: int = 1) -> DataFrame:
-    """A page of exactly ``HITS_PER_PAGE`` rows: places without a hit have empty columns."""
+    """A page of exactly ``HITS_PER_PAGE`` rows: places without a hit have empty columns, lists among them too."""
     first = (page - 1) * HITS_PER_PAGE + 1
     places = hits.sparkSession.range(first, first + HITS_PER_PAGE).select(F.col("id").alias("rnk"))
-    return places.join(hits, "rnk", "left").select("rnk", *[F.coalesce(c, F.lit("")).alias(c) for c in hits.columns if c != "rnk"]).orderBy("rnk")
+    empty = lambda kind: F.array().cast(kind) if kind.startswith("array") else F.lit("")
+    return places.join(hits, "rnk", "left").select("rnk", *[F.coalesce(c, empty(kind)).alias(c) for c, kind in hits.dtypes if c != "rnk"]).orderBy("rnk")
 
 
 def as_json(hits: DataFrame) -> DataFrame:
