@@ -66,6 +66,30 @@ def test_near_terms_equal_comparing_every_term(spark):
         assert {tuple(r) for r in terms.near_terms(near, table, words).select("term", "no", "typos", "exact").collect()} == want
 
 
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_grouped_document_by_document(spark):
+    texts = {1: ("b a", "a b a"), 2: (None, "c 北京 c"), 3: ("", ""), 4: ("x", None)}
+    rows = terms.blocks(docs_of(spark, [(k, *v) for k, v in texts.items()]), ("title", "content"))
+    got = {(r["id"], r["field"], r["term"]): (list(r["positions"]), r["first"]) for r in rows.collect()}
+    assert got == {
+        ("1", 0, "a"): ([1], True), ("1", 0, "b"): ([0], True), ("1", 1, "a"): ([0, 2], False), ("1", 1, "b"): ([1], False), ("2", 1, "c"): ([0, 3], True),
+        ("2", 1, "北"): ([1], True), ("2", 1, "京"): ([2], True), ("2", 1, "北京"): ([1], True), ("4", 0, "x"): ([0], True),
+    }
+    # The texts are dealt once; no task sorts or groups the tokens of many documents, nor are they shuffled to find those that match.
+    for table in (rows.select("*"), search.hits_of(docs_of(spark, [(1, "a", "b")]), ["there", "the"])):
+        plan = plan_of(table)
+        assert plan.count("Exchange hashpartitioning") == 1 and "Aggregate" not in plan and "Join" not in plan
+
+
+def test_a_term_has_five_pieces_at_most(spark):
+    held = ["abc", "abcd", "abcdefg", "abcdefghi", "abcdefghij", "x" * 31, "x" * 500]
+    counts = {r["term"]: r["count"] for r in terms.neighbourhood(spark.createDataFrame([(t,) for t in held], "term string")).groupBy("term").count().collect()}
+    assert counts == {"abcd": 2, "abcdefg": 5, "abcdefghi": 5, "abcdefghij": 3, "x" * 31: 3, "x" * 500: 3}
+
+
 def test_gaps_are_least_over_all_positions(spark):
     draw = random.Random(1)
     rows = [(k, " ".join(draw.choices(["alpha", "beta", "x", "y"], k=draw.randint(0, 6))), " ".join(draw.choices(["alpha", "beta", "x", "y", "z", "w"], k=draw.randint(0, 40)))) for k in range(60)]
@@ -129,6 +153,11 @@ def test_a_streams_batch_is_indexed_once(spark, tmp_path):
     assert set(ranks(index, "alpha")) == {"0", "1"} and len(index.store.parts(index.postings)) == 2
 
 
+def test_pieces_of_a_text():
+    assert excerpts.pieces_of("-ab, 北京c ", ["ab", "北", "京", "c"]) == (["-", "ab", ", ", "北", "京", "c", " "], [False, True, False, True, True, True, False])
+    assert excerpts.pieces_of("", []) == ([], []) and excerpts.pieces_of("--", []) == (["--"], [False])
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_windows(seed):
     draw = random.Random(seed)
