@@ -22,6 +22,8 @@ from lumenfold.session import keep
 LISTING = "rel string, abs_path string, is_link boolean"
 #: Names that a task of the listing passes on at a time, and tasks of one level at most.
 NAMES, TASKS = 10_000, 1024
+#: Characters of pages after which a task that reads them passes them on.
+READ = 4 << 20
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -82,19 +84,20 @@ def unattributed(listing: DataFrame) -> DataFrame:
 
 def read_pages(files: DataFrame) -> DataFrame:
     """``files`` with the pages' content as ``html``; bytes that are no UTF-8 are replaced."""
+    names = ["domain", "filename", "request_path", "abs_path"]
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for k in range(0, len(part), 64):
-                rows = part.iloc[k : k + 64].copy()
-                contents = []
-                for path in rows["abs_path"]:
-                    with open(path, encoding="utf-8", errors="replace", newline="") as file:
-                        contents.append(file.read())
-                rows["html"] = contents
-                yield rows
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, contents, size = 0, [], 0
+            for k, path in enumerate(batch.column(3).to_pylist(), 1):
+                with open(path, encoding="utf-8", errors="replace", newline="") as file:
+                    contents.append(file.read())
+                size += len(contents[-1])
+                if size >= READ or k - start == 64 or k == batch.num_rows:
+                    yield pa.record_batch([*batch.slice(start, k - start).columns, pa.array(contents, pa.string())], names=[*names, "html"])
+                    start, contents, size = k, [], 0
 
-    return files.mapInPandas(read, "domain string, filename string, request_path string, abs_path string, html string")
+    return files.select(*names).mapInArrow(read, "domain string, filename string, request_path string, abs_path string, html string")
 
 
 def _write(path: str, write) -> None:
@@ -108,18 +111,18 @@ def _write(path: str, write) -> None:
 def write_pages(pages: DataFrame, root: str) -> DataFrame:
     """Write ``html`` of ``pages`` (rel, html) as files below ``root``, by tasks; the rels that were written."""
 
-    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for rel, html in zip(part["rel"], part["html"], strict=True):
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "html"):
+            for rel, html in zip(part.column("rel").to_pylist(), part.column("html").to_pylist(), strict=True):
 
                 def write(path: str, content: str = html or "") -> None:
                     with open(path, "w", encoding="utf-8", newline="") as out:
                         out.write(content)
 
                 _write(os.path.join(root, rel), write)
-            yield part[["rel"]]
+            yield part.select(["rel"])
 
-    return keep(pages.select("rel", "html").mapInPandas(put, "rel string"), "written")
+    return keep(pages.select("rel", F.col("html").cast("string").alias("html")).mapInArrow(put, "rel string"), "written")
 
 
 def present(pages: DataFrame, root: str) -> DataFrame:
@@ -159,14 +162,20 @@ def with_text(pages: DataFrame, html: str, name: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*fields, f"`{name}` string"]))
 
 
-def documents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Search documents of ``pages`` (domain, filename, html), and issues for pages without a title.
+def titled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, title, filename, domain, html) of ``pages`` (domain, filename, html) that become documents, and issues for those without a title.
 
     The id is a digest of domain and filename, so building again gives equal rows.
     """
-    titled = pages.withColumn("title", html_title("html"))
-    good = titled.where(F.col("title").isNotNull()).select(
+    held = pages.withColumn("title", html_title("html"))
+    good = held.where(F.col("title").isNotNull()).select(
         F.sha2(F.concat_ws("\0", "domain", "filename"), 256).alias("id"), "title", "filename", "domain", "html"
     )
-    bad = titled.where(F.col("title").isNull()).select("domain", "filename", request_path("domain", "filename").alias("path"))
-    return with_text(good, "html", "content"), issue(bad, "html_unparseable")
+    bad = held.where(F.col("title").isNull()).select("domain", "filename", request_path("domain", "filename").alias("path"))
+    return good, issue(bad, "html_unparseable")
+
+
+def documents(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Search documents of ``pages``: what :func:`titled` gives, with the visible text as ``content``."""
+    good, bad = titled(pages)
+    return with_text(good, "html", "content"), bad
