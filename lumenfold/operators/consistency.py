@@ -90,10 +90,10 @@ def repair(files_with_html: DataFrame, documents: DataFrame, database: DataFrame
     first check are carried over.
     """
     from lumenfold.operators.stats import count_by_source
-    from lumenfold.sources.archive import documents as build
+    from lumenfold.sources.archive import titled, with_text
 
     disk = count_by_source(files_with_html)
-    rebuilt, parse_issues = build(files_with_html)
+    good, parse_issues = titled(files_with_html)
     before = check(files_with_html, documents, disk, database, parse_issues).where("not recoverable")
-    after = check(files_with_html, rebuilt, disk, disk, parse_issues)
-    return rebuilt, disk, ordered(merge(before, after))
+    after = check(files_with_html, good.drop("html"), disk, disk, parse_issues)  # keys alone are compared: no text is made for that
+    return with_text(good, "html", "content"), disk, ordered(merge(before, after))
