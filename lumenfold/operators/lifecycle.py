@@ -22,6 +22,10 @@ from lumenfold.sources.archive import copy_files, documents, html_files, list_fi
 from lumenfold.sources.store import Store, stored_counts, stored_documents
 
 
+#: The files of a scan, and the issues of files outside any domain.
+Scanned = tuple[DataFrame, DataFrame]
+
+
 def find_documents(docs: DataFrame, domain: str, filename: str) -> DataFrame:
     """Ids of the documents of exactly this page; the filter reaches the table's scan."""
     return docs.where((F.col("domain") == domain) & (F.col("filename") == filename) & (F.col("id") != "")).select("id")
@@ -52,9 +56,9 @@ class Archive:
         listing = list_files(self.spark, self.root)
         return html_files(listing), unattributed(listing)
 
-    def rebuild(self, strict: bool = True) -> DataFrame:
-        """Build the documents, and the index, anew from the files; strict fails on a page without a title, else it is an issue."""
-        files, _ = self.scan()
+    def rebuild(self, strict: bool = True, scanned: Scanned | None = None) -> DataFrame:
+        """Build the documents, and the index, anew from the files (those of a scan just made, if given); strict fails on a page without a title, else it is an issue."""
+        files, _ = scanned or self.scan()
         good, bad = documents(read_pages(files))
         if strict and (first := bad.first()):
             raise ArchiveError(f"no title found in {first['path']}")
@@ -63,21 +67,25 @@ class Archive:
             self.index.build(self.docs())
         return bad
 
-    def refresh_counts(self) -> DataFrame:
-        self.store.write("stats", stats.count_by_source(self.scan()[0]))
+    def refresh_counts(self, scanned: Scanned | None = None) -> DataFrame:
+        self.store.write("stats", stats.count_by_source((scanned or self.scan())[0]))
         return self.counts()
 
-    def check(self) -> DataFrame:
-        files, loose = self.scan()
-        _, bad = documents(read_pages(files))
+    def check(self, scanned: Scanned | None = None, bad: DataFrame | None = None) -> DataFrame:
+        """All issues; of a scan just made and its issues of pages without a title, if they are given."""
+        files, loose = scanned or self.scan()
+        if bad is None:
+            _, bad = documents(read_pages(files))
         return consistency.check(files, self.docs(), stats.count_by_source(files), self.counts(), bad.unionByName(loose))
 
     def repair(self) -> DataFrame:
         """Rebuild both tables; issues that no rebuilding heals are carried over."""
-        lost = keep(self.check().where("not recoverable"), "lost")
-        self.rebuild(strict=False)
-        self.refresh_counts()
-        return consistency.ordered(consistency.merge(lost, self.check()))
+        scanned = self.scan()
+        bad = keep(documents(read_pages(scanned[0]))[1], "bad")
+        lost = keep(self.check(scanned, bad).where("not recoverable"), "lost")
+        self.rebuild(strict=False, scanned=scanned)
+        self.refresh_counts(scanned)
+        return consistency.ordered(consistency.merge(lost, self.check(scanned, bad)))
 
     def add(self, pages: DataFrame) -> None:
         """Index and write ``pages`` (domain, filename, html), by tasks; only files that were not there count.

@@ -14,11 +14,12 @@ import __spark_entry__
 from lumenfold.functions.exprs import html_title, is_html_file, normal_url
 from lumenfold.functions.html_text import extract_text
 from lumenfold.functions.urls import archive_path
-from lumenfold.operators import search, stats, tasks, users
+from lumenfold.operators import consistency, search, stats, tasks, users
 from lumenfold.operators.lifecycle import Archive, discover, wait_for_file
 from lumenfold.operators.ranks import numbered
-from lumenfold.plans import oracles
+from lumenfold.plans import oracles, tables
 from lumenfold.schemas import ArchiveError, Cancelled, DocumentMissing, FileMissing, InvalidPath
+from lumenfold.sources import archive as archive_source
 from lumenfold.sources.archive import html_files, list_files
 from lumenfold.sources.store import Store
 from lumenfold.sources.zip_files import safe_entry, unzip_backup, zip_backup, zip_entries
@@ -346,3 +347,27 @@ def test_upload_stream_agrees_with_scan(spark, tmp_path):
     want = {tuple(r) for r in html_files(list_files(spark, root)).select("domain", "filename").collect()}
     assert len(want) == 3 and {tuple(r) for r in stored_documents(store).select("domain", "filename").collect()} == want
     assert {tuple(r) for r in stored_counts(store).collect()} == {("a.example", 1), ("b.example", 2)}
+
+
+def test_repair_scans_the_folder_once(spark, tmp_path, monkeypatch):
+    pages = {"a.example/1.html": "<title>A</title>x", "a.example/2.html": "no title"}
+    for rel, html in pages.items():
+        (tmp_path / "tree" / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / rel).write_text(html)
+    archive, scans, scan = Archive(spark, str(tmp_path / "tree"), Store(spark, str(tmp_path / "store"))), [], Archive.scan
+    monkeypatch.setattr(Archive, "scan", lambda self: scans.append(1) or scan(self))
+    assert [(r["code"], r["filename"]) for r in archive.repair().collect()] == [("html_unparseable", "2.html")] and len(scans) == 1
+    assert [r["filename"] for r in archive.docs().collect()] == ["1.html"]
+
+
+def test_issues_of_a_repair_need_no_text(spark):
+    left = consistency.repair(tables.files(spark, SF), tables.index(spark, SF), tables.counted(spark, SF))[2]
+    assert "MapInArrow" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_read_and_written_some_at_a_time(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(archive_source, "READ", 10)
+    held = spark.createDataFrame([(f"d/{k}.html", "é" * k if k else None) for k in range(70)], "rel string, html string")
+    assert archive_source.write_pages(held, str(tmp_path)).count() == 70
+    read = archive_source.read_pages(html_files(list_files(spark, str(tmp_path))))
+    assert {r["filename"]: r["html"] for r in read.collect()} == {f"{k}.html": "é" * k for k in range(70)}
