@@ -146,6 +146,19 @@ def test_index_is_smaller_than_its_text(spark, tmp_path):
     assert "PushedFilters: [" in plan and "term" in plan.split("PushedFilters: [")[1].split("]")[0]
 
 
+def test_a_segments_tasks_sort_their_own_postings(spark, tmp_path, monkeypatch):
+    """However much is added, a task sorts the tokens of ``TEXT_PER_FILE`` bytes, and tokens are not shuffled."""
+    monkeypatch.setattr("lumenfold.operators.segments.TEXT_PER_FILE", 2000)
+    index = Index(Store(spark, str(tmp_path)))
+    index.build(docs_of(spark, [(k, "alpha", f"beta {'gamma ' * 20}x{k}") for k in range(100)]))
+    rows = index.store.read(index.postings).select("term", "doc", F.input_file_name().alias("file"))
+    assert rows.groupBy("doc").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
+    assert 5 <= rows.select("file").distinct().count() <= 9 and rows.count() == 100 * 7
+    for file in rows.inputFiles():
+        held = [r["term"] for r in spark.read.parquet(file).select("term").collect()]
+        assert held == sorted(held)
+
+
 def test_a_streams_batch_is_indexed_once(spark, tmp_path):
     index = Index(Store(spark, str(tmp_path)))
     for number in (0, 1, 1, 0):
