@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 keep the columns of documents. ``run`` writes each result to the shared folder
-and reads it again, so that a lost executor costs one stage at most.
+and reads it again, so that a lost executor costs one stage at most. Stages that
+pass texts or sets to Python make the session's Arrow batches small.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import language_id, line_dedup, mixing, near_dedup, packing
-from lumenfold.session import keep
+from lumenfold.session import keep, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: No SQL expresses the classifier, the sampling or the linear program.
@@ -20,6 +21,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no recognisable language go."""
+    small_batches(spark)
     return language_id.keep_identified(docs)
 
 
@@ -30,6 +32,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least doc_id stays."""
+    small_batches(spark)
     return near_dedup.drop_near_duplicates(docs)
 
 
@@ -40,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a training sequence."""
+    small_batches(spark)
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -48,6 +49,18 @@ def test_a_stage_keeps_columns_and_clean_rows(spark, odd, name, stage):
     assert stage(spark, odd.limit(0), SF).count() == 0
 
 
+@pytest.mark.parametrize("name", ["language_id", "near_dedup", "packing"])
+def test_rows_go_to_python_in_small_batches(spark, odd, name):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["bytes"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    dict(corpus_pipeline.STAGES)[name](spark, odd.limit(0), SF)
+    rows = spark.range(0, 5000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))  # 20 MB
+    assert rows.mapInArrow(sizes, "bytes long").agg(F.max("bytes")).first()[0] < 8 << 20
+
+
 def test_the_last_stage(spark, odd):
     name, stage = corpus_pipeline.STAGES[-1]
     got = stage(spark, odd, SF).collect()
