@@ -255,3 +255,35 @@ def test_alignment_pairs(spark):
         count.update({(x, y) for i, x in enumerate(a) for j, y in enumerate(b) if over(i, j)})
     assert {p: n for p, (n, _) in got.items()} == dict(count)
     assert all(best == (n == max(m for (x, _), m in count.items() if x == a)) for (a, _), (n, best) in got.items())
+
+
+def test_alignment_shuffles_a_packed_matrix_once(spark, monkeypatch):
+    """What documents hold is not moved to where pairs are counted, and takes far less than two integers an entry."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    written = {}
+
+    def kept(df, name, keep=alignment.keep):
+        written[name] = keep(df, name)
+        return written[name]
+
+    monkeypatch.setattr(alignment, "keep", kept)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as over large tables
+    try:
+        aligned = alignment.align(docs, PATH_A, PATH_B)
+        plan = aligned._jdf.queryExecution().explainString(aligned.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    exchanges = [part for part in plan.split("\n\n") if ") Exchange\n" in part]
+    assert len(exchanges) > 3 and ["hashpartitioning(pair#" in part for part in exchanges if "held#" in part] == [False]
+    size, entries = written["aligned"].agg(F.sum(F.length("held")), F.sum(F.when(F.col("pair").isNotNull(), F.col("docs")))).first()
+    assert size < 3 * entries
+
+
+@pytest.mark.parametrize(("n_docs", "most"), [(1, 5), (300, 70_000), (100_000, 1)])
+def test_packed_entries_come_back(n_docs, most):
+    draw = np.random.default_rng(n_docs)
+    cells = np.unique(np.concatenate([np.arange(9) * n_docs + draw.integers(0, n_docs, 9), draw.integers(0, 9 * n_docs, 50), [9 * n_docs - 1]]))
+    times = draw.integers(1, most + 1, len(cells))
+    got = alignment._unpacked(alignment._packed(cells // n_docs, cells % n_docs, times, n_docs), len(cells), n_docs)
+    assert all((x == y).all() for x, y in zip(got, (cells // n_docs, cells % n_docs, times), strict=True))
