@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import excerpts
 from lumenfold.operators import search, terms
 from lumenfold.operators.segments import FAN, Index
+from lumenfold.plans import archive_queries
 from lumenfold.sources.store import Store
 
 DOCS = "id string, title string, filename string, domain string, content string"
@@ -197,6 +198,26 @@ def test_excerpts_of_glued_text_other_scripts_and_typos(spark):
     assert only["3"] == f"{tag('market')}!{tag('market')}-place" and only["4"] == ""
 
 
+@pytest.mark.parametrize("wanted", [["北京", "there"], ["there", "北"], ["the", "it", "京"], ["ςigmaσς", "kelvinist"], ["i̇zmir", "straße"], ["marketplaces", "marke", "京a"]])
+def test_crops_are_the_excerpts_of_all_matches(spark, wanted):
+    draw = random.Random(7)
+    some = ["there", "thre", "tHere", "Theirs", "ethere", "therefore", "it", "It", "the", "北京", "北", "京", "ΣΙΓΜΑΣΣ", "σιγμασς", "ΣIGMAΣΣ", "\u212aelvinists", "kelvnst", "İZMİR", "Izmir", "STRASSE", "straẞe",
+            "marketplace", "arketplace", "market", "𝐚𝟘", "\U0002000b", "々〇", "í", "i\u0307", "_", "ー", "한국", "x" * 40]
+    texts = [draw.choice(["", " ", "-", "\n"]).join(draw.choices(some, k=draw.choice([0, 1, 5, 60, 700]))) for _ in range(150)]
+    texts += [None, "", "\n", " there", "there ", "北", "filler " * 400 + "there" + " filler" * 100 + " 北京 there" + " filler" * 400]
+    docs = docs_of(spark, [(k, "there 北京", t) for k, t in enumerate(texts)]).select("id", "title", "content")
+    hits = search.matched(search.blocks(docs, ("content",)).withColumn("field", F.lit(search.FIELDS.index("content"))), wanted)
+    expected = {r["id"]: (r["excerpt"], r["spans"]) for r in search.excerpted(docs, hits).collect()}
+    got = search.cropped(docs, wanted)
+    assert got.columns == ["id", "title", "excerpt", "spans"] and {r["id"]: (r["excerpt"], r["spans"]) for r in got.collect()} == expected
+    assert sum(len(s) for _, s in expected.values()) > 20
+
+
+def test_crops_deal_texts_once_and_make_no_rows_of_tokens(spark):
+    plan = archive_queries.search_crop(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Generate" not in plan and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_json_page(spark):
     docs = docs_of(spark, [(1, 'a "quoted" <b>', "market & co"), (2, "t", "market")])
     text = search.json_page(search.search(docs, "market")).first()[0]
